@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procscope import schema as S
-from procscope.operators.scan import BEFORE, END, UPTO, chunk_of, collapse_runs, over
+from procscope.operators.scan import BEFORE, END, UPTO, WHOLE, chunk_of, collapse_runs, over
 from procscope.session import materialize
 
 MAX_NODES = 64
@@ -94,12 +94,11 @@ def state_asof(
     right = changes.selectExpr(
         *S.KEY, "seq * 4 + sub AS o", "true AS touch", *[f"{e} AS {n}" for n, e in parts.items()]
     )
-    u = (
-        left.unionByName(right, allowMissingColumns=True)
-        .selectExpr("*", f"{chunk_of('floor(o / 4)', size)} AS _chunk")
-        .repartition(*S.KEY, "_chunk")
-    )
-    ck = S.KEY + ["_chunk"]
+    u = left.unionByName(right, allowMissingColumns=True)
+    ck = S.KEY
+    if size != WHOLE:
+        ck = S.KEY + ["_chunk"]
+        u = u.selectExpr("*", f"{chunk_of('floor(o / 4)', size)} AS _chunk").repartition(*ck)
     run = over(ck, "o", UPTO)
     filled = [n for n in ("img", "cred", "cont") if n in parts]
     step = [*ck, "o", "row", f"max(touch) {run} AS touch"]
@@ -115,6 +114,10 @@ def state_asof(
             f" END) {run} AS best",
         )
 
+    if size == WHOLE:
+        d = d.filter("row IS NOT NULL")
+        return d.selectExpr(*_state_columns(payload, named, image, cred, want, carry=False))
+
     kept = ["touch", *filled] + (["era", "best"] if named else [])
     tails = d.groupBy(*ck).agg(F.expr(f"max_by(struct({', '.join(kept)}), o) AS t"))
     before, upto = over(S.KEY, "_chunk", BEFORE), over(S.KEY, "_chunk", UPTO)
@@ -133,23 +136,33 @@ def state_asof(
     tails = tails.selectExpr(*ck, *carried)
     d = d.filter("row IS NOT NULL").join(tails, ck, "left")
 
+    return d.selectExpr(*_state_columns(payload, named, image, cred, want, carry=True))
+
+
+def _state_columns(
+    payload: list[str], named: bool, image: list[str], cred: list[str], want: set[str], carry: bool
+) -> list[str]:
+    """Output columns of ``state_asof``: the value found inside the chunk, else the carried one."""
+
+    def pick(part: str, f: str, empty: str) -> str:
+        far = f"c_{part}.{f}" if carry else "NULL"
+        return f"coalesce(if({part} IS NOT NULL, {part}.{f}, {far}), {empty}) AS {f}"
+
     out = [*S.KEY, "row._seq AS seq", *[f"row.{c} AS {c}" for c in payload]]
-    out.append("coalesce(touch, c_touch, false) AS known")
+    out.append(f"coalesce(touch, {'c_touch, ' if carry else ''}false) AS known")
     if named:
-        carry = "CASE WHEN c_best.era = c_era THEN c_best.name END"
-        here = "CASE WHEN best.era = era THEN best.name END"
-        out.append(
-            f"coalesce(CASE WHEN era >= 0 THEN {here} ELSE coalesce({carry}, {here}) END, '')"
-            " AS comm"
-        )
-    for f in image:
-        empty = "CAST(array() AS ARRAY<STRING>)" if f == "argv" else "''"
-        out.append(f"coalesce(if(img IS NOT NULL, img.{f}, c_img.{f}), {empty}) AS {f}")
-    for f in cred:
-        out.append(f"CAST(coalesce(if(cred IS NOT NULL, cred.{f}, c_cred.{f}), 0) AS BIGINT) AS {f}")
+        name = "CASE WHEN best.era = era THEN best.name END"
+        if carry:
+            far = "CASE WHEN c_best.era = c_era THEN c_best.name END"
+            name = f"CASE WHEN era >= 0 THEN {name} ELSE coalesce({far}, {name}) END"
+        out.append(f"coalesce({name}, '') AS comm")
+    out += [
+        pick("img", f, "CAST(array() AS ARRAY<STRING>)" if f == "argv" else "''") for f in image
+    ]
+    out += [pick("cred", f, "0L") for f in cred]
     if "container" in want:
-        out.append("coalesce(cont, c_cont, '') AS container")
-    return d.selectExpr(*out)
+        out.append(f"coalesce(cont, {'c_cont, ' if carry else ''}'') AS container")
+    return out
 
 
 def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:

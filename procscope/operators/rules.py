@@ -1,2 +1,340 @@
+"""User rules: single-event matches and ordered sequences, written in YAML."""
+
 from __future__ import annotations
-class Rule: pass
+
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields
+
+import pandas as pd
+import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from procscope import schema as S
+from procscope.functions import events as X
+from procscope.operators.graph import lineage_rows
+from procscope.operators.scan import WHOLE, chunk_of, over
+
+# Names a rule may use. Listening sockets are not among them.
+RULE_EVENTS = {n: c for c, n in S.EVENT_NAMES.items() if n != "sock_listen"}
+DEFAULT_WITHIN_NS = 60_000_000_000
+RULE_ORD = 64  # rule signals follow the built-in ones of an event
+
+
+class RuleError(ValueError):
+    pass
+
+
+def parse_duration_ns(text: str) -> int | None:
+    """``30s``, ``500ms`` or ``2m`` in nanoseconds, None if it is neither."""
+    text = text.strip()
+    for suffix, unit in (("ms", 1_000_000), ("s", 1_000_000_000), ("m", 60_000_000_000)):
+        if text.endswith(suffix):
+            number = text[: -len(suffix)].strip()
+            return int(number) * unit if number.isascii() and number.isdigit() else None
+    return None
+
+
+@dataclass(frozen=True)
+class Condition:
+    event: str
+    filename_equals: str | None = None
+    filename_prefix: str | None = None
+    filename_contains: str | None = None
+    comm_equals: str | None = None
+    uid: int | None = None
+    euid: int | None = None
+    to_root: bool | None = None
+    gained_suid: bool | None = None
+    exec_source: str | None = None
+    in_container: bool | None = None
+
+    def test(self) -> str:
+        """The condition as a boolean expression; every field given must hold."""
+        q = X.quote
+        parts = [f"type = {RULE_EVENTS[self.event]}"]
+        if self.filename_equals is not None:
+            parts.append(f"filename = {q(self.filename_equals)}")
+        if self.filename_prefix is not None:
+            parts.append(f"startswith(filename, {q(self.filename_prefix)})")
+        if self.filename_contains is not None:
+            parts.append(f"contains(filename, {q(self.filename_contains)})")
+        if self.comm_equals is not None:
+            parts.append(f"comm = {q(self.comm_equals)}")
+        if self.uid is not None:
+            parts.append(f"uid = {int(self.uid)}")
+        if self.euid is not None:
+            parts.append(f"euid = {int(self.euid)}")
+        if self.to_root:
+            parts.append("old_euid <> 0 AND euid = 0")
+        if self.gained_suid:
+            parts.append(f"{X.gained_bits()} <> 'none'")
+        if self.exec_source is not None:
+            parts.append(f"{X.exec_source()} = {q(self.exec_source)}")
+        if self.in_container is not None:
+            parts.append("container <> ''" if self.in_container else "container = ''")
+        return "(" + " AND ".join(f"({p})" for p in parts) + ")"
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    score: int
+    id: str = ""
+    attack: tuple[str, ...] = ()
+    description: str = ""
+    match: Condition | None = None
+    sequence: tuple[Condition, ...] = field(default_factory=tuple)
+    scope: str = "same_process"
+    within: str | None = None
+
+    @property
+    def signal_id(self) -> str:
+        return self.id or self.name
+
+    @property
+    def within_ns(self) -> int:
+        parsed = parse_duration_ns(self.within) if self.within is not None else None
+        return DEFAULT_WITHIN_NS if parsed is None else parsed
+
+    @property
+    def detail(self) -> str:
+        return self.description or self.name
+
+
+def _condition(name: str, raw: object) -> Condition:
+    if not isinstance(raw, dict) or "event" not in raw:
+        raise RuleError(f"rule '{name}': a condition needs an `event`")
+    unknown = set(raw) - {f.name for f in fields(Condition)}
+    if unknown:
+        raise RuleError(f"rule '{name}': unknown field '{sorted(unknown)[0]}'")
+    if raw["event"] not in RULE_EVENTS:
+        raise RuleError(f"rule '{name}': unknown event type '{raw['event']}'")
+    return Condition(**raw)
+
+
+def parse_rule(raw: dict) -> Rule:
+    name = raw.get("name")
+    if not name or "score" not in raw:
+        raise RuleError(f"rule '{name}': needs a `name` and a `score`")
+    unknown = set(raw) - {f.name for f in fields(Rule)}
+    if unknown:
+        raise RuleError(f"rule '{name}': unknown field '{sorted(unknown)[0]}'")
+    match, sequence = raw.get("match"), raw.get("sequence") or []
+    if match is None and not sequence:
+        raise RuleError(f"rule '{name}': needs a `match` or a `sequence`")
+    if match is not None and sequence:
+        raise RuleError(f"rule '{name}': has both `match` and `sequence` (pick one)")
+    within = raw.get("within")
+    if within is not None and parse_duration_ns(str(within)) is None:
+        raise RuleError(f"rule '{name}': bad duration '{within}'")
+    scope = raw.get("scope", "same_process")
+    if scope not in ("same_process", "same_lineage"):
+        raise RuleError(f"rule '{name}': unknown scope '{scope}'")
+    return Rule(
+        name=name,
+        score=int(raw["score"]),
+        id=raw.get("id") or "",
+        attack=tuple(raw.get("attack") or ()),
+        description=raw.get("description") or "",
+        match=_condition(name, match) if match is not None else None,
+        sequence=tuple(_condition(name, c) for c in sequence),
+        scope=scope,
+        within=str(within) if within is not None else None,
+    )
+
+
+def load_rules(directory: str) -> list[Rule]:
+    """All rules of a folder, in file name order; the first invalid one is an error."""
+    out = []
+    for entry in sorted(os.listdir(directory)):
+        if not entry.endswith((".yaml", ".yml")):
+            continue
+        with open(os.path.join(directory, entry), encoding="utf-8") as f:
+            raw = yaml.safe_load(f)
+        if not isinstance(raw, dict):
+            raise RuleError(f"parsing {entry}: not a rule")
+        out.append(parse_rule(raw))
+    return out
+
+
+def listing(spark, rules: list[Rule]) -> DataFrame:
+    """What is loaded: one row per rule."""
+    rows = [
+        (
+            r.id or "-",
+            r.name,
+            int(r.score),
+            f"sequence[{len(r.sequence)}]" if r.sequence else "match",
+            ", ".join(r.attack),
+        )
+        for r in rules
+    ]
+    return spark.createDataFrame(
+        rows, "id string, name string, score long, kind string, attack string"
+    )
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+
+def any_step(rules: list[Rule]) -> str:
+    tests = [c.test() for r in rules for c in ([r.match] if r.match else r.sequence)]
+    return X.any_of(tests)
+
+
+def _signal_rows(d: DataFrame, index: int, r: Rule) -> DataFrame:
+    attack = ", ".join(X.quote(a) for a in r.attack)
+    return d.selectExpr(
+        "host", "seq", f"{RULE_ORD + index} AS ord", f"{X.quote(r.signal_id)} AS id",
+        f"{int(r.score)}L AS score", f"CAST(array({attack}) AS ARRAY<STRING>) AS attack",
+        f"{X.quote(r.detail)} AS detail", "ts_ns", "pid", "start",
+        "CAST(NULL AS STRING) AS target",
+    )
+
+
+def match_signals(capture: DataFrame, rules: list[Rule]) -> DataFrame | None:
+    """All match rules in one pass over the capture."""
+    numbered = [(i, r) for i, r in enumerate(rules) if r.match is not None]
+    if not numbered:
+        return None
+    structs = []
+    for i, r in numbered:
+        attack = ", ".join(X.quote(a) for a in r.attack)
+        structs.append(
+            f"CASE WHEN {r.match.test()} THEN named_struct('ord', {RULE_ORD + i},"
+            f" 'id', {X.quote(r.signal_id)}, 'score', {int(r.score)}L,"
+            f" 'attack', CAST(array({attack}) AS ARRAY<STRING>),"
+            f" 'detail', {X.quote(r.detail)}) END"
+        )
+    return (
+        capture.filter(X.any_of([r.match.test() for _, r in numbered]))
+        .selectExpr(
+            "host", "seq", "ts_ns", "tgid AS pid", "start_boottime AS start",
+            f"explode(array_compact(array({', '.join(structs)}))) AS s",
+        )
+        .selectExpr(
+            "host", "seq", "s.ord AS ord", "s.id AS id", "s.score AS score",
+            "s.attack AS attack", "s.detail AS detail", "ts_ns", "pid", "start",
+            "CAST(NULL AS STRING) AS target",
+        )
+    )
+
+
+def steps_of(capture: DataFrame, r: Rule, reach: DataFrame | None) -> DataFrame:
+    """Rows matching any step of a sequence, with the matched steps as a bit mask and the scope they
+    count in: the process itself, or the oldest known node of its lineage at that moment."""
+    mask = " | ".join(f"if({c.test()}, {1 << i}, 0)" for i, c in enumerate(r.sequence))
+    d = capture.selectExpr(
+        "host", "seq", "ts_ns", "tgid AS pid", "start_boottime AS start", f"({mask}) AS steps"
+    ).filter("steps <> 0")
+    if r.scope == "same_process":
+        return d
+    nodes = lineage_rows(d, reach)
+    return (
+        nodes.groupBy("host", "seq", "ts_ns", "steps")
+        .agg(F.expr("max_by(apid, depth) AS pid"), F.expr("max_by(astart, depth) AS start"))
+        .select("host", "seq", "ts_ns", "pid", "start", "steps")
+    )
+
+
+def disjoint(r: Rule) -> bool:
+    """Can no event match both the first step and a later one? Event types decide that safely."""
+    return all(c.event != r.sequence[0].event for c in r.sequence[1:])
+
+
+def sequence_completions(d: DataFrame, r: Rule, chunk: int | None = None) -> DataFrame:
+    """Rows of ``steps_of`` at which the sequence completes: (host, pid, start, seq, ts_ns).
+
+    One attempt is in flight per scope. An event that matches the next step advances it; any other
+    event matching the first step starts over; an attempt older than the window is dropped.
+    """
+    if len(r.sequence) == 1:
+        return d.select(*S.KEY, "seq", "ts_ns")
+    if len(r.sequence) == 2 and disjoint(r):
+        # With two steps that exclude each other, every first-step row restarts the attempt. So a
+        # second-step row completes it exactly when the row before it is a first step in time.
+        return _pairs(d, r.within_ns, chunk)
+    return _folded(d, r)
+
+
+def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
+    row = "struct(steps, ts_ns)"
+    if chunk == WHOLE:
+        p = d.selectExpr("*", f"lag({row}) {over(S.KEY, 'seq')} AS prev")
+    else:
+        ck = S.KEY + ["_chunk"]
+        c = d.selectExpr("*", f"{chunk_of('seq', chunk)} AS _chunk").repartition(*ck)
+        tails = c.groupBy(*ck).agg(F.expr(f"max_by({row}, seq) AS tail"))
+        tails = tails.selectExpr(*ck, f"lag(tail) {over(S.KEY, '_chunk')} AS carry")
+        p = c.selectExpr("*", f"lag({row}) {over(ck, 'seq')} AS inside")
+        p = p.join(tails, ck, "left").selectExpr(
+            *d.columns, "coalesce(inside, carry) AS prev"
+        )
+    return p.filter(
+        f"steps = 2 AND prev.steps = 1 AND ts_ns - prev.ts_ns <= {within_ns}L"
+    ).select(*S.KEY, "seq", "ts_ns")
+
+
+def _folded(d: DataFrame, r: Rule) -> DataFrame:
+    """Any other sequence: a fold in arrival order that keeps one small state.
+
+    Rows are cut into segments at moments that surely reset the attempt: a pause longer than the
+    window, or an event that can only start it. Segments are sorted inside their partition and
+    streamed through the fold, so no group is ever collected.
+    """
+    within, n = r.within_ns, len(r.sequence)
+    w = over(S.KEY, "seq", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    seg = d.selectExpr(
+        "*",
+        f"CASE WHEN steps = 1 OR max(ts_ns) {w} IS NULL OR ts_ns - max(ts_ns) {w} > {within}L"
+        " THEN seq END AS opens",
+    )
+    seg = seg.selectExpr(
+        *d.columns,
+        f"max(opens) {over(S.KEY, 'seq', 'ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
+        " AS segment",
+    )
+    ordered = seg.repartition(*S.KEY, "segment").sortWithinPartitions(*S.KEY, "segment", "seq")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, step, first = None, 0, 0
+        for b in batches:
+            hits = []
+            rows = zip(b.host, b.pid, b.start, b.segment, b.ts_ns, b.steps, strict=True)
+            for i, (host, pid, start, segment, ts, steps) in enumerate(rows):
+                if (host, pid, start, segment) != current:
+                    current, step = (host, pid, start, segment), 0
+                if step and ts - first > within:
+                    step = 0
+                if step and steps >> step & 1:
+                    step += 1
+                    if step == n:
+                        step = 0
+                        hits.append(i)
+                elif steps & 1:
+                    step, first = 1, ts
+            yield b.iloc[hits][["host", "pid", "start", "seq", "ts_ns"]]
+
+    return ordered.mapInPandas(
+        fold, "host string, pid long, start long, seq long, ts_ns long"
+    )
+
+
+def rule_signals(
+    capture: DataFrame, rules: list[Rule], reach: DataFrame | None, chunk: int | None = None
+) -> DataFrame:
+    """Signals of all rules, numbered after the built-in ones."""
+    parts = []
+    m = match_signals(capture, rules)
+    if m is not None:
+        parts.append(m)
+    for i, r in enumerate(rules):
+        if r.sequence:
+            done = sequence_completions(steps_of(capture, r, reach), r, chunk)
+            parts.append(_signal_rows(done, i, r))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

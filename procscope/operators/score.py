@@ -201,7 +201,7 @@ def score_evals(on_file: DataFrame) -> DataFrame:
     )
     fam = d.groupBy(*ev, "family").agg(
         F.expr("max(live) AS top"),
-        F.expr("max(struct(depth, daemon)) AS root"),
+        F.expr("max(depth * 2 + CAST(daemon AS INT)) AS root"),
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("count(score) AS n"),
         F.expr("max(newest) AS newest"),
@@ -210,7 +210,7 @@ def score_evals(on_file: DataFrame) -> DataFrame:
         F.expr("sum(top) AS base"),
         F.expr("count(top) AS families"),
         F.expr("max(top) AS top"),
-        F.expr("max(root).daemon AS rooted"),
+        F.expr("max(root) % 2 = 1 AS rooted"),
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("sum(n) AS n_signals"),
         F.expr("max(newest) AS newest"),

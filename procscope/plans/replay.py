@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procscope import schema as S
 from procscope.operators import baseline as B
 from procscope.operators import detect, graph, rules, score
+from procscope.operators.scan import chunk_size
 from procscope.session import materialize
 
 
@@ -51,6 +52,8 @@ def replay(
     snapshot: DataFrame | None = None,
     prior: Prior | None = None,
 ) -> Replay:
+    if settings.chunk is None:
+        settings = replace(settings, chunk=chunk_size(capture))
     chunk = settings.chunk
     prior = prior or Prior()
     states, edge_rows = graph.state_rows(capture), graph.edges(capture)
