@@ -101,10 +101,13 @@ def lockout(attempts: DataFrame) -> DataFrame:
     each address is cut there; pieces are sorted inside their partition and streamed through a
     constant-size state.
     """
-    gap = f"ts - lag(ts) {over(['address'], 'ts, ord')} > {LOCKOUT}"
-    d = attempts.selectExpr("*", f"CASE WHEN coalesce({gap}, true) THEN ts END AS opens")
-    run = over(["address"], "ts, ord", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-    d = d.selectExpr(*attempts.columns, f"max(opens) {run} AS piece")
+    # Pauses show in the distinct seconds of an address; a burst inside one second is one row.
+    secs = attempts.select("address", "ts").distinct()
+    gap = f"ts - lag(ts) {over(['address'], 'ts')} > {LOCKOUT}"
+    secs = secs.selectExpr("*", f"CASE WHEN coalesce({gap}, true) THEN ts END AS opens")
+    run = over(["address"], "ts", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    secs = secs.selectExpr("address", "ts", f"max(opens) {run} AS piece")
+    d = attempts.join(secs, ["address", "ts"])
     d = d.repartition("address", "piece").sortWithinPartitions("address", "piece", "ts", "ord")
     d = d.select("address", "ts", "ord", "ok", "piece")
 

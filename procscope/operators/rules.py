@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators.graph import lineage_rows
-from procscope.operators.scan import WHOLE, chunk_of, over
+from procscope.operators.scan import WHOLE, chunk_of, last_known, max_before, over
 
 # Names a rule may use. Listening sockets are not among them.
 RULE_EVENTS = {n: c for c, n in S.EVENT_NAMES.items() if n != "sock_listen"}
@@ -256,7 +256,7 @@ def sequence_completions(d: DataFrame, r: Rule, chunk: int | None = None) -> Dat
         # With two steps that exclude each other, every first-step row restarts the attempt. So a
         # second-step row completes it exactly when the row before it is a first step in time.
         return _pairs(d, r.within_ns, chunk)
-    return _folded(d, r)
+    return _folded(d, r, chunk)
 
 
 def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
@@ -277,7 +277,7 @@ def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
     ).select(*S.KEY, "seq", "ts_ns")
 
 
-def _folded(d: DataFrame, r: Rule) -> DataFrame:
+def _folded(d: DataFrame, r: Rule, chunk: int | None) -> DataFrame:
     """Any other sequence: a fold in arrival order that keeps one small state.
 
     Rows are cut into segments at moments that surely reset the attempt: a pause longer than the
@@ -285,17 +285,9 @@ def _folded(d: DataFrame, r: Rule) -> DataFrame:
     streamed through the fold, so no group is ever collected.
     """
     within, n = r.within_ns, len(r.sequence)
-    w = over(S.KEY, "seq", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
-    seg = d.selectExpr(
-        "*",
-        f"CASE WHEN steps = 1 OR max(ts_ns) {w} IS NULL OR ts_ns - max(ts_ns) {w} > {within}L"
-        " THEN seq END AS opens",
-    )
-    seg = seg.selectExpr(
-        *d.columns,
-        f"max(opens) {over(S.KEY, 'seq', 'ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
-        " AS segment",
-    )
+    seg = max_before(d, S.KEY, "seq", "ts_ns", "newest", chunk)
+    opens = f"CASE WHEN steps = 1 OR newest IS NULL OR ts_ns - newest > {within}L THEN seq END"
+    seg = last_known(seg, S.KEY, "seq", {"segment": opens}, chunk)
     ordered = seg.repartition(*S.KEY, "segment").sortWithinPartitions(*S.KEY, "segment", "seq")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

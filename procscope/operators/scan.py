@@ -127,3 +127,18 @@ def numbered(
     return d.join(base, keys + ["_bucket"]).selectExpr(
         *df.columns, f"CAST(_base + _rn AS BIGINT) AS {name}"
     )
+
+
+def max_before(
+    df: DataFrame, keys: list[str], order: str, expr: str, name: str, size: int | None = None
+) -> DataFrame:
+    """Add the maximum of ``expr`` over the earlier rows of the key, null for its first row."""
+    if size == WHOLE:
+        return df.selectExpr("*", f"max({expr}) {over(keys, order, BEFORE)} AS {name}")
+    ck = keys + ["_chunk"]
+    d = df.selectExpr("*", f"{chunk_of(order, size)} AS _chunk").repartition(*ck)
+    tails = d.groupBy(*ck).agg(F.expr(f"max({expr}) AS _top"))
+    tails = tails.selectExpr(*ck, f"max(_top) {over(keys, '_chunk', BEFORE)} AS _carry")
+    d = d.selectExpr("*", f"max({expr}) {over(ck, order, BEFORE)} AS _in").join(tails, ck, "left")
+    # greatest skips nulls
+    return d.selectExpr(*df.columns, f"greatest(_in, _carry) AS {name}")
