@@ -3,6 +3,8 @@ instead of doubling, as-of joins instead of filled windows, ``NOT EXISTS`` inste
 
 from __future__ import annotations
 
+import re
+
 HOST_NS = 4026531841
 
 CTES: dict[str, str] = {}
@@ -354,9 +356,7 @@ FROM inc i JOIN nsig n ON n.host = i.host AND n.seq = i.seq AND n.pid = i.pid AN
 
 
 def _deps(sql: str, names: list[str]) -> list[str]:
-    import re
-
-    words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", sql))
+    words = set(re.findall(r"(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z_0-9]*)", sql))
     return [n for n in names if n in words]
 
 
