@@ -60,6 +60,12 @@ class Settings:
     hosts: DataFrame | None = None  # (host, host_mnt_ns)
     strict_kernel_worker: bool = False
     chunk: int | None = None
+    named_execs: bool = False  # no exec of the capture has an empty name
+
+    @property
+    def lookup(self) -> dict:
+        """Plan options of state lookups."""
+        return {"size": self.chunk, "named_execs": self.named_execs}
 
 
 def _signal(
@@ -301,7 +307,7 @@ def detect_in_context(
         "host", "apid AS pid", "astart AS start", "seq", "pid AS s_pid", "start AS s_start",
         "depth", *[f"e_{c}" for c in own],
     )
-    a = graph.state_asof(lk, states, ("comm", "exe", "trusted"), st.chunk)
+    a = graph.state_asof(lk, states, ("comm", "exe", "trusted"), **st.lookup)
     daemon = f"known AND ({X.is_network_daemon()} OR {X.looks_like_daemon()})"
     who = "concat(if(trusted = '', comm, trusted), '(', pid, ')')"
     worker = X.is_kernel_worker("comm", st.strict_kernel_worker)

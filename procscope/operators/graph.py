@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procscope import schema as S
 from procscope.operators.scan import BEFORE, END, UPTO, WHOLE, chunk_of, collapse_runs, over
-from procscope.session import materialize
+from procscope.session import materialize, materialize_counted
 
 MAX_NODES = 64
 SNAPSHOT_TOLERANCE_NS = 20_000_000
@@ -61,17 +61,22 @@ def state_asof(
     changes: DataFrame,
     fields: tuple[str, ...] = ("comm", "exe", "trusted"),
     size: int | None = None,
+    named_execs: bool = False,
 ) -> DataFrame:
     """Attach the state of ``(host, pid, start)`` as of ``seq`` (inclusive) to every lookup row.
 
     Adds ``known`` and the requested fields. A name comes from the newest exec; while that is empty
-    the first non-empty name seen since then is used.
+    the first non-empty name seen since then is used. ``named_execs`` promises that no exec has an
+    empty name, which lets the one-chunk plan do without ordering names by exec period.
     """
+    short = named_execs and size == WHOLE
     payload = [c for c in lookups.columns if c not in S.KEY + ["seq"]]
     want = set(fields)
     image = [f for f in ("exe", "trusted", "argv") if f in want]
     cred = [f for f in ("uid", "euid") if f in want]
     named = "comm" in want
+    if named and short:
+        image = ["comm", *image]
 
     left = lookups.selectExpr(
         *S.KEY, "seq * 4 + 3 AS o",
@@ -90,6 +95,7 @@ def state_asof(
         parts["cont"] = "nullif(container, '')"
     if named:
         parts["name"] = "nullif(comm, '')"
+    if named and not short:
         parts["exec_o"] = "CASE WHEN kind = 'exec' THEN seq * 4 + sub END"
     right = changes.selectExpr(
         *S.KEY, "seq * 4 + sub AS o", "true AS touch", *[f"{e} AS {n}" for n, e in parts.items()]
@@ -103,11 +109,13 @@ def state_asof(
     filled = [n for n in ("img", "cred", "cont") if n in parts]
     step = [*ck, "o", "row", f"max(touch) {run} AS touch"]
     step += [f"last({n}, true) {run} AS {n}" for n in filled]
-    if named:
+    if named and short:
+        step.append(f"first(name, true) {run} AS name")
+    elif named:
         # The name that counts is the earliest one of the latest exec period.
         step += ["name", f"coalesce(max(exec_o) {run}, -1L) AS era"]
     d = u.selectExpr(*step)
-    if named:
+    if named and not short:
         d = d.selectExpr(
             *ck, "o", "row", "touch", *filled, "era",
             f"max(CASE WHEN name IS NOT NULL THEN named_struct('era', era, 'neg', -o, 'name', name)"
@@ -116,7 +124,9 @@ def state_asof(
 
     if size == WHOLE:
         d = d.filter("row IS NOT NULL")
-        return d.selectExpr(*_state_columns(payload, named, image, cred, want, carry=False))
+        return d.selectExpr(
+            *_state_columns(payload, named, image, cred, want, carry=False, short=short)
+        )
 
     kept = ["touch", *filled] + (["era", "best"] if named else [])
     tails = d.groupBy(*ck).agg(F.expr(f"max_by(struct({', '.join(kept)}), o) AS t"))
@@ -140,7 +150,13 @@ def state_asof(
 
 
 def _state_columns(
-    payload: list[str], named: bool, image: list[str], cred: list[str], want: set[str], carry: bool
+    payload: list[str],
+    named: bool,
+    image: list[str],
+    cred: list[str],
+    want: set[str],
+    carry: bool,
+    short: bool = False,
 ) -> list[str]:
     """Output columns of ``state_asof``: the value found inside the chunk, else the carried one."""
 
@@ -150,7 +166,10 @@ def _state_columns(
 
     out = [*S.KEY, "row._seq AS seq", *[f"row.{c} AS {c}" for c in payload]]
     out.append(f"coalesce(touch, {'c_touch, ' if carry else ''}false) AS known")
-    if named:
+    if named and short:
+        out.append("coalesce(img.comm, name, '') AS comm")
+        image = image[1:]
+    elif named:
         name = "CASE WHEN best.era = era THEN best.name END"
         if carry:
             far = "CASE WHEN c_best.era = c_era THEN c_best.name END"
@@ -196,10 +215,10 @@ def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:
         step *= 2
         if step >= MAX_NODES:
             break
-        jump = materialize(
+        jump, rows = materialize_counted(
             jump.join(j, ["host", "apid", "astart"]).selectExpr(*hop).filter("vf < vt"), "jump"
         )
-        if jump.isEmpty():
+        if rows == 0:
             break
         if step >= 8:
             reach = materialize(reach, "reach")

@@ -64,7 +64,7 @@ def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDEN
         .unionByName(ev.selectExpr("host", "spid AS pid", "sstart AS start", "seq"))
         .distinct()
     )
-    known = graph.state_asof(ask, r.states, FULL, st.chunk).selectExpr(
+    known = graph.state_asof(ask, r.states, FULL, **st.lookup).selectExpr(
         "host", "pid AS npid", "start AS nstart", "seq", "known", "comm", "exe",
         f"{T.cmdline()} AS cmdline", "uid",
     )
@@ -234,7 +234,7 @@ def subject_names(r, incidents: DataFrame | None = None) -> DataFrame:
     """Who set each incident off: program, else name, else ``<unknown>``."""
     inc = r.incidents if incidents is None else incidents
     st = graph.state_asof(
-        inc.select(*S.KEY, "seq"), r.states, ("comm", "exe"), r.settings.chunk
+        inc.select(*S.KEY, "seq"), r.states, ("comm", "exe"), **r.settings.lookup
     )
     return st.selectExpr(
         *S.KEY, "seq", "CASE WHEN NOT known THEN '<unknown>' WHEN exe <> '' THEN exe ELSE comm END"
@@ -266,7 +266,7 @@ def budget_text(floor_rows: DataFrame, stats: DataFrame, without: DataFrame | No
 def final_states(r) -> DataFrame:
     """State of every process at the end of the capture."""
     last = r.states.groupBy(*S.KEY).agg(F.expr("max(seq) AS seq"))
-    return graph.state_asof(last, r.states, FULL + ("trusted",), r.settings.chunk)
+    return graph.state_asof(last, r.states, FULL + ("trusted",), **r.settings.lookup)
 
 
 def assess(r, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +280,7 @@ def assess(r, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Sequence numbers past the capture belong to one chunk of their own.
     scored, on_file = score.score_candidates(
-        at_end, r.improving, reach, r.states, r.baseline, r.settings.chunk
+        at_end, r.improving, reach, r.states, r.baseline, r.settings.lookup
     )
     return scored, on_file.filter("id IS NOT NULL")
 

@@ -21,7 +21,7 @@ from procscope.operators import baseline as B
 from procscope.operators import graph
 from procscope.operators.detect import MAX_ORD
 from procscope.operators.scan import BEFORE, END, collapse_runs, next_at_or_after, over
-from procscope.session import materialize
+from procscope.session import materialize_counted
 
 CHAIN_WINDOW_NS = 600 * 1_000_000_000
 
@@ -78,15 +78,15 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     )
 
 
-def context_changes(states: DataFrame, chunk: int | None = None) -> DataFrame:
+def context_changes(states: DataFrame, how: dict) -> DataFrame:
     """Moments at which a process starts or stops being a root daemon or enters a container."""
     own = graph.state_asof(
-        states.select(*S.KEY, "seq"), states, ("comm", "container"), chunk
+        states.select(*S.KEY, "seq"), states, ("comm", "container"), **how
     ).selectExpr(
         *S.KEY, "seq",
         f"named_struct('d', {X.is_root_daemon()}, 'c', container <> '') AS flags",
     )
-    return collapse_runs(own, S.KEY, "flags", size=chunk).selectExpr(*S.KEY, "valid_from AS seq")
+    return collapse_runs(own, S.KEY, "flags", size=how.get("size")).selectExpr(*S.KEY, "valid_from AS seq")
 
 
 def candidates(
@@ -94,7 +94,7 @@ def candidates(
     imp: DataFrame,
     reach: DataFrame,
     states: DataFrame,
-    chunk: int | None = None,
+    how: dict,
     incremental: bool = False,
 ) -> DataFrame:
     """Evaluations ``(host, pid, start, seq)`` that can differ from the one before them.
@@ -122,7 +122,7 @@ def candidates(
         .selectExpr(*S.KEY, "first_eval", "last_eval", "c")
     )
     stored = imp.selectExpr("host", "bpid AS apid", "bstart AS astart", "vf AS at")
-    flags = context_changes(states, chunk).selectExpr(
+    flags = context_changes(states, how).selectExpr(
         "host", "pid AS apid", "start AS astart", "seq AS at"
     )
     moved = (
@@ -136,12 +136,12 @@ def candidates(
         .selectExpr(*S.KEY, "c AS seq")
         .distinct()
     )
-    points = materialize(points, "change-points")
+    points, changes = materialize_counted(points, "change-points")
     own = own.distinct()
-    if points.isEmpty():
+    if changes == 0:
         return own
     touched = evals.join(points.select(*S.KEY).distinct(), S.KEY, "left_semi")
-    later = next_at_or_after(points, touched, S.KEY, chunk)
+    later = next_at_or_after(points, touched, S.KEY, how.get("size"))
     return own.unionByName(later).distinct()
 
 
@@ -149,15 +149,15 @@ def lineage_state(
     evals: DataFrame,
     reach: DataFrame,
     states: DataFrame,
-    fields: tuple[str, ...] = ("comm", "container"),
-    chunk: int | None = None,
+    fields: tuple[str, ...],
+    how: dict,
 ) -> DataFrame:
     """One row per (evaluation, lineage node) with the node's state at the evaluation."""
     rows = graph.lineage_rows(evals, reach).selectExpr(
         "host", "apid AS pid", "astart AS start", "seq", "pid AS s_pid", "start AS s_start",
         "depth",
     )
-    return graph.state_asof(rows, states, fields, chunk).withColumnsRenamed(
+    return graph.state_asof(rows, states, fields, **how).withColumnsRenamed(
         {"pid": "apid", "start": "astart"}
     )
 
@@ -185,26 +185,27 @@ def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
 def score_evals(on_file: DataFrame) -> DataFrame:
     """Score every evaluation from its lineage rows.
 
-    Input: (host, seq, s_pid, s_start, depth, comm, container, known, id, score, ts_ns). All three
-    steps group by (host, seq, …), so they share one shuffle.
+    Input: (host, seq, s_pid, s_start, depth, comm, container, known, id, score, ts_ns). An event
+    evaluates one process, so (host, seq) names the evaluation; the window and both aggregates
+    group by it and share one shuffle. All aggregation buffers are fixed-size, which keeps them in
+    hash aggregates.
     """
-    ev = ["host", "seq", "s_pid", "s_start"]
-    part = f"OVER (PARTITION BY {', '.join(ev)})"
+    ev = ["host", "seq"]
     d = on_file.selectExpr(
-        *ev, "depth", f"known AND {X.is_root_daemon()} AS daemon",
+        *ev, "s_pid", "s_start", f"depth * 2 + CAST(known AND {X.is_root_daemon()} AS INT) AS root",
         "known AND container <> '' AS boxed", f"{family()} AS family", "score", "ts_ns",
-        f"max(ts_ns) {part} AS newest",
+        "max(ts_ns) OVER (PARTITION BY host, seq) AS newest",
     )
     # Saturating difference: a signal newer than the newest one cannot exist, only equal.
-    d = d.selectExpr(
-        "*", f"CASE WHEN newest - ts_ns <= {CHAIN_WINDOW_NS}L THEN score END AS live"
-    )
+    live = f"CASE WHEN newest - ts_ns <= {CHAIN_WINDOW_NS}L THEN score END"
     fam = d.groupBy(*ev, "family").agg(
-        F.expr("max(live) AS top"),
-        F.expr("max(depth * 2 + CAST(daemon AS INT)) AS root"),
+        F.expr(f"max({live}) AS top"),
+        F.expr("max(root) AS root"),
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("count(score) AS n"),
         F.expr("max(newest) AS newest"),
+        F.expr("max(s_pid) AS s_pid"),
+        F.expr("max(s_start) AS s_start"),
     )
     e = fam.groupBy(*ev).agg(
         F.expr("sum(top) AS base"),
@@ -214,6 +215,8 @@ def score_evals(on_file: DataFrame) -> DataFrame:
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("sum(n) AS n_signals"),
         F.expr("max(newest) AS newest"),
+        F.expr("max(s_pid) AS s_pid"),
+        F.expr("max(s_start) AS s_start"),
     )
     e = e.filter("n_signals > 0").selectExpr(
         "*",
@@ -254,25 +257,25 @@ def score_candidates(
     imp: DataFrame,
     reach: DataFrame,
     states: DataFrame,
-    base: B.Baseline | None = None,
-    chunk: int | None = None,
+    base: B.Baseline | None,
+    how: dict,
 ) -> tuple[DataFrame, DataFrame]:
     """(scored evaluations, the stored signals behind them)."""
     fields = ("comm", "container") if base is None else ("comm", "container", "exe")
-    on_file = stored_signals(lineage_state(cand, reach, states, fields, chunk), imp)
+    on_file = stored_signals(lineage_state(cand, reach, states, fields, how), imp)
     if base is not None:
-        on_file = B.adjust(with_signal_exe(on_file, states, chunk), base)
+        on_file = B.adjust(with_signal_exe(on_file, states, how), base)
     return score_evals(on_file), on_file
 
 
-def with_signal_exe(on_file: DataFrame, states: DataFrame, chunk: int | None = None) -> DataFrame:
+def with_signal_exe(on_file: DataFrame, states: DataFrame, how: dict) -> DataFrame:
     """Add ``sexe``, the program of the process each signal fired on. That is the lineage node
     itself except for a rule signal filed under another process."""
     foreign = "id IS NOT NULL AND (spid <> apid OR sstart <> astart)"
     other = on_file.filter(foreign).selectExpr(
         "host", "spid AS pid", "sstart AS start", "seq"
     ).distinct()
-    looked = graph.state_asof(other, states, ("exe",), chunk).selectExpr(
+    looked = graph.state_asof(other, states, ("exe",), **how).selectExpr(
         "host", "pid AS spid", "start AS sstart", "seq", "exe AS f_exe"
     )
     return on_file.join(looked, ["host", "spid", "sstart", "seq"], "left").selectExpr(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from procscope import schema as S
 from procscope.operators import baseline as B
 from procscope.operators import detect, graph, rules, score
-from procscope.operators.scan import chunk_size
+from procscope.operators.scan import CHUNK, WHOLE
 from procscope.session import materialize
 
 
@@ -52,10 +52,10 @@ def replay(
     snapshot: DataFrame | None = None,
     prior: Prior | None = None,
 ) -> Replay:
-    if settings.chunk is None:
-        settings = replace(settings, chunk=chunk_size(capture))
-    chunk = settings.chunk
     prior = prior or Prior()
+    if settings.chunk is None:
+        settings = survey(capture, settings, prior)
+    chunk, how = settings.chunk, settings.lookup
     states, edge_rows = graph.state_rows(capture), graph.edges(capture)
     if snapshot is not None:
         s0, e0 = graph.snapshot_as_state(snapshot, capture)
@@ -86,14 +86,27 @@ def replay(
         more = sig.selectExpr("host", "bpid AS pid", "bstart AS start").distinct()
         reach = graph.closure(graph.edge_intervals(edge_rows, chunk), more)
     imp = materialize(score.improving(sig, prior.improving), "improving")
-    cand = score.candidates(sig, imp, reach, states, chunk, prior.improving is not None)
-    scored, on_file = score.score_candidates(cand, imp, reach, states, baseline, chunk)
+    cand = score.candidates(sig, imp, reach, states, how, prior.improving is not None)
+    scored, on_file = score.score_candidates(cand, imp, reach, states, baseline, how)
     inc = score.emit(scored, detect_floor(floor), prior.reported)
     return Replay(
         capture, states, edge_rows, reach, sig, imp, cand, scored, on_file, inc, settings, baseline
     )
 
 
+def survey(capture: DataFrame, settings: detect.Settings, prior: Prior) -> detect.Settings:
+    """Choose plan options from two facts of the capture, read in one narrow scan: how far arrival
+    numbers go, and whether some exec has no name."""
+    top, unnamed = capture.agg(
+        F.max("seq"), F.count_if((F.col("type") == S.EXEC) & (F.col("comm") == ""))
+    ).first()
+    return replace(
+        settings,
+        chunk=WHOLE if top is None or top < CHUNK else CHUNK,
+        named_execs=unnamed == 0 and prior.states is None,
+    )
+
+
 def detect_floor(floor: str) -> int:
     from procscope.functions.events import parse_severity
 

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
 
@@ -51,6 +52,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``materialize`` that also returns the row count, observed while writing."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get["rows"]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch area and read it back.
 
