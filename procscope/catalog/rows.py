@@ -291,7 +291,7 @@ def b01(i: Inputs):
 def b02(i: Inputs):
     # New bits come from the event number, old ones from the user number.
     return i.events.selectExpr(
-        "e AS seq", f"{X.gained_bits('(e * 2 & 6144)', '((u & 4) * 512 | (u & 2) * 512)')} AS gained"
+        "e AS seq", f"{X.gained_bits('(e & 3072)', '((u & 4) * 512 | (u & 2) * 512)')} AS gained"
     )
 
 

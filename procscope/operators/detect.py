@@ -312,7 +312,7 @@ def detect_in_context(
     who = "concat(if(trusted = '', comm, trusted), '(', pid, ')')"
     worker = X.is_kernel_worker("comm", st.strict_kernel_worker)
     # At most 64 rows per event.
-    a = a.groupBy("host", "seq", "s_pid", "s_start", *[f"e_{c}" for c in own]).agg(
+    a = a.groupBy("seq", "host", "s_pid", "s_start", *[f"e_{c}" for c in own]).agg(
         F.expr("max(CASE WHEN depth = 0 THEN trusted END) AS trusted"),
         F.expr("max(CASE WHEN depth = 0 THEN exe END) AS exe"),
         F.expr(f"min_by({who}, CASE WHEN {daemon} THEN depth END) AS daemon"),

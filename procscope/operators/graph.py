@@ -208,7 +208,7 @@ def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:
             *S.KEY, "jpid AS apid", "jstart AS astart", "greatest(vf, jvf) AS vf",
             "least(vt, jvt) AS vt",
         ]
-        longer = reach.join(j, ["host", "apid", "astart"]).selectExpr(
+        longer = reach.join(j, ["apid", "astart", "host"]).selectExpr(
             *hop, f"depth + {step} AS depth"
         )
         reach = reach.unionByName(longer.filter("vf < vt"))
@@ -216,7 +216,7 @@ def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:
         if step >= MAX_NODES:
             break
         jump, rows = materialize_counted(
-            jump.join(j, ["host", "apid", "astart"]).selectExpr(*hop).filter("vf < vt"), "jump"
+            jump.join(j, ["apid", "astart", "host"]).selectExpr(*hop).filter("vf < vt"), "jump"
         )
         if rows == 0:
             break

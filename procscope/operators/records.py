@@ -22,14 +22,14 @@ def evidence(r, scored: DataFrame | None = None) -> DataFrame:
     inc = (r.incidents if scored is None else scored).select(*S.KEY, "seq")
     keep = r.on_file.filter("id IS NOT NULL").join(
         inc.selectExpr("host", "pid AS s_pid", "start AS s_start", "seq"),
-        ["host", "s_pid", "s_start", "seq"],
+        ["seq", "s_pid", "s_start", "host"],
         "left_semi",
     )
     text = r.signals.selectExpr(
         "host", f"seq * {MAX_ORD} + ord AS so", "detail", "attack", "target"
     )
     note = "evidence_note" if "evidence_note" in keep.columns else "CAST(NULL AS STRING)"
-    return keep.join(text, ["host", "so"]).selectExpr(
+    return keep.join(text, ["so", "host"]).selectExpr(
         "host", "seq", "s_pid AS pid", "s_start AS start", "depth", "first_so", "id", "score",
         f"concat(detail, coalesce({note}, '')) AS detail", "attack", "target", "ts_ns", "spid",
         "sstart",
@@ -54,7 +54,7 @@ def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDEN
     st = r.settings
     inc = r.incidents
     ev = evidence(r)
-    ids = [*S.KEY, "seq"]
+    ids = ["seq", *S.KEY]
     nodes = graph.lineage_rows(inc.select(*ids), r.reach).selectExpr(
         "host", "apid AS npid", "astart AS nstart", "seq", "pid", "start", "depth"
     )
@@ -69,7 +69,7 @@ def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDEN
         f"{T.cmdline()} AS cmdline", "uid",
     )
     chain = (
-        nodes.join(known, ["host", "npid", "nstart", "seq"])
+        nodes.join(known, ["seq", "npid", "nstart", "host"])
         .filter("known")
         .groupBy(*ids)
         .agg(
@@ -87,7 +87,7 @@ def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDEN
             known.selectExpr(
                 "host", "npid AS spid", "nstart AS sstart", "seq", "cmdline AS s_cmd"
             ),
-            ["host", "spid", "sstart", "seq"],
+            ["seq", "spid", "sstart", "host"],
             "left",
         )
         .groupBy(*ids)
@@ -280,7 +280,7 @@ def assess(r, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Sequence numbers past the capture belong to one chunk of their own.
     scored, on_file = score.score_candidates(
-        at_end, r.improving, reach, r.states, r.baseline, r.settings.lookup
+        at_end, r.improving, reach, r.states, r.baseline, r.settings.lookup, one_per_event=False
     )
     return scored, on_file.filter("id IS NOT NULL")
 

@@ -48,7 +48,7 @@ def with_bucket(signals: DataFrame, from_rules: bool = False) -> DataFrame:
     its first signal. Only rules can name a process other than the acting one."""
     if not from_rules:
         return signals.selectExpr("*", "pid AS bpid", "start AS bstart")
-    w = over(["host", "seq"], "ord")
+    w = over(["seq", "host"], "ord")
     return signals.selectExpr("*", f"first(pid) {w} AS bpid", f"first(start) {w} AS bstart")
 
 
@@ -59,7 +59,7 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     aggregate on the map side; the window that follows sees a few rows per process.
     """
     so = f"seq * {MAX_ORD} + ord"
-    g = bucketed.groupBy("host", "bpid", "bstart", "id", "score").agg(
+    g = bucketed.groupBy("bpid", "bstart", "host", "id", "score").agg(
         F.expr(f"min({so}) AS so"),
         F.expr(f"min_by(ts_ns, {so}) AS ts_ns"),
         F.expr(f"min_by(pid, {so}) AS spid"),
@@ -67,7 +67,7 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     )
     if prior is not None:
         g = prior.select(*g.columns).unionByName(g)
-    key = ["host", "bpid", "bstart", "id"]
+    key = ["bpid", "bstart", "host", "id"]
     g = g.selectExpr("*", f"max(score) {over(key, 'so', BEFORE)} AS _best")
     g = g.filter("_best IS NULL OR score > _best").drop("_best")
     return g.selectExpr(
@@ -126,7 +126,7 @@ def candidates(
         "host", "pid AS apid", "start AS astart", "seq AS at"
     )
     moved = (
-        path.join(stored.unionByName(flags), ["host", "apid", "astart"])
+        path.join(stored.unionByName(flags), ["apid", "astart", "host"])
         .filter("at < vt")
         .selectExpr(*S.KEY, "first_eval", "last_eval", "greatest(at, vf) AS c")
     )
@@ -173,7 +173,7 @@ def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
     return n.join(
         i,
         F.expr(
-            "n.host = i.host AND n.apid = i.apid AND n.astart = i.astart"
+            "n.apid = i.apid AND n.astart = i.astart AND n.host = i.host"
             " AND i.ivf <= n.seq AND n.seq < i.ivt"
         ),
         "left",
@@ -182,19 +182,21 @@ def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
     )
 
 
-def score_evals(on_file: DataFrame) -> DataFrame:
+def score_evals(on_file: DataFrame, one_per_event: bool = True) -> DataFrame:
     """Score every evaluation from its lineage rows.
 
     Input: (host, seq, s_pid, s_start, depth, comm, container, known, id, score, ts_ns). An event
-    evaluates one process, so (host, seq) names the evaluation; the window and both aggregates
-    group by it and share one shuffle. All aggregation buffers are fixed-size, which keeps them in
+    evaluates one process, so (host, seq) names the evaluation; without ``one_per_event`` the process
+    is part of its name. The window and both aggregates group by it and share one shuffle. All aggregation buffers are fixed-size, which keeps them in
     hash aggregates.
     """
-    ev = ["host", "seq"]
+    who = [] if one_per_event else ["s_pid", "s_start"]
+    ev = ["seq", "host", *who]
+    carried = [F.expr(f"max({c}) AS {c}") for c in ("s_pid", "s_start") if c not in who]
     d = on_file.selectExpr(
-        *ev, "s_pid", "s_start", f"depth * 2 + CAST(known AND {X.is_root_daemon()} AS INT) AS root",
+        "seq", "host", "s_pid", "s_start", f"depth * 2 + CAST(known AND {X.is_root_daemon()} AS INT) AS root",
         "known AND container <> '' AS boxed", f"{family()} AS family", "score", "ts_ns",
-        "max(ts_ns) OVER (PARTITION BY host, seq) AS newest",
+        f"max(ts_ns) OVER (PARTITION BY {', '.join(ev)}) AS newest",
     )
     # Saturating difference: a signal newer than the newest one cannot exist, only equal.
     live = f"CASE WHEN newest - ts_ns <= {CHAIN_WINDOW_NS}L THEN score END"
@@ -204,8 +206,7 @@ def score_evals(on_file: DataFrame) -> DataFrame:
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("count(score) AS n"),
         F.expr("max(newest) AS newest"),
-        F.expr("max(s_pid) AS s_pid"),
-        F.expr("max(s_start) AS s_start"),
+        *carried,
     )
     e = fam.groupBy(*ev).agg(
         F.expr("sum(top) AS base"),
@@ -215,8 +216,7 @@ def score_evals(on_file: DataFrame) -> DataFrame:
         F.expr("bool_or(boxed) AS boxed"),
         F.expr("sum(n) AS n_signals"),
         F.expr("max(newest) AS newest"),
-        F.expr("max(s_pid) AS s_pid"),
-        F.expr("max(s_start) AS s_start"),
+        *carried,
     )
     e = e.filter("n_signals > 0").selectExpr(
         "*",
@@ -259,13 +259,14 @@ def score_candidates(
     states: DataFrame,
     base: B.Baseline | None,
     how: dict,
+    one_per_event: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(scored evaluations, the stored signals behind them)."""
     fields = ("comm", "container") if base is None else ("comm", "container", "exe")
     on_file = stored_signals(lineage_state(cand, reach, states, fields, how), imp)
     if base is not None:
         on_file = B.adjust(with_signal_exe(on_file, states, how), base)
-    return score_evals(on_file), on_file
+    return score_evals(on_file, one_per_event), on_file
 
 
 def with_signal_exe(on_file: DataFrame, states: DataFrame, how: dict) -> DataFrame:
@@ -278,6 +279,6 @@ def with_signal_exe(on_file: DataFrame, states: DataFrame, how: dict) -> DataFra
     looked = graph.state_asof(other, states, ("exe",), **how).selectExpr(
         "host", "pid AS spid", "start AS sstart", "seq", "exe AS f_exe"
     )
-    return on_file.join(looked, ["host", "spid", "sstart", "seq"], "left").selectExpr(
+    return on_file.join(looked, ["seq", "spid", "sstart", "host"], "left").selectExpr(
         *on_file.columns, f"CASE WHEN {foreign} THEN coalesce(f_exe, '') ELSE exe END AS sexe"
     )

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Identity of a process: a pid alone is reused within seconds on a busy host.
-KEY = ["host", "pid", "start"]
+# Identity of a process: a pid alone is reused within seconds on a busy host. Most selective column
+# first: sorts compare a fixed-size prefix of the first key, and a host name would tie on most rows.
+KEY = ["pid", "start", "host"]
 
 U64 = T.DecimalType(20, 0)
 
