@@ -131,9 +131,10 @@ def select_opens(
         "host_mnt_ns",
     )
     d = d.filter("watch_id <> 0 OR escape_target")
+    mnt = "coalesce(mnt_ns, 0)" if "mnt_ns" in opens.columns else "0"
     verdict = (
-        "(escape_target AND coalesce(host_mnt_ns, 0) <> 0 AND coalesce(mnt_ns, 0) <> 0"
-        " AND mnt_ns <> host_mnt_ns)"
+        f"(escape_target AND coalesce(host_mnt_ns, 0) <> 0 AND {mnt} <> 0"
+        f" AND {mnt} <> host_mnt_ns)"
     )
     return d.selectExpr(
         *opens.columns, "watch_id", "escape_target",
