@@ -79,14 +79,32 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
 
 def context_changes(states: DataFrame, how: dict) -> DataFrame:
-    """Moments at which a process starts or stops being a root daemon or enters a container."""
+    """Moments at which a process may start or stop being a root daemon or enter a container.
+
+    Naming a moment too many only costs an evaluation. Where every exec carries a name, those are the
+    execs that change the answer, the first name and the first container; otherwise names have to be
+    followed row by row.
+    """
+    daemon = X.is_root_daemon()
+    if how.get("named_execs"):
+        execs = states.filter("kind = 'exec'").selectExpr(*S.KEY, "seq", f"{daemon} AS flags")
+        first = states.groupBy(*S.KEY).agg(
+            F.expr("min(CASE WHEN comm <> '' THEN seq END) AS named"),
+            F.expr("min(CASE WHEN container <> '' THEN seq END) AS boxed"),
+        )
+        return (
+            collapse_runs(execs, S.KEY, "flags", size=how.get("size"))
+            .selectExpr(*S.KEY, "valid_from AS seq")
+            .unionByName(
+                first.selectExpr(*S.KEY, "explode(array_compact(array(named, boxed))) AS seq")
+            )
+        )
     own = graph.state_asof(
         states.select(*S.KEY, "seq"), states, ("comm", "container"), **how
-    ).selectExpr(
-        *S.KEY, "seq",
-        f"named_struct('d', {X.is_root_daemon()}, 'c', container <> '') AS flags",
-    )
-    return collapse_runs(own, S.KEY, "flags", size=how.get("size")).selectExpr(*S.KEY, "valid_from AS seq")
+    ).selectExpr(*S.KEY, "seq", f"named_struct('d', {daemon}, 'c', container <> '') AS flags")
+    return collapse_runs(own, S.KEY, "flags", size=how.get("size")).selectExpr(
+        *S.KEY, "valid_from AS seq"
+    )
 
 
 def candidates(

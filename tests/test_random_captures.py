@@ -95,6 +95,16 @@ def test_replay_equals_interpreter(spark, seed, chunk):
     assert got(r.incidents) == expected(events)
 
 
+def test_plan_choice_for_named_execs(spark):
+    """Without nameless execs a shorter plan is chosen; it must not change anything."""
+    events = [e | ({"comm": "prog"} if e["type"] == 1 and not e["comm"] else {}) for e in random_capture(5)]
+    r = replay(frame(spark, events), detect.Settings(), "info")
+    assert r.settings.named_execs and r.settings.chunk == 0
+    assert got(r.incidents) == expected(events)
+    r = replay(frame(spark, events), detect.Settings(chunk=16, named_execs=True), "info")
+    assert got(r.incidents) == expected(events)
+
+
 def test_replay_with_baseline(spark):
     events = random_capture(11)
     entries = [("suid_create", "/bin/sh", 9, 1, 10), ("credential_store_read", "/tmp/x", 3, 1, 4)]
