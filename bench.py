@@ -8,14 +8,14 @@ import statistics
 import time
 
 from procscope.catalog import base
-from procscope.operators import baseline, detect, records
+from procscope.operators import baseline, detect
 from procscope.plans.replay import replay
 from procscope.session import session
 from procscope.sources import synth
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "5"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def timed(fn, runs: int = RUNS) -> float:
@@ -46,11 +46,10 @@ def main() -> None:
     st = detect.Settings(host_mnt_ns=synth.HOST_MNT_NS)
 
     # Every run below starts from the capture table; nothing is kept between runs.
-    for _ in range(3):  # warm-up
+    for _ in range(2):  # warm-up
         replay(i.cap, st, "low").incidents.write.format("noop").mode("overwrite").save()
     q = {
         "l1_replay": timed(lambda: replay(i.cap, st, "low").incidents),
-        "l1_records": timed(lambda: records.records(replay(i.cap, st, "low")), 1),
         "l2_baseline": timed(
             lambda: baseline.learn(
                 i.cap, detect.signals(i.cap, st), i.states, 1_700_000_000_000
