@@ -576,14 +576,10 @@ def b17(i: Inputs):
     " CASE WHEN v >= 86400 THEN printf('%.1fd', v / 86400) WHEN v >= 3600 THEN"
     " printf('%.1fh', v / 3600) WHEN v >= 60 THEN printf('%.0fm', v / 60) ELSE v || 's' END AS human,"
     " CASE WHEN v < 60 THEN '+' || printf('%.2fs', v + 0.25) ELSE '+' || ((v + 30) // 60) || 'm' END"
-    " AS offset_text FROM (SELECT event_id, 1 + event_id * 17 % 100000 AS v FROM events)"
-    # Exact halves print differently by engine rounding mode and are left to the unit tests.
-    " WHERE v < 60 OR (v % 60 <> 30 AND v % 180 <> 0 AND v % 4320 <> 0)",
+    " AS offset_text FROM (SELECT event_id, 1 + event_id * 17 % 100000 AS v FROM events)",
 )
 def b18(i: Inputs):
-    d = i.events.selectExpr("e AS seq", "1 + e * 17 % 100000 AS v").filter(
-        "v < 60 OR (v % 60 <> 30 AND v % 180 <> 0 AND v % 4320 <> 0)"
-    )
+    d = i.events.selectExpr("e AS seq", "1 + e * 17 % 100000 AS v")
     return d.selectExpr(
         "seq", f"{T.ago('v')} AS ago", f"{B.human_duration('v')} AS human",
         f"{T.offset('(v * 1000000000 + if(v < 60, 250000000, 0))')} AS offset_text",

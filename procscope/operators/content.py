@@ -28,29 +28,53 @@ def read_files(spark, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def identify(targets_: DataFrame, contents: DataFrame, signatures: DataFrame) -> DataFrame:
+SIGNATURE_BYTES = 32 * 1024 * 1024
+
+
+def identify(
+    targets_: DataFrame,
+    contents: DataFrame,
+    signatures: DataFrame,
+    pass_bytes: int = SIGNATURE_BYTES,
+) -> DataFrame:
     """Outcome per target: matched (with rule names), clean, or raced when there was nothing to read.
 
-    Each distinct wanted body is read once, whatever number of incidents names it. Literals and
-    patterns are tested in one pass over a body: the signature list is an operator's rule set, held
-    as a single broadcast array, and the body is streamed against it without forming pairs.
+    Each distinct wanted body is read once, whatever number of incidents names it, and streamed
+    against the signatures without forming pairs. The signatures' size is measured first: up to
+    ``pass_bytes`` of them travel to the executors as one row; more are split over several passes
+    whose hits are put together, so no broadcast ever exceeds the bound by more than one pattern.
     """
     want = targets_.select("target").distinct()
     bodies = want.join(contents, "target", "left")
-    rules = signatures.groupBy().agg(
-        F.expr("collect_list(struct(rule, kind, pattern)) AS sigs")
-    )
+    size = signatures.agg(
+        F.expr("sum(octet_length(pattern) + octet_length(rule) + 32)")
+    ).first()[0]
+    passes = max(1, -(-(size or 0) // pass_bytes))
     hits = (
-        "array_sort(array_distinct(transform(filter(sigs, s -> CASE s.kind"
+        "array_sort(array_distinct(transform(filter(coalesce(sigs, array()), s -> CASE s.kind"
         " WHEN 'regex' THEN regexp_like(body, s.pattern)"
         " WHEN 'hex' THEN contains(hex(body), upper(s.pattern))"
         " ELSE contains(body, s.pattern) END), s -> s.rule)))"
     )
-    # One row of signatures.
-    scanned = bodies.crossJoin(F.broadcast(rules)).selectExpr(
-        "target", "coalesce(body, '') = '' AS gone",
-        f"CASE WHEN coalesce(body, '') <> '' THEN {hits} END AS rules",
-    )
+
+    def scan(part: DataFrame) -> DataFrame:
+        row = part.groupBy().agg(F.expr("collect_list(struct(rule, kind, pattern)) AS sigs"))
+        return bodies.crossJoin(F.broadcast(row)).selectExpr(
+            "target", "coalesce(body, '') = '' AS gone",
+            f"CASE WHEN coalesce(body, '') <> '' THEN {hits} END AS rules",
+        )
+
+    if passes == 1:
+        scanned = scan(signatures)
+    else:
+        cut = f"pmod(xxhash64(rule, kind, pattern), {passes})"
+        scanned = scan(signatures.filter(f"{cut} = 0"))
+        for k in range(1, passes):
+            scanned = scanned.unionByName(scan(signatures.filter(f"{cut} = {k}")))
+        scanned = scanned.groupBy("target").agg(
+            F.expr("bool_and(gone) AS gone"),
+            F.expr("array_sort(array_distinct(flatten(collect_list(rules)))) AS rules"),
+        )
     scanned = scanned.selectExpr(
         "target",
         "CASE WHEN gone THEN 'raced' WHEN size(rules) > 0 THEN 'matched' ELSE 'clean' END AS outcome",

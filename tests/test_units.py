@@ -286,10 +286,12 @@ def test_content_outcomes(spark):
         [("r1", "literal", "EVIL"), ("r2", "regex", "E.IL"), ("r3", "hex", "4556")],
         "rule string, kind string, pattern string",
     )
-    got = {r.target: (r.outcome, r.rules) for r in content.identify(t, c, s).collect()}
-    assert got == {
-        "a": ("matched", ["r1", "r2", "r3"]), "b": ("clean", None), "c": ("raced", None), "d": ("raced", None),
-    }
+    for limit in (content.SIGNATURE_BYTES, 50):
+        got = {r.target: (r.outcome, r.rules) for r in content.identify(t, c, s, limit).collect()}
+        assert got == {
+            "a": ("matched", ["r1", "r2", "r3"]), "b": ("clean", None),
+            "c": ("raced", None), "d": ("raced", None),
+        }
 
 
 def test_retention_ceiling(spark):
