@@ -164,15 +164,15 @@ def _check(
     unknown: str,
     knows: str = "total IS NOT NULL",
 ) -> DataFrame:
-    """One row per host. Items are the findings themselves, a list an operator reads per host."""
-    items = found.groupBy("host").agg(F.expr("sort_array(collect_list(item)) AS items"))
-    d = hosts.join(total, "host", "left").join(items, "host", "left")
-    d = d.selectExpr("*", f"coalesce({knows}, false) AS ok", "coalesce(size(items), 0) AS n")
+    """One row per host, with the number of findings; the findings stay rows of their own."""
+    counted = found.groupBy("host").agg(F.expr("count(1) AS found"))
+    d = hosts.join(total, "host", "left").join(counted, "host", "left")
+    d = d.selectExpr("*", f"coalesce({knows}, false) AS ok", "coalesce(found, 0L) AS n")
     return d.selectExpr(
         "host", f"'{name}' AS check",
         f"CASE WHEN NOT ok THEN 'unknown' WHEN n > 0 THEN '{bad}' ELSE 'clear' END AS status",
         f"CASE WHEN NOT ok THEN {unknown} WHEN n > 0 THEN {some} ELSE {clear} END AS summary",
-        "CASE WHEN ok AND n > 0 THEN items ELSE CAST(array() AS ARRAY<STRING>) END AS items",
+        "if(ok, n, 0L) AS n",
     )
 
 
@@ -187,9 +187,10 @@ def sweep(
     hatch_values: DataFrame,
     key_lines: DataFrame,
     now: int,
-) -> DataFrame:
-    """All six checks for every host: (host, check, status, summary, items). A check without an
-    authority to compare against is unknown, never clear."""
+) -> tuple[DataFrame, DataFrame]:
+    """All six checks for every host: (host, check, status, summary, n), and what they found as rows
+    (host, check, item). A check without an authority to compare against is unknown, never clear, and
+    lists nothing."""
 
     def count(df: DataFrame, expr: str = "count(1)") -> DataFrame:
         return df.groupBy("host").agg(F.expr(f"{expr} AS total"))
@@ -198,8 +199,19 @@ def sweep(
     with_owner = hosts.join(owned, "host", "left")
     no_manifest = "'no package manifests to compare against'"
     total = "coalesce(total, 0)"
+    trees = module_files.select("host").distinct().withColumn("tree", F.lit(True))
+    parsed = login_keys(key_lines, now)
+    judged = manifest.select("host").distinct()
+    found = [
+        unowned_setuid(files, manifest).join(judged, "host", "left_semi"),
+        unowned_persistence(files, manifest, pam_generated, now).join(judged, "host", "left_semi"),
+        deleted_executables(procs),
+        fileless_modules(loaded, module_files).join(trees, "host", "left_semi"),
+        armed_hatches(hatch_values),
+        parsed,
+    ]
     suid = _check(
-        with_owner, CHECKS[0], count(setuid_files(files)), unowned_setuid(files, manifest),
+        with_owner, CHECKS[0], count(setuid_files(files)), found[0],
         "suspect",
         f"concat({total}, ' setuid/setgid files, all package-owned')",
         f"concat({total}, ' setuid/setgid files, ', n, ' owned by no package')",
@@ -207,38 +219,36 @@ def sweep(
     )
     persistence = _check(
         with_owner, CHECKS[1], count(files.filter(_under("path", PERSISTENCE_DIRS))),
-        unowned_persistence(files, manifest, pam_generated, now), "notice",
+        found[1], "notice",
         f"concat({total}, ' files across {len(PERSISTENCE_DIRS)} directories, all accounted for')",
         f"concat({total}, ' files, ', n, ' not from a package')",
         no_manifest, "owned > 0",
     )
     running = _check(
-        hosts, CHECKS[2], count(procs), deleted_executables(procs), "suspect",
+        hosts, CHECKS[2], count(procs), found[2], "suspect",
         "concat(total, ' processes, every executable still on disk')",
         "concat(total, ' processes, ', n, ' running a deleted or anonymous executable')",
         "'/proc is not readable'",
     )
-    trees = module_files.select("host").distinct().withColumn("tree", F.lit(True))
     modules = _check(
         hosts.join(trees, "host", "left"), CHECKS[3], count(loaded),
-        fileless_modules(loaded, module_files), "suspect",
+        found[3], "suspect",
         "concat(total, ' loaded, every one backed by a file')",
         "concat(total, ' loaded, ', n, ' with no file under /lib/modules')",
         "'modules cannot be checked'", "tree AND total IS NOT NULL",
     )
     hatches = _check(
-        hosts, CHECKS[4], count(hatch_values), armed_hatches(hatch_values), "notice",
+        hosts, CHECKS[4], count(hatch_values), found[4], "notice",
         "concat(total, ' checked, none naming a program')",
         "concat(total, ' checked, ', n, ' naming a program')",
         "'no escape hatches readable on this kernel'",
     )
-    parsed = login_keys(key_lines, now)
     key_count = parsed.groupBy("host").agg(
         F.expr("count_if(parsed) AS n_keys"), F.expr("count_if(NOT parsed) AS n_odd")
     )
     keys = _check(
         hosts.join(key_count, "host", "left"), CHECKS[5],
-        count(key_lines, "count(DISTINCT path)"), parsed, "notice",
+        count(key_lines, "count(DISTINCT path)"), found[5], "notice",
         f"concat({total}, ' authorized_keys files, no keys')",
         f"concat(n_keys, ' keys across ', {total}, ' files',"
         " if(n_odd > 0, concat(', ', n_odd, ' unparseable line(s)'), ''))",
@@ -247,7 +257,11 @@ def sweep(
     out = suid
     for d in (persistence, running, modules, hatches, keys):
         out = out.unionByName(d)
-    return out
+    items = None
+    for check, d in zip(CHECKS, found, strict=True):
+        d = d.selectExpr("host", f"'{check}' AS check", "item")
+        items = d if items is None else items.unionByName(d)
+    return out, items
 
 
 def needs_attention(findings: DataFrame) -> DataFrame:
