@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from procscope import schema as S
 from procscope.catalog.base import EXTRA, Inputs, query
-from procscope.catalog.oracle_base import DETECTORS, FAMILY, HOST_NS, ROOT_DAEMONS, score_ctes, sql
+from procscope.catalog.oracle_base import DETECTORS, FAMILY, ROOT_DAEMONS, score_ctes, sql
 from procscope.catalog.rows import (
-    ATTACK_SQL, DETAIL_SQL, LEARNED, SNAP, TECHNIQUE_SQL, WIRE_SQL, snapshot,
+    ATTACK_SQL, DETAIL_SQL, LEARNED, SNAP, TECHNIQUE_SQL, snapshot,
 )
 from procscope.functions import events as X
 from procscope.operators import baseline as B
@@ -695,26 +695,11 @@ RSCORE["rscored"] = RSCORE["rscored"].replace("JOIN ctx c", "JOIN rctx c").repla
     "ON c.host = r.host AND c.seq = r.seq",
     "ON c.host = r.host AND c.seq = r.seq AND c.pid = r.pid AND c.start = r.start",
 )
-RSCORE["rctx"] = f"""
-SELECT e.host, e.seq, e.fpid AS pid, e.fstart AS start,
-  bool_or(bx.box_seq <= e.seq) AS boxed0,
-  coalesce(bool_or(bx.box_seq <= e.seq), false) AS boxed,
-  max_by(coalesce(x.comm, CASE WHEN b.first_seq <= e.seq THEN b.first_comm END, '')
-    IN {ROOT_DAEMONS}, p.depth) AS rooted
-FROM (SELECT DISTINCT host, seq, fpid, fstart FROM rbuck) e
-JOIN (SELECT * FROM anc UNION SELECT DISTINCT host, fpid, fstart, fpid, fstart, 0, -1 FROM rbuck) p
-  ON p.host = e.host AND p.pid = e.fpid AND p.start = e.fstart AND p.vf <= e.seq
-ASOF LEFT JOIN execs x ON x.host = e.host AND x.pid = p.apid AND x.start = p.astart AND e.seq >= x.seq
-LEFT JOIN born b ON b.host = e.host AND b.pid = p.apid AND b.start = p.astart
-LEFT JOIN boxed bx ON bx.host = e.host AND bx.pid = p.apid AND bx.start = p.astart
-GROUP BY ALL"""
 # A session root never acts itself, so its own (one-node) lineage is added.
 RULED["rfiled"] = RULED["rfiled"].replace(
     "JOIN anc p ON",
     "JOIN (SELECT * FROM anc UNION SELECT DISTINCT host, fpid, fstart, fpid, fstart, 0, -1 FROM rbuck) p ON",
 )
-# The lookup above is a join input, where an as-of join cannot see two tables at once.
-RSCORE["rctx"] = RSCORE["rctx"].replace("bool_or(bx.box_seq <= e.seq) AS boxed0,\n  ", "")
 RSCORE["rnode"] = """
 SELECT DISTINCT e.host, e.seq, e.fpid, e.fstart, p.apid, p.astart, p.depth
 FROM (SELECT DISTINCT host, seq, fpid, fstart FROM rbuck) e

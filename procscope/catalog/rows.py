@@ -45,7 +45,6 @@ def _with_noise(i: Inputs):
 )
 def a1(i: Inputs):
     good, bad = src.parse_lines(_with_noise(i))
-    g = good.groupBy("host").agg({"seq": "count", "ts_ns": "sum"})
     g = good.selectExpr("host", "ts_ns DIV 1000000000 AS s").groupBy("host").agg(
         _e("count(1) AS events"), _e("CAST(sum(s) AS BIGINT) AS secs")
     )
@@ -86,13 +85,6 @@ def _wire(i: Inputs):
     )
 
 
-WIRE_SQL = """
-SELECT 'host-' || (user_id % 8) AS host, event_id AS seq, event_id % 64 AS flags, event_id AS e,
- user_id AS u,
- CASE event_id % 6 WHEN 0 THEN 'docker:' || left(lpad(upper(hex_of(event_id)), 64, '0'), 12) END AS c
-FROM events"""
-
-
 @query(
     "a3_wire_flags",
     "SELECT 'host-' || (user_id % 8) AS host, event_id AS seq, (event_id & 1) <> 0 AS truncated,"
