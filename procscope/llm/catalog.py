@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procscope.llm import mil, packing, pivots, token_tree, url_rules
+from procscope.llm import line_align, mil, packing, pivots, secrets_forest, spans, token_tree, url_rules, wand
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10, 1024)
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of every document, one row for each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = wand.mark_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.selectExpr("doc_id", "inline(leaks)")
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, before and after its editing session: the turns of the
@@ -57,11 +65,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(docs, 35).selectExpr(
+        "doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256"
+    )
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = secrets_forest.train(secrets_forest.labelled_findings(docs, 3000, "source"))
+    return secrets_forest.scan(docs, model, "source")
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_align.dedup_lines(docs).selectExpr(
+        "doc_id", "n_lines", "n_removed", "CAST(length(text) AS LONG) AS n_chars",
+        "sha2(text, 256) AS kept_sha256",
+    )
+
+
 QUALITY_CUT = 0.3
 
 
