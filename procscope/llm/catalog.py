@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procscope.llm import line_align, mil, packing, pivots, secrets_forest, spans, token_tree, url_rules, wand
+from procscope.llm import line_align, mil, packing, pivots, prefix_join, secrets_forest, spans, token_tree, url_rules, wand
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", 10, 1024)
 
 
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_join.groups(docs, 3, 90).drop("key")
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked items of every document, one row for each."""
