@@ -33,13 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that an earlier document has. A document of which nothing
     but white space is left goes; n_chars follows the text."""
-    out = line_align.dedup_lines(docs.drop("n_lines", "n_removed"))
-    left = F.col("text").rlike(r"\S")
-    out = out.where((F.col("n_removed") == 0) | left)
+    total, removed = _fresh(docs, "n_lines"), _fresh(docs, "n_removed")
+    out = line_align.dedup_lines(docs, total=total, removed=removed)
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,17 +137,19 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, total: str = "n_lines", removed: str = "n_removed"
+) -> DataFrame:
     """``docs`` without the blocks of lines that an earlier document has too.
 
     Lines end with a newline and are compared without white space at their ends. Documents are
     ordered by doc_id, then by a hash of the text; those without an id come last. Rows alike in id
     and text are one document. A text of which nothing is left is empty; null and empty texts stay.
-    Adds n_lines and n_removed (null texts: 0), which replace columns of those names; all other
-    columns stay.
+    Adds the number of lines and of those removed (null texts: 0) under the names ``total`` and
+    ``removed``, in place of columns of those names; all other columns stay.
     """
     gone = repeated_lines(docs, min_words).withColumnRenamed("key", "__key")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in (total, removed)]
     kept = (
         "array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone),"
         " i -> __lines[i]), '\\n')"
@@ -160,6 +162,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ]
     return out.select(
         *cols,
-        F.expr("CAST(if(text IS NULL OR text = '', 0, size(__lines)) AS LONG)").alias("n_lines"),
-        F.expr("CAST(coalesce(size(__gone), 0) AS LONG)").alias("n_removed"),
+        F.expr("CAST(if(text IS NULL OR text = '', 0, size(__lines)) AS LONG)").alias(total),
+        F.expr("CAST(coalesce(size(__gone), 0) AS LONG)").alias(removed),
     )

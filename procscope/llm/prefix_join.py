@@ -391,7 +391,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     judged = groups(docs, size, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
     stay = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("s"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    none = "doc_id IS NULL OR coalesce(text, '') NOT RLIKE '[^\\x20\\x09-\\x0D]'"
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    none = F.col("doc_id").isNull() | ~words
     one = keyed.join(stay.selectExpr("s.key AS __key"), "__key", "left_semi")
-    one = one.where(f"NOT ({none})").dropDuplicates(["__key"])
+    one = one.where(~none).dropDuplicates(["__key"])
     return one.unionByName(keyed.where(none)).drop("__key")

@@ -11,12 +11,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procscope.session import scratch_path
+
 MIXED = "[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z0-9][+/_-][A-Za-z0-9]"
 RUN = "[A-Za-z0-9+/_-]{14,}={0,2}"
 
@@ -183,7 +185,11 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 6) -> PipelineModel
         featuresCol="_inputs", labelCol="label", numTrees=trees, maxDepth=depth, seed=11,
         rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
     )
-    return PipelineModel([vector, forest.fit(vector.transform(findings))])
+    # Written and read, the model is free of the training summary, which holds the session and may
+    # not be sent to executors.
+    path = scratch_path(findings.sparkSession, "forest")
+    forest.fit(vector.transform(findings)).save(path)
+    return PipelineModel([vector, RandomForestClassificationModel.load(path)])
 
 
 def scan(
