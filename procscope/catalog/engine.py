@@ -13,7 +13,6 @@ from procscope.catalog.rows import (
 from procscope.functions import events as X
 from procscope.operators import baseline as B
 from procscope.operators import content, detect, graph, records, rules, score, trust
-from procscope.operators.scan import chunk_size
 from procscope.plans.replay import replay
 from procscope.session import materialize
 
@@ -36,7 +35,7 @@ def d01(i: Inputs):
     subjects = i.cap.filter("type NOT IN (2, 3)").selectExpr(
         "host", "tgid AS pid", "start_boottime AS start", "seq"
     )
-    return graph.ancestry(i.cap, subjects, chunk_size(i.cap)).selectExpr(
+    return graph.ancestry(i.cap, subjects, 64).selectExpr(
         "host", "seq", "pid", "start", "CAST(depth AS BIGINT) AS depth", "apid", "astart", "comm"
     )
 
@@ -396,8 +395,8 @@ UNION ALL SELECT * FROM (SELECT 'subject', CASE WHEN p.aexe <> '' THEN p.aexe EL
 def f07(i: Inputs):
     inc = i.run.incidents.filter("rank >= 2")
     ev = records.evidence(i.run, inc)
-    a = records.offenders(ev, "id").selectExpr("'signal' AS kind", "name", "count")
-    b = records.offenders(records.subject_names(i.run, inc), "subject")
+    a = records.offenders(ev, "id", 10).selectExpr("'signal' AS kind", "name", "count")
+    b = records.offenders(records.subject_names(i.run, inc), "subject", 10)
     return a.unionByName(b.selectExpr("'subject' AS kind", "name", "count"))
 
 
@@ -438,7 +437,7 @@ def g01(i: Inputs):
     "g04_credential_history",
     sql(
         "SELECT host, pid, start, seq, uid, euid, n FROM (SELECT *, row_number() OVER"
-        " (PARTITION BY host, pid, start ORDER BY seq) AS n FROM cap WHERE type = 4) WHERE n <= 64"
+        " (PARTITION BY host, pid, start ORDER BY seq) AS n FROM cap WHERE type = 4)"
     ),
 )
 def g04(i: Inputs):
@@ -486,10 +485,25 @@ SELECT w.target::VARCHAR AS target, CASE WHEN coalesce(d.text, '') = '' THEN 'ra
 FROM want w LEFT JOIN documents d ON d.doc_id = w.target LEFT JOIN hits h ON h.target = w.target""",
 )
 def d14(i: Inputs):
-    contents = i.table("documents").selectExpr("CAST(doc_id AS STRING) AS target", "text AS body")
-    sigs = i.table("benchmark").selectExpr(
-        "concat('rule-', item_id) AS rule", "'literal' AS kind", "text AS pattern"
+    # Every other body is no valid text; a third of the signatures each is literal, hex and regex.
+    contents = i.table("documents").selectExpr(
+        "CAST(doc_id AS STRING) AS target",
+        "CASE WHEN doc_id % 2 = 1 AND text <> '' THEN unhex(concat('FFFE80', hex(encode(text, 'UTF-8'))))"
+        " ELSE encode(text, 'UTF-8') END AS body",
     )
+    sigs = i.table("benchmark").selectExpr(
+        "concat('rule-', item_id) AS rule",
+        "CASE item_id % 3 WHEN 0 THEN 'literal' WHEN 1 THEN 'hex' ELSE 'regex' END AS kind",
+        "CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN hex(encode(text, 'UTF-8'))"
+        " ELSE concat('\\\\Q', text, '\\\\E') END AS pattern",
+    )
+    # Text that only half-byte offsets would give, which must not match.
+    sigs = sigs.unionByName(
+        i.table("benchmark").selectExpr(
+            "concat('half-', item_id) AS rule", "'hex' AS kind",
+            "substring(hex(encode(text, 'UTF-8')), 2, 24) AS pattern",
+        )
+    )
     gone = i.table("conversations").selectExpr("conv_id + 100000000 AS t").distinct()
     want = contents.select("target").distinct().unionByName(
         gone.selectExpr("CAST(t AS STRING) AS target")

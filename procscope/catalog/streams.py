@@ -164,6 +164,7 @@ def k6(i: Inputs):
     "k7_ingest_stream",
     sql(
         "SELECT s.host, (SELECT count(*) FROM stored t WHERE t.host = s.host) AS incidents,"
+        " coalesce((SELECT sum(id) FROM stored t WHERE t.host = s.host), 0)::BIGINT AS ids,"
         " max(received) AS last_heartbeat, arg_max(events, seq) AS events, min(received) AS first_seen,"
         " arg_max(sensors_active, seq) FILTER (sensors_total > 0) AS sensors_active"
         " FROM beats s GROUP BY ALL",
@@ -182,9 +183,11 @@ def k7(i: Inputs):
     path = _files(i, lines, f"received * 3 DIV {top}", 3, "feed")
     job = live.FleetIngest(i.spark, scratch_path(i.spark, "fleet"))
     job.start(_stream(i, path, lines.schema)).awaitTermination()
-    n = job.incidents().groupBy("host").agg(F.expr("count(1) AS incidents"))
+    n = job.incidents().groupBy("host").agg(
+        F.expr("count(1) AS incidents"), F.expr("sum(id) AS ids")
+    )
     return job.hosts(2).join(n, "host", "left").selectExpr(
-        "host", "coalesce(incidents, 0L) AS incidents", "last_heartbeat", "events", "first_seen",
+        "host", "coalesce(incidents, 0L) AS incidents", "coalesce(ids, 0L) AS ids", "last_heartbeat", "events", "first_seen",
         "sensors_active",
     )
 

@@ -32,7 +32,7 @@ SYSLOG_FACILITY = 4
 
 def argv_of(raw: str = "argv_raw") -> str:
     """NUL-separated argument bytes to a list; empty arguments vanish."""
-    return f"filter(split(left({raw}, 512), '\\u0000'), a -> a <> '')"
+    return f"filter(split({raw}, '\\u0000'), a -> a <> '')"
 
 
 def container_label(path: str) -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from procscope.functions import events as X
 from procscope.functions import text as T
-from procscope.operators.scan import over
+from procscope.operators.scan import last_known, over
+from procscope.session import materialize
 
 # Fixed values.
 WINDOW_SECS = 60
@@ -36,39 +37,69 @@ def alerts(incidents: DataFrame, floor: str = "medium", source: str = "procscope
     )
 
 
-def throttle_windows(alerts_: DataFrame, start: int) -> DataFrame:
-    """Delivery windows: the first opens at ``start``, the next at the first alert 60 s or more after
-    the current one opened.
+def throttle_windows(alerts_: DataFrame, start: str) -> DataFrame:
+    """Delivery windows: the first opens at ``start`` (an expression, constant for a sink), the next
+    at the first alert 60 s or more after the current one opened.
 
-    Where windows open depends only on which seconds have alerts. So alerts are counted per second
-    first; the sequential walk then runs over seconds of history, not over alerts, however dense
-    they are. Returns (sink, second, n, opened).
+    Where windows open depends only on which seconds have alerts. A second that follows a pause of
+    60 s or more opens one in any case. From any other second the next opening, if this one opened,
+    lies in the next two minutes, so an equality join finds it; the openings that a sure one leads
+    to are then found by doubling the length of the jump, in as many rounds as the logarithm of the
+    longest chain. No step is sequential, and no sink is kept in one task. Returns (sink, second,
+    n, opened).
     """
-    per = alerts_.groupBy("sink", F.expr("at AS second")).agg(F.expr("count(1) AS n"))
-    ordered = per.repartition("sink").sortWithinPartitions("sink", "second")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sink, opened = None, start
-        for b in batches:
-            out = []
-            for s, second in zip(b.sink, b.second, strict=True):
-                if s != sink:
-                    sink, opened = s, start
-                if second - opened >= WINDOW_SECS:
-                    opened = second
-                out.append(opened)
-            yield b.assign(opened=out)
-
-    return ordered.mapInPandas(walk, "sink string, second long, n long, opened long")
+    d = alerts_.selectExpr("sink", "at AS second", f"CAST({start} AS BIGINT) AS start")
+    per = materialize(
+        d.groupBy("sink", "second").agg(F.expr("count(1) AS n"), F.expr("min(start) AS start")),
+        "alert-seconds",
+    )
+    # The first window is a node of its own; alerts before its end are in it.
+    nodes = per.filter("second > start").selectExpr("sink", "second")
+    first = per.selectExpr("sink", "start AS second").distinct()
+    nodes = materialize(nodes.unionByName(first).distinct(), "alert-nodes")
+    minutes = nodes.groupBy("sink", F.expr("second DIV 60 AS minute")).agg(
+        F.expr("array_sort(collect_set(second)) AS seconds")  # at most 60
+    )
+    after = nodes.selectExpr(
+        "sink", "second", "explode(array(1L, 2L)) AS k"
+    ).selectExpr("sink", "second", f"second DIV {WINDOW_SECS} + k AS minute").join(minutes, ["sink", "minute"])
+    jump = after.groupBy("sink", "second").agg(
+        F.expr(f"min(array_min(filter(seconds, s -> s >= second + {WINDOW_SECS}))) AS nxt")
+    )
+    jump = materialize(jump.filter("nxt IS NOT NULL"), "alert-jump")
+    back = nodes.selectExpr(
+        "sink", "second", "explode(array(0L, 1L)) AS k"
+    ).selectExpr("sink", "second", f"second DIV {WINDOW_SECS} - k AS minute")
+    near = back.join(minutes, ["sink", "minute"]).filter(
+        f"exists(seconds, s -> s < second AND s > second - {WINDOW_SECS})"
+    )
+    sure = nodes.join(near.select("sink", "second").distinct(), ["sink", "second"], "left_anti")
+    opened = materialize(sure.unionByName(first).distinct(), "alert-opened")
+    while not jump.isEmpty():
+        more = opened.join(jump, ["sink", "second"]).selectExpr("sink", "nxt AS second")
+        opened = materialize(opened.unionByName(more).distinct(), "alert-opened")
+        far = jump.selectExpr("sink", "second AS nxt", "nxt AS far")
+        jump = materialize(
+            jump.join(far, ["sink", "nxt"]).selectExpr("sink", "second", "far AS nxt"), "alert-jump"
+        )
+    marks = opened.selectExpr("sink", "second", "CAST(NULL AS BIGINT) AS n", "second AS mark")
+    rows = per.filter("second > start").selectExpr(
+        "sink", "second", "n", "CAST(NULL AS BIGINT) AS mark"
+    )
+    # Openings sort before the alerts of their second.
+    both = marks.unionByName(rows).selectExpr("*", "second * 2 + int(n IS NOT NULL) AS o")
+    placed = last_known(both, ["sink"], "o", {"opened": "mark"}, 2 * 86_400).filter("n IS NOT NULL")
+    early = per.filter("second <= start").selectExpr("sink", "second", "n", "start AS opened")
+    return placed.select("sink", "second", "n", "opened").unionByName(early)
 
 
-def throttle(alerts_: DataFrame, per_window: int, start: int) -> tuple[DataFrame, DataFrame]:
+def throttle(alerts_: DataFrame, per_window: int, start: int | str) -> tuple[DataFrame, DataFrame]:
     """(alerts with ``delivered``, one summary row per window that held some back).
 
     ``alerts_``: (sink, at, ord, …) with ``ord`` the arrival order among equal ``at``. 0 means no cap.
-    A summary is sent when the next window opens.
+    A summary is sent when the next window opens. ``start`` may be an expression over ``alerts_``.
     """
-    w = throttle_windows(alerts_, start)
+    w = materialize(throttle_windows(alerts_, str(start)), "alert-windows")
     key = ["sink", "opened"]
     before = f"coalesce(sum(n) {over(key, 'second', 'ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}, 0L)"
     w = w.selectExpr("*", f"{before} AS earlier")

@@ -71,8 +71,8 @@ def weights(b: Baseline) -> DataFrame:
     """Entries with ``confidence`` and ``factor``, the share of its score a known pair keeps."""
     h = b.header.selectExpr(*_keys(b), "window_ns", f"{age_days(b.evaluate_at_ms)} AS age")
     h = h.selectExpr("*", f"{freshness('age')} AS fresh")
-    # The header is one row, or one row per host.
-    d = b.entries.join(h, _keys(b)) if _keys(b) else b.entries.crossJoin(F.broadcast(h.limit(1)))
+    # The header is one row (``load`` sees to that), or one row per host.
+    d = b.entries.join(h, _keys(b)) if _keys(b) else b.entries.crossJoin(F.broadcast(h))
     d = d.selectExpr(
         *b.entries.columns,
         f"{evidence('count', 'first_ns', 'last_ns', 'window_ns')} * fresh AS confidence",
@@ -262,4 +262,12 @@ def load(spark, path: str, evaluate_at_ms: int | None, per_host: bool = False) -
         *k, "e.signal AS signal", "e.exe AS exe", "e.count AS count",
         "coalesce(e.first_ns, 0L) AS first_ns", "coalesce(e.last_ns, 0L) AS last_ns",
     )
+    if not per_host:
+        # Several files merge into what the largest of them says.
+        header = header.agg(*[F.max(c).alias(c) for c in header.columns])
+        entries = entries.groupBy("signal", "exe").agg(
+            F.max("count").alias("count"),
+            F.min("first_ns").alias("first_ns"),
+            F.max("last_ns").alias("last_ns"),
+        )
     return Baseline(entries, header, evaluate_at_ms)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCAN_BYTES = 32 * 1024 * 1024
-
-
 def targets(evidence: DataFrame) -> DataFrame:
     """Distinct targets per incident, with the first signal that named each."""
     return (
@@ -18,17 +15,51 @@ def targets(evidence: DataFrame) -> DataFrame:
 
 
 def read_files(spark, path: str, glob: str = "*") -> DataFrame:
-    """(target, body) of files on shared storage; at most the scan limit of each is kept."""
+    """(target, body) of files on shared storage, whole and as bytes."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .selectExpr("path AS target", f"decode(left(content, {SCAN_BYTES}), 'UTF-8') AS body")
+        .selectExpr("path AS target", "content AS body")
     )
 
 
-SIGNATURE_BYTES = 32 * 1024 * 1024
+GRAM = 4  # bytes of a signature that a body is looked up by
+BLOCK = 1 << 16  # bytes of a body whose grams are listed at once
+SIGNATURE_BYTES = 8 * 1024 * 1024
+
+
+def _core(pattern: str) -> str:
+    """SQL of the longest text that every match of a regular expression holds, as far as is plain:
+    '' for alternatives and groups; what is optional, repeated, a class or escaped splits it."""
+    cut = pattern
+    for part in (r"\\\\.", r"\\[[^\\]]*\\]", r".\\{[^}]*\\}", r".[?*]", r"[.^$+]"):
+        cut = f"regexp_replace({cut}, '{part}', '\\u0001')"
+    longest = f"array_max(transform(split({cut}, '\\u0001'), x -> struct(length(x) AS n, x AS x))).x"
+    return f"CASE WHEN {pattern} RLIKE '[|(]' THEN '' ELSE {longest} END"
+
+
+def _signatures(signatures: DataFrame) -> DataFrame:
+    """(rule, kind, pattern, bytes, gram): what to look for, on bytes. ``gram`` is null where nothing
+    long enough is sure to occur."""
+    text = "encode(pattern, 'UTF-8')"
+    return signatures.selectExpr(
+        "rule", "kind", f"decode({text}, 'ISO-8859-1') AS pattern",
+        "CASE kind WHEN 'regex' THEN CAST(NULL AS BINARY)"
+        f" WHEN 'hex' THEN unhex(regexp_replace(pattern, '[^0-9A-Fa-f]', '')) ELSE {text} END AS bytes",
+        f"CASE kind WHEN 'regex' THEN encode({_core('pattern')}, 'UTF-8')"
+        f" WHEN 'hex' THEN unhex(regexp_replace(pattern, '[^0-9A-Fa-f]', '')) ELSE {text} END AS sure",
+    ).selectExpr(
+        "rule", "kind", "pattern", "bytes",
+        f"CASE WHEN octet_length(sure) >= {GRAM} THEN substring(sure, 1, {GRAM}) END AS gram",
+    )
+
+
+HIT = (
+    "CASE WHEN {s}bytes IS NULL THEN regexp_like(decode(body, 'ISO-8859-1'), {s}pattern)"
+    " ELSE contains(body, {s}bytes) END"
+)
 
 
 def identify(
@@ -39,46 +70,49 @@ def identify(
 ) -> DataFrame:
     """Outcome per target: matched (with rule names), clean, or raced when there was nothing to read.
 
-    Each distinct wanted body is read once, whatever number of incidents names it, and streamed
-    against the signatures without forming pairs. The signatures' size is measured first: up to
-    ``pass_bytes`` of them travel to the executors as one row; more are split over several passes
-    whose hits are put together, so no broadcast ever exceeds the bound by more than one pattern.
+    ``contents``: (target, body) with bytes, or text that counts as its UTF-8 bytes. ``signatures``:
+    (rule, kind, pattern) of kind literal, regex or hex; all match bytes, so that a regular
+    expression sees each byte as one character. Each signature is indexed by its first bytes, or
+    those of the text a regular expression is sure to hold; the distinct grams of a body fetch
+    signatures by an equality join, and only fetched ones are tried. What is too short to be indexed
+    travels to the executors in passes of at most ``pass_bytes``, measured first.
     """
     want = targets_.select("target").distinct()
-    bodies = want.join(contents, "target", "left")
-    size = signatures.agg(
-        F.expr("sum(octet_length(pattern) + octet_length(rule) + 32)")
-    ).first()[0]
-    passes = max(1, -(-(size or 0) // pass_bytes))
+    bodies = want.join(contents.selectExpr("target", "CAST(body AS BINARY) AS body"), "target", "left")
+    sigs = _signatures(signatures)
+    indexed = sigs.filter("gram IS NOT NULL")
+    blocks = bodies.filter("octet_length(body) > 0").selectExpr(
+        "target",
+        f"explode(transform(sequence(0, (octet_length(body) - 1) DIV {BLOCK}),"
+        f" k -> substring(body, k * {BLOCK} + 1, {BLOCK + GRAM - 1}))) AS block",
+    )
+    grams = blocks.filter(f"octet_length(block) >= {GRAM}").selectExpr(
+        "target",
+        f"explode(array_distinct(transform(sequence(1, octet_length(block) - {GRAM - 1}),"
+        f" i -> substring(block, i, {GRAM})))) AS gram",
+    )
+    fetched = grams.join(indexed, "gram").drop("gram").distinct()
     hits = (
-        "array_sort(array_distinct(transform(filter(coalesce(sigs, array()), s -> CASE s.kind"
-        " WHEN 'regex' THEN regexp_like(body, s.pattern)"
-        " WHEN 'hex' THEN contains(hex(body), upper(s.pattern))"
-        " ELSE contains(body, s.pattern) END), s -> s.rule)))"
+        fetched.join(bodies, "target").filter(HIT.format(s="")).select("target", "rule")
     )
-
-    def scan(part: DataFrame) -> DataFrame:
-        row = part.groupBy().agg(F.expr("collect_list(struct(rule, kind, pattern)) AS sigs"))
-        return bodies.crossJoin(F.broadcast(row)).selectExpr(
-            "target", "coalesce(body, '') = '' AS gone",
-            f"CASE WHEN coalesce(body, '') <> '' THEN {hits} END AS rules",
-        )
-
-    if passes == 1:
-        scanned = scan(signatures)
-    else:
-        cut = f"pmod(xxhash64(rule, kind, pattern), {passes})"
-        scanned = scan(signatures.filter(f"{cut} = 0"))
-        for k in range(1, passes):
-            scanned = scanned.unionByName(scan(signatures.filter(f"{cut} = {k}")))
-        scanned = scanned.groupBy("target").agg(
-            F.expr("bool_and(gone) AS gone"),
-            F.expr("array_sort(array_distinct(flatten(collect_list(rules)))) AS rules"),
+    rest = sigs.filter("gram IS NULL")
+    size = rest.agg(F.expr("sum(octet_length(pattern) + octet_length(rule) + 32)")).first()[0] or 0
+    passes = -(-size // pass_bytes)
+    for k in range(passes):
+        part = rest.filter(f"pmod(xxhash64(rule, kind, pattern), {passes}) = {k}")
+        row = part.groupBy().agg(F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs"))
+        tried = bodies.filter("octet_length(body) > 0").crossJoin(F.broadcast(row)).selectExpr(
+            "target", f"explode(filter(sigs, s -> {HIT.format(s='s.')})) AS s"
         )
-    scanned = scanned.selectExpr(
+        hits = hits.unionByName(tried.selectExpr("target", "s.rule AS rule"))
+    hits = hits.groupBy("target").agg(F.expr("array_sort(collect_set(rule)) AS rules"))
+    gone = bodies.groupBy("target").agg(
+        F.expr("bool_and(coalesce(octet_length(body), 0) = 0) AS gone")
+    )
+    scanned = gone.join(hits, "target", "left").selectExpr(
         "target",
-        "CASE WHEN gone THEN 'raced' WHEN size(rules) > 0 THEN 'matched' ELSE 'clean' END AS outcome",
-        "CASE WHEN size(rules) > 0 THEN rules END AS rules",
+        "CASE WHEN gone THEN 'raced' WHEN rules IS NOT NULL THEN 'matched' ELSE 'clean' END AS outcome",
+        "rules",
         "CASE WHEN gone THEN concat(target, ' was empty or already gone') END AS reason",
     )
     return targets_.join(scanned, "target")

@@ -45,7 +45,6 @@ ATTACK = {
 }
 # Position of each exec detector among the signals of one event.
 ORD_NAMESPACE, ORD_TMP, ORD_DAEMON, ORD_SOCKET = range(4)
-MAX_ORD = 1024  # an event's signals are numbered below this; rules follow the built-ins
 
 SIGNAL_COLS = [
     "host", "seq", "ord", "id", "score", "attack", "detail", "ts_ns", "pid", "start", "target",
@@ -59,13 +58,12 @@ class Settings:
     host_mnt_ns: int | None = None  # one value for every host, or
     hosts: DataFrame | None = None  # (host, host_mnt_ns)
     strict_kernel_worker: bool = False
-    chunk: int | None = None
-    named_execs: bool = False  # no exec of the capture has an empty name
+    chunk: int | None = None  # arrival numbers of a key that one task may hold
 
     @property
     def lookup(self) -> dict:
         """Plan options of state lookups."""
-        return {"size": self.chunk, "named_execs": self.named_execs}
+        return {"size": self.chunk}
 
 
 def _signal(

@@ -61,7 +61,7 @@ def default_watches(spark, homes: DataFrame | None = None, root_key_writes: bool
     return hosts.crossJoin(F.broadcast(static)).unionByName(per_home)
 
 
-def watch_flags(opens: DataFrame, watches: DataFrame, max_prefix: int = 256) -> DataFrame:
+def watch_flags(opens: DataFrame, watches: DataFrame) -> DataFrame:
     """Flags of the longest watched prefix of each path (0 when none).
 
     A path is looked up under each of the prefix lengths that occur in the watch table, as equality
@@ -72,10 +72,9 @@ def watch_flags(opens: DataFrame, watches: DataFrame, max_prefix: int = 256) ->
     lengths = [
         r[0]
         for r in watches.selectExpr(f"char_length(prefix) AS n")
-        .filter(f"n < {max_prefix}")
         .distinct()
         .orderBy(F.desc("n"))
-        .collect()  # at most max_prefix integers
+        .collect()  # one integer per length in use
     ]
     tries = ", ".join(
         f"CASE WHEN char_length(path) >= {n} THEN left(path, {n}) END" for n in lengths

@@ -13,9 +13,6 @@ from procscope.operators.scan import chunk_of, over
 HEARTBEAT_SECS = 60
 STALE_SECS = 3 * HEARTBEAT_SECS
 SILENT_SECS = 10 * HEARTBEAT_SECS
-PER_HOST = 500
-MAX_STORED = 200_000
-RECENT = 200
 DARK = "status IN ('blind', 'silent', 'stale')"
 
 
@@ -30,25 +27,32 @@ def newest(df: DataFrame, keys: list[str], order: list[str], n: int, chunk: str)
     return d.selectExpr("*", f"row_number() {whole} AS _n").filter(f"_n <= {n}").drop("_n")
 
 
-def newest_per_host(incidents: DataFrame, n: int = PER_HOST) -> DataFrame:
+def newest_per_host(incidents: DataFrame, n: int) -> DataFrame:
     return newest(incidents, ["host"], ["id"], n, chunk_of("id"))
 
 
 def retain(
-    incidents: DataFrame, now: int, days: int, ceiling: int = MAX_STORED
+    incidents: DataFrame, now: int, days: int, ceiling: int | None = None
 ) -> DataFrame:
-    """Age limit first (0 days keeps every age), then the newest ``ceiling`` rows.
+    """Age limit first (0 days keeps every age), then the newest ``ceiling`` rows if one is given.
 
     The cut-off of the ceiling is found from counts per second, so nothing is sorted as a whole:
     seconds that fit entirely stay, and only the second on the border is ranked.
     """
     d = incidents if days <= 0 else incidents.filter(F.col("received") >= now - days * 86_400)
+    if ceiling is None:
+        return d
+    # Two levels, so that no task holds all seconds of the history: days, then the seconds of each.
     per = d.groupBy("received").agg(F.expr("count(1) AS n"))
-    # One row per second of stored history.
-    per = per.selectExpr(
+    per = per.selectExpr("*", "received DIV 86400 AS day")
+    days_ = per.groupBy("day").agg(F.expr("sum(n) AS total")).selectExpr(
+        "day", "coalesce(sum(total) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1"
+        " PRECEDING), 0L) AS later",
+    )
+    per = per.join(days_.filter(f"later < {ceiling}"), "day").selectExpr(
         "received", "n",
-        "sum(n) OVER (ORDER BY received DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        " - n AS above",
+        "later + sum(n) OVER (PARTITION BY day ORDER BY received DESC"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS above",
     ).filter(f"above < {ceiling}")
     d = d.join(per, "received")
     whole = d.filter(f"above + n <= {ceiling}")
@@ -186,7 +190,7 @@ def when_ms() -> str:
     return "coalesce(record.ts, received * 1000L)"
 
 
-def recent(incidents: DataFrame, n: int = RECENT) -> DataFrame:
+def recent(incidents: DataFrame, n: int) -> DataFrame:
     """Newest incidents across the fleet, by event time where one is known."""
     return (
         incidents.selectExpr("*", f"{when_ms()} AS at_ms")
@@ -195,7 +199,7 @@ def recent(incidents: DataFrame, n: int = RECENT) -> DataFrame:
     )
 
 
-def audit(incidents: DataFrame, n: int = RECENT) -> DataFrame:
+def audit(incidents: DataFrame, n: int) -> DataFrame:
     return (
         incidents.filter("resolved")
         .selectExpr(

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procscope import schema as S
-from procscope.operators.scan import BEFORE, END, UPTO, WHOLE, chunk_of, collapse_runs, over
+from procscope.operators.scan import BEFORE, END, UPTO, chunk_of, collapse_runs, over
 from procscope.session import materialize, materialize_counted
 
-MAX_NODES = 64
+CYCLE_CHECK = 8  # lineages this deep are rare, so cycles are looked for only then
 SNAPSHOT_TOLERANCE_NS = 20_000_000
 
 def state_rows(capture: DataFrame) -> DataFrame:
@@ -61,22 +61,17 @@ def state_asof(
     changes: DataFrame,
     fields: tuple[str, ...] = ("comm", "exe", "trusted"),
     size: int | None = None,
-    named_execs: bool = False,
 ) -> DataFrame:
     """Attach the state of ``(host, pid, start)`` as of ``seq`` (inclusive) to every lookup row.
 
     Adds ``known`` and the requested fields. A name comes from the newest exec; while that is empty
-    the first non-empty name seen since then is used. ``named_execs`` promises that no exec has an
-    empty name, which lets the one-chunk plan do without ordering names by exec period.
+    the first non-empty name seen since then is used.
     """
-    short = named_execs and size == WHOLE
     payload = [c for c in lookups.columns if c not in S.KEY + ["seq"]]
     want = set(fields)
     image = [f for f in ("exe", "trusted", "argv") if f in want]
     cred = [f for f in ("uid", "euid") if f in want]
     named = "comm" in want
-    if named and short:
-        image = ["comm", *image]
 
     left = lookups.selectExpr(
         *S.KEY, "seq * 4 + 3 AS o",
@@ -95,39 +90,28 @@ def state_asof(
         parts["cont"] = "nullif(container, '')"
     if named:
         parts["name"] = "nullif(comm, '')"
-    if named and not short:
         parts["exec_o"] = "CASE WHEN kind = 'exec' THEN seq * 4 + sub END"
     right = changes.selectExpr(
         *S.KEY, "seq * 4 + sub AS o", "true AS touch", *[f"{e} AS {n}" for n, e in parts.items()]
     )
     u = left.unionByName(right, allowMissingColumns=True)
-    ck = S.KEY
-    if size != WHOLE:
-        ck = S.KEY + ["_chunk"]
-        u = u.selectExpr("*", f"{chunk_of('floor(o / 4)', size)} AS _chunk").repartition(*ck)
+    ck = S.KEY + ["_chunk"]
+    u = u.selectExpr("*", f"{chunk_of('floor(o / 4)', size)} AS _chunk").repartition(*ck)
     run = over(ck, "o", UPTO)
     filled = [n for n in ("img", "cred", "cont") if n in parts]
     step = [*ck, "o", "row", f"max(touch) {run} AS touch"]
     step += [f"last({n}, true) {run} AS {n}" for n in filled]
-    if named and short:
-        step.append(f"first(name, true) {run} AS name")
-    elif named:
+    if named:
         # The name that counts is the earliest one of the latest exec period.
         step += ["name", f"coalesce(max(exec_o) {run}, -1L) AS era"]
     d = u.selectExpr(*step)
-    if named and not short:
+    if named:
         d = d.selectExpr(
             *ck, "o", "row", "touch", *filled, "era",
             f"max(CASE WHEN name IS NOT NULL THEN named_struct('era', era, 'neg', -o, 'name', name)"
             f" END) {run} AS best",
         )
 
-    if size == WHOLE:
-        d = d.filter("row IS NOT NULL")
-        return d.selectExpr(
-            *_state_columns(payload, named, image, cred, want, carry=False, short=short)
-        )
-
     kept = ["touch", *filled] + (["era", "best"] if named else [])
     tails = d.groupBy(*ck).agg(F.expr(f"max_by(struct({', '.join(kept)}), o) AS t"))
     before, upto = over(S.KEY, "_chunk", BEFORE), over(S.KEY, "_chunk", UPTO)
@@ -146,58 +130,49 @@ def state_asof(
     tails = tails.selectExpr(*ck, *carried)
     d = d.filter("row IS NOT NULL").join(tails, ck, "left")
 
-    return d.selectExpr(*_state_columns(payload, named, image, cred, want, carry=True))
+    return d.selectExpr(*_state_columns(payload, named, image, cred, want))
 
 
 def _state_columns(
-    payload: list[str],
-    named: bool,
-    image: list[str],
-    cred: list[str],
-    want: set[str],
-    carry: bool,
-    short: bool = False,
+    payload: list[str], named: bool, image: list[str], cred: list[str], want: set[str]
 ) -> list[str]:
     """Output columns of ``state_asof``: the value found inside the chunk, else the carried one."""
 
     def pick(part: str, f: str, empty: str) -> str:
-        far = f"c_{part}.{f}" if carry else "NULL"
-        return f"coalesce(if({part} IS NOT NULL, {part}.{f}, {far}), {empty}) AS {f}"
+        return f"coalesce(if({part} IS NOT NULL, {part}.{f}, c_{part}.{f}), {empty}) AS {f}"
 
     out = [*S.KEY, "row._seq AS seq", *[f"row.{c} AS {c}" for c in payload]]
-    out.append(f"coalesce(touch, {'c_touch, ' if carry else ''}false) AS known")
-    if named and short:
-        out.append("coalesce(img.comm, name, '') AS comm")
-        image = image[1:]
-    elif named:
-        name = "CASE WHEN best.era = era THEN best.name END"
-        if carry:
-            far = "CASE WHEN c_best.era = c_era THEN c_best.name END"
-            name = f"CASE WHEN era >= 0 THEN {name} ELSE coalesce({far}, {name}) END"
-        out.append(f"coalesce({name}, '') AS comm")
+    out.append("coalesce(touch, c_touch, false) AS known")
+    if named:
+        near = "CASE WHEN best.era = era THEN best.name END"
+        far = "CASE WHEN c_best.era = c_era THEN c_best.name END"
+        out.append(
+            f"coalesce(CASE WHEN era >= 0 THEN {near} ELSE coalesce({far}, {near}) END, '') AS comm"
+        )
     out += [
         pick("img", f, "CAST(array() AS ARRAY<STRING>)" if f == "argv" else "''") for f in image
     ]
     out += [pick("cred", f, "0L") for f in cred]
     if "container" in want:
-        out.append(f"coalesce(cont, {'c_cont, ' if carry else ''}'') AS container")
+        out.append("coalesce(cont, c_cont, '') AS container")
     return out
 
 
-def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:
+def closure(edge_iv: DataFrame, seeds: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """All ancestors of the seed processes: ``(host, pid, start, apid, astart, depth, vf, vt)``.
 
     A row is part of the lineage as of ``seq`` when ``vf <= seq < vt``. Distances double each
-    round, so a chain of 64 nodes takes six rounds; the loop ends as soon as no process has an
-    ancestor that far away. Jump tables are written out: each is read three times, and reading the
-    previous plan twice per round would double it.
+    round, and the loop ends as soon as a round finds no ancestor that is not known yet; a lineage
+    that returns to one of its nodes ends there. ``max_nodes`` keeps only the first so many nodes.
+    Jump tables are written out: each is read three times, and reading the previous plan twice per
+    round would double it.
     """
     jump = materialize(edge_iv, "jump")
     reach = seeds.selectExpr(
         *S.KEY, "pid AS apid", "start AS astart", "0 AS depth", "-1L AS vf", f"{END}L AS vt"
     )
     step = 1
-    while True:
+    while max_nodes is None or step < max_nodes:
         # The mid node is the join key: an ancestor shared by very many processes is one row on
         # the jump side, so a skewed reach side splits without replication cost.
         j = jump.selectExpr(
@@ -213,18 +188,32 @@ def closure(edge_iv: DataFrame, seeds: DataFrame) -> DataFrame:
         )
         reach = reach.unionByName(longer.filter("vf < vt"))
         step *= 2
-        if step >= MAX_NODES:
-            break
+        if step >= CYCLE_CHECK:
+            reach = materialize(without_returns(reach), "reach")
+            if reach.filter(f"depth >= {step // 2}").isEmpty():
+                break
         jump, rows = materialize_counted(
             jump.join(j, ["apid", "astart", "host"]).selectExpr(*hop).filter("vf < vt"), "jump"
         )
         if rows == 0:
             break
-        if step >= 8:
-            reach = materialize(reach, "reach")
+    reach = without_returns(reach)
+    if max_nodes is not None:
+        reach = reach.filter(f"depth < {max_nodes}")
     return materialize(reach, "closure")
 
 
+def without_returns(reach: DataFrame) -> DataFrame:
+    """Drop rows that reach a node a second time: the way around a cycle holds only while the
+    shorter way does, so its interval lies inside that one's."""
+    w = (
+        "OVER (PARTITION BY pid, start, host, apid, astart ORDER BY depth"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    d = reach.selectExpr("*", f"collect_list(named_struct('vf', vf, 'vt', vt)) {w} AS _shorter")
+    return d.filter("NOT exists(_shorter, s -> s.vf <= vf AND vt <= s.vt)").drop("_shorter")
+
+
 def ancestry(capture: DataFrame, subjects: DataFrame, size: int | None = None) -> DataFrame:
     """Lineage of each ``(host, pid, start, seq)`` subject, self first: one row per node with the
     node's name as of that moment. A process nobody has seen has no lineage."""
@@ -373,7 +362,7 @@ def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         F.lit(END).alias("vt"),
     )
     reach = closure(iv, nodes.select(*S.KEY))
-    # A lineage has at most 64 nodes, so the collected path is bounded.
+    # A path is as long as its tree is deep.
     paths = reach.groupBy(*S.KEY).agg(
         F.max("depth").alias("depth"),
         F.sort_array(

@@ -108,7 +108,7 @@ def unowned_persistence(
 def deleted_executables(procs: DataFrame) -> DataFrame:
     return procs.filter("endswith(exe, ' (deleted)') OR contains(exe, 'memfd:')").selectExpr(
         "host", "pid",
-        "concat('pid ', pid, ' ', exe, ' [', left(trim(replace(cmdline, '\\u0000', ' ')), 60), ']')"
+        "concat('pid ', pid, ' ', exe, ' [', trim(replace(cmdline, '\\u0000', ' ')), ']')"
         " AS item",
     )
 
@@ -149,7 +149,7 @@ def login_keys(lines: DataFrame, now: int) -> DataFrame:
         "CASE WHEN k.parsed THEN concat(path, ' — ', k.type, ' ',"
         " if(k.comment = '', '(no comment)', k.comment),"
         " if(k.options = '', '', concat(' [', k.options, ']')), ' (file ', age, ' old)')"
-        " ELSE concat(path, ' — line OpenSSH will ignore: ', left(line, 40)) END AS item",
+        " ELSE concat(path, ' — line OpenSSH will ignore: ', line) END AS item",
     )
 
 

@@ -9,7 +9,7 @@ from procscope import schema as S
 from procscope.functions import events as X
 from procscope.functions import text as T
 from procscope.operators import graph, score
-from procscope.operators.detect import MAX_ORD
+from procscope.operators.scan import chunk_of, numbered
 
 FULL = ("comm", "exe", "argv", "uid", "euid", "container")
 
@@ -26,7 +26,7 @@ def evidence(r, scored: DataFrame | None = None) -> DataFrame:
         "left_semi",
     )
     text = r.signals.selectExpr(
-        "host", f"seq * {MAX_ORD} + ord AS so", "detail", "attack", "target"
+        "host", "named_struct('seq', seq, 'ord', ord) AS so", "detail", "attack", "target"
     )
     note = "evidence_note" if "evidence_note" in keep.columns else "CAST(NULL AS STRING)"
     return keep.join(text, ["so", "host"]).selectExpr(
@@ -220,7 +220,7 @@ def floors(incidents: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def offenders(rows: DataFrame, name: str, n: int = 10) -> DataFrame:
+def offenders(rows: DataFrame, name: str, n: int) -> DataFrame:
     """The ``n`` most frequent values, count descending then by name (the report's length)."""
     return (
         rows.groupBy(F.expr(f"{name} AS name"))
@@ -304,30 +304,18 @@ def identity(r, pid: int | None = None) -> DataFrame:
     )
 
 
-def credential_history(capture: DataFrame, pid: int | None = None, keep: int = 64) -> DataFrame:
-    """First ``keep`` credential changes of every process, in order.
-
-    Candidates are the ``keep`` smallest sequence numbers per (process, chunk); only those are
-    ranked across the process.
-    """
-    from procscope.operators.scan import chunk_of, over
+def credential_history(capture: DataFrame, pid: int | None = None, keep: int | None = None) -> DataFrame:
+    """Credential changes of every process, numbered in order; only the first ``keep`` if given."""
 
     d = capture.filter(f"type = {S.CRED}")
     if pid is not None:
         d = d.filter(F.col("tgid") == pid)
     d = d.selectExpr(
         "host", "tgid AS pid", "start_boottime AS start", "seq", "ts_ns", "uid", "euid", "gid",
-        "egid", "cap_effective AS caps", f"{chunk_of('seq')} AS _chunk",
+        "egid", "cap_effective AS caps",
     )
-    d = d.selectExpr("*", f"row_number() {over(S.KEY + ['_chunk'], 'seq')} AS n").filter(
-        f"n <= {keep}"
-    )
-    return (
-        d.drop("n")
-        .selectExpr("*", f"row_number() {over(S.KEY, 'seq')} AS n")
-        .filter(f"n <= {keep}")
-        .drop("_chunk")
-    )
+    d = numbered(d, S.KEY, ["seq"], chunk_of("seq"), "n")
+    return d if keep is None else d.filter(f"n <= {keep}")
 
 
 def timeline(capture: DataFrame, pid: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators.graph import lineage_rows
-from procscope.operators.scan import WHOLE, chunk_of, last_known, max_before, over
+from procscope.operators.scan import chunk_of, last_known, max_before, over
 
 # Names a rule may use. Listening sockets are not among them.
 RULE_EVENTS = {n: c for c, n in S.EVENT_NAMES.items() if n != "sock_listen"}
@@ -261,17 +261,12 @@ def sequence_completions(d: DataFrame, r: Rule, chunk: int | None = None) -> Dat
 
 def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
     row = "struct(steps, ts_ns)"
-    if chunk == WHOLE:
-        p = d.selectExpr("*", f"lag({row}) {over(S.KEY, 'seq')} AS prev")
-    else:
-        ck = S.KEY + ["_chunk"]
-        c = d.selectExpr("*", f"{chunk_of('seq', chunk)} AS _chunk").repartition(*ck)
-        tails = c.groupBy(*ck).agg(F.expr(f"max_by({row}, seq) AS tail"))
-        tails = tails.selectExpr(*ck, f"lag(tail) {over(S.KEY, '_chunk')} AS carry")
-        p = c.selectExpr("*", f"lag({row}) {over(ck, 'seq')} AS inside")
-        p = p.join(tails, ck, "left").selectExpr(
-            *d.columns, "coalesce(inside, carry) AS prev"
-        )
+    ck = S.KEY + ["_chunk"]
+    c = d.selectExpr("*", f"{chunk_of('seq', chunk)} AS _chunk").repartition(*ck)
+    tails = c.groupBy(*ck).agg(F.expr(f"max_by({row}, seq) AS tail"))
+    tails = tails.selectExpr(*ck, f"lag(tail) {over(S.KEY, '_chunk')} AS carry")
+    p = c.selectExpr("*", f"lag({row}) {over(ck, 'seq')} AS inside")
+    p = p.join(tails, ck, "left").selectExpr(*d.columns, "coalesce(inside, carry) AS prev")
     return p.filter(
         f"steps = 2 AND prev.steps = 1 AND ts_ns - prev.ts_ns <= {within_ns}L"
     ).select(*S.KEY, "seq", "ts_ns")

@@ -3,9 +3,7 @@
 A plain window over ``(key) order by seq`` sends every row of a key to one task. Here each key is cut
 into chunks of ``seq``; the window runs inside ``(key, chunk)`` and only one summary row per chunk
 crosses chunk borders. A chunk spans ``CHUNK`` arrival numbers of a host, so no task sees more than
-that many rows of one key however hot the key is.
-
-``size=WHOLE`` skips the chunking. ``chunk_size`` picks it only for data that fits one chunk anyway.
+that many rows of one key however hot the key is. There is one plan at every size of the data.
 """
 
 from __future__ import annotations
@@ -14,16 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
-WHOLE = 0
 END = (1 << 62) - 1
 
 
-def chunk_size(df: DataFrame, seq: str = "seq") -> int:
-    """``WHOLE`` when every arrival number lies in the first chunk, else ``CHUNK``."""
-    top = df.agg(F.max(seq)).first()[0]
-    return WHOLE if top is None or top < CHUNK else CHUNK
-
-
 def over(keys: list[str], order: str, frame: str = "") -> str:
     return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} {frame})"
 
@@ -45,11 +36,10 @@ def collapse_runs(
     cols = [c for c in df.columns if c != seq]
     changed = f"_n = 1 OR NOT (_prev <=> {value})"
     d = df
-    if size != WHOLE:
-        local = over(keys + ["_chunk"], seq)
-        d = d.selectExpr("*", f"{chunk_of(seq, size)} AS _chunk")
-        d = d.selectExpr("*", f"lag({value}) {local} AS _prev", f"row_number() {local} AS _n")
-        d = d.filter(changed).drop("_prev", "_n")
+    local = over(keys + ["_chunk"], seq)
+    d = d.selectExpr("*", f"{chunk_of(seq, size)} AS _chunk")
+    d = d.selectExpr("*", f"lag({value}) {local} AS _prev", f"row_number() {local} AS _n")
+    d = d.filter(changed).drop("_prev", "_n")
     d = d.selectExpr("*", f"lag({value}) {whole} AS _prev", f"row_number() {whole} AS _n")
     return d.filter(changed).selectExpr(
         *cols, f"{seq} AS valid_from", f"coalesce(lead({seq}) {whole}, {END}L) AS valid_to"
@@ -64,14 +54,6 @@ def next_at_or_after(
     u = lookups.selectExpr(*keys, "seq", "false AS is_point").unionByName(
         points.selectExpr(*keys, "seq", "true AS is_point")
     )
-    if size == WHOLE:
-        ahead = over(keys, "seq DESC, is_point DESC", UPTO)
-        return (
-            u.selectExpr("*", f"min(CASE WHEN is_point THEN seq END) {ahead} AS _hit")
-            .filter("NOT is_point AND _hit IS NOT NULL")
-            .selectExpr(*keys, "_hit AS seq")
-            .distinct()
-        )
     u = u.selectExpr("*", f"{chunk_of('seq', size)} AS _chunk").repartition(*keys, "_chunk")
     ahead = over(keys + ["_chunk"], "seq DESC, is_point DESC", UPTO)
     later = over(keys, "_chunk DESC", BEFORE)
@@ -91,9 +73,6 @@ def last_known(
     df: DataFrame, keys: list[str], order: str, cols: dict[str, str], size: int | None = None
 ) -> DataFrame:
     """Add, for each named expression, its newest non-null value up to and including the row."""
-    if size == WHOLE:
-        w = over(keys, order, UPTO)
-        return df.selectExpr("*", *[f"last({c}, true) {w} AS {n}" for n, c in cols.items()])
     w = over(keys + ["_chunk"], order, UPTO)
     before = over(keys, "_chunk", BEFORE)
     d = df.selectExpr("*", f"{chunk_of(order, size)} AS _chunk").repartition(*keys, "_chunk")
@@ -133,8 +112,6 @@ def max_before(
     df: DataFrame, keys: list[str], order: str, expr: str, name: str, size: int | None = None
 ) -> DataFrame:
     """Add the maximum of ``expr`` over the earlier rows of the key, null for its first row."""
-    if size == WHOLE:
-        return df.selectExpr("*", f"max({expr}) {over(keys, order, BEFORE)} AS {name}")
     ck = keys + ["_chunk"]
     d = df.selectExpr("*", f"{chunk_of(order, size)} AS _chunk").repartition(*ck)
     tails = d.groupBy(*ck).agg(F.expr(f"max({expr}) AS _top"))

@@ -19,7 +19,6 @@ from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators import baseline as B
 from procscope.operators import graph
-from procscope.operators.detect import MAX_ORD
 from procscope.operators.scan import BEFORE, END, collapse_runs, next_at_or_after, over
 from procscope.session import materialize_counted
 
@@ -58,7 +57,7 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     Earliest wins on equal scores. Signals first shrink to one row per distinct score with a hash
     aggregate on the map side; the window that follows sees a few rows per process.
     """
-    so = f"seq * {MAX_ORD} + ord"
+    so = "named_struct('seq', seq, 'ord', ord)"
     g = bucketed.groupBy("bpid", "bstart", "host", "id", "score").agg(
         F.expr(f"min({so}) AS so"),
         F.expr(f"min_by(ts_ns, {so}) AS ts_ns"),
@@ -73,32 +72,14 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     return g.selectExpr(
         "*",
         f"min(so) OVER (PARTITION BY {', '.join(key)}) AS first_so",
-        f"so DIV {MAX_ORD} AS vf",
-        f"coalesce(lead(so) {over(key, 'so')} DIV {MAX_ORD}, {END}L) AS vt",
+        "so.seq AS vf",
+        f"coalesce((lead(so) {over(key, 'so')}).seq, {END}L) AS vt",
     )
 
 
 def context_changes(states: DataFrame, how: dict) -> DataFrame:
-    """Moments at which a process may start or stop being a root daemon or enter a container.
-
-    Naming a moment too many only costs an evaluation. Where every exec carries a name, those are the
-    execs that change the answer, the first name and the first container; otherwise names have to be
-    followed row by row.
-    """
+    """Moments at which a process starts or stops being a root daemon or enters a container."""
     daemon = X.is_root_daemon()
-    if how.get("named_execs"):
-        execs = states.filter("kind = 'exec'").selectExpr(*S.KEY, "seq", f"{daemon} AS flags")
-        first = states.groupBy(*S.KEY).agg(
-            F.expr("min(CASE WHEN comm <> '' THEN seq END) AS named"),
-            F.expr("min(CASE WHEN container <> '' THEN seq END) AS boxed"),
-        )
-        return (
-            collapse_runs(execs, S.KEY, "flags", size=how.get("size"))
-            .selectExpr(*S.KEY, "valid_from AS seq")
-            .unionByName(
-                first.selectExpr(*S.KEY, "explode(array_compact(array(named, boxed))) AS seq")
-            )
-        )
     own = graph.state_asof(
         states.select(*S.KEY, "seq"), states, ("comm", "container"), **how
     ).selectExpr(*S.KEY, "seq", f"named_struct('d', {daemon}, 'c', container <> '') AS flags")
@@ -140,7 +121,9 @@ def candidates(
         .selectExpr(*S.KEY, "first_eval", "last_eval", "c")
     )
     stored = imp.selectExpr("host", "bpid AS apid", "bstart AS astart", "vf AS at")
-    flags = context_changes(states, how).selectExpr(
+    # Only lineages that are evaluated again matter.
+    nodes = path.selectExpr("host", "apid AS pid", "astart AS start").distinct()
+    flags = context_changes(states.join(nodes, S.KEY, "left_semi"), how).selectExpr(
         "host", "pid AS apid", "start AS astart", "seq AS at"
     )
     moved = (

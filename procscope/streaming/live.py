@@ -10,16 +10,15 @@ the same chunked plans as in batch; no operator keeps a host in one task.
 from __future__ import annotations
 
 import os
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from procscope import schema as S
+from procscope.functions import events as X
 from procscope.operators import alerts as A
 from procscope.operators import detect, filters, fleet, score
-from procscope.operators.scan import chunk_size
+from procscope.operators.scan import numbered
 from procscope.plans.replay import Prior, replay
 from procscope.session import materialize
 from procscope.sources import capture as src
@@ -111,10 +110,8 @@ class LiveDetection:
         else:
             late = events.limit(0)
         self.out.write("late", n, late)
-        top = chunk_size(events)
-        settings = replace(self.settings, chunk=self.settings.chunk or top)
         r = replay(
-            events, settings, self.floor, ruleset=self.ruleset,
+            events, self.settings, self.floor, ruleset=self.ruleset,
             prior=Prior(prev["states"], prev["edges"], prev["improving"], prev["reported"]),
         )
         inc = self.out.write("incidents", n, r.incidents)
@@ -225,9 +222,16 @@ class FleetIngest:
         # Ids follow arrival: batch first, then position within it.
         inc = inc.selectExpr(
             "host", "kernel", "ip", "received", "coalesce(record.severity, 'INFO') AS severity",
-            "coalesce(record.score, 0L) AS score", "record",
+            "coalesce(record.score, 0L) AS score", "record", "1 AS one",
+            "xxhash64(host, to_json(record)) AS h",
         )
-        self.out.write("incidents", n, inc)
+        order = ["received", "record.ts_ns", "host", "h"]
+        inc = numbered(inc, ["one"], order, "received", "id").drop("one", "h")
+        last = self.out.read("last_id", n - 1)
+        before = 0 if last is None else last.first().id  # one row
+        inc = self.out.write("incidents", n, inc.withColumn("id", F.col("id") + before))
+        top = inc.agg(F.expr(f"coalesce(max(id), {before}L) AS id"))
+        self.out.write("last_id", n, top)
         prev = self.out.read("hosts", n - 1)
         cols = [
             "host", "kernel", "ip", "received", "agent_version", "uptime_secs", "events", "drops",
@@ -262,32 +266,44 @@ class FleetIngest:
 
 
 class AlertStream:
-    """Floor, throttle and write alert rows; the open window carries over between batches.
+    """Floor, throttle and write alert rows; each sink's open window carries over between batches.
 
-    ``incidents``: streaming (sink, id, host, received, record).
+    ``incidents``: streaming (id, host, received, record); ``sinks``: (sink, floor), every alert goes
+    to each sink whose floor it reaches. Without, there is one sink, ``all``, at ``floor``.
     """
 
-    def __init__(self, spark, folder: str, floor: str = "medium", per_window: int = 0, start: int = 0):
+    def __init__(
+        self, spark, folder: str, floor: str = "medium", per_window: int = 0, start: int = 0,
+        sinks: list[tuple[str, str]] | None = None,
+    ):
         self.spark, self.folder = spark, folder
-        self.floor, self.per_window, self.start_at = floor, per_window, start
+        self.sinks, self.per_window, self.start_at = sinks or [("all", floor)], per_window, start
         self.out = Versions(spark, folder)
 
     def batch(self, incidents: DataFrame, n: int) -> None:
-        rows = A.alerts(incidents, self.floor).selectExpr("'all' AS sink", "received AS at", "id AS ord", "*")
-        seen = self.out.read("open", n - 1)
         cols = ["sink", "at", "ord", "id", "host", "severity", "score", "summary", "webhook", "syslog"]
-        rows = rows.select(*cols)
+        rows = None
+        for sink, floor in self.sinks:  # configured, so few
+            part = A.alerts(incidents, floor).selectExpr(
+                f"{X.quote(sink)} AS sink", "received AS at", "id AS ord", "*"
+            ).select(*cols)
+            rows = part if rows is None else rows.unionByName(part)
+        rows = rows.withColumn("opened", F.lit(None).cast("long"))
+        seen = self.out.read("open", n - 1)
         if seen is not None:
-            # Alerts of the window still open take part again, to count against its cap.
-            rows = seen.select(*cols).unionByName(rows)
+            # Alerts of a sink's open window take part again, to count against its cap, and say
+            # when it opened.
+            rows = seen.select(*cols, "opened").unionByName(rows)
         rows = materialize(rows, "alerts")
-        start = self.start_at
-        if seen is not None and not seen.isEmpty():
-            start = seen.agg(F.min("opened")).first()[0]  # one row
-        sent, held = A.throttle(rows, self.per_window, start)
-        sent = materialize(sent, "sent")
-        done = self.out.read("open", n - 1)
-        fresh = sent if done is None else sent.join(done.select("sink", "id"), ["sink", "id"], "left_anti")
+        start = rows.groupBy("sink").agg(
+            F.expr(f"coalesce(min(opened), {self.start_at}L) AS start")
+        )
+        rows = rows.drop("opened").join(start, "sink")
+        sent, held = A.throttle(rows, self.per_window, "start")
+        sent = materialize(sent.drop("start"), "sent")
+        fresh = sent
+        if seen is not None:
+            fresh = sent.join(seen.select("sink", "id"), ["sink", "id"], "left_anti")
         self.out.write("delivered", n, fresh.filter("delivered").select(*cols))
         self.out.write("summaries", n, held)
         newest = sent.groupBy("sink").agg(F.expr("max(opened) AS w"))

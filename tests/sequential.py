@@ -29,7 +29,7 @@ class Interpreter:
 
     def ancestry(self, key):
         out = []
-        while key is not None and key in self.nodes and len(out) < 64:
+        while key is not None and key in self.nodes and key not in out:
             out.append(key)
             key = self.nodes[key].parent
         return out

@@ -88,23 +88,13 @@ def got(incidents):
     )
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 0), (2, 16), (3, 7)])
+@pytest.mark.parametrize("seed,chunk", [(1, None), (2, 16), (3, 7)])
 def test_replay_equals_interpreter(spark, seed, chunk):
     events = random_capture(seed)
     r = replay(frame(spark, events), detect.Settings(chunk=chunk), "info")
     assert got(r.incidents) == expected(events)
 
 
-def test_plan_choice_for_named_execs(spark):
-    """Without nameless execs a shorter plan is chosen; it must not change anything."""
-    events = [e | ({"comm": "prog"} if e["type"] == 1 and not e["comm"] else {}) for e in random_capture(5)]
-    r = replay(frame(spark, events), detect.Settings(), "info")
-    assert r.settings.named_execs and r.settings.chunk == 0
-    assert got(r.incidents) == expected(events)
-    r = replay(frame(spark, events), detect.Settings(chunk=16, named_execs=True), "info")
-    assert got(r.incidents) == expected(events)
-
-
 def test_replay_with_baseline(spark):
     events = random_capture(11)
     entries = [("suid_create", "/bin/sh", 9, 1, 10), ("credential_store_read", "/tmp/x", 3, 1, 4)]
@@ -142,7 +132,7 @@ SPARK_RULES = [
 ]
 
 
-@pytest.mark.parametrize("seed,chunk", [(21, 0), (22, 9)])
+@pytest.mark.parametrize("seed,chunk", [(21, None), (22, 9)])
 def test_replay_with_rules(spark, seed, chunk):
     events = random_capture(seed, n=300)
     r = replay(
@@ -167,7 +157,29 @@ def test_stream_equals_replay(spark, tmp_path):
 def test_floor_is_a_filter(spark):
     """A pass per floor and one pass with a filter agree."""
     events = random_capture(41, n=250)
-    r = replay(frame(spark, events), detect.Settings(chunk=0), "info")
+    r = replay(frame(spark, events), detect.Settings(chunk=None), "info")
     every = got(r.incidents)
     for floor in range(5):
         assert [x for x in every if x[-1] >= floor] == expected(events, floor=floor)
+
+
+def test_nameless_snapshot_process_takes_its_name_from_the_capture(spark):
+    """A snapshot process without a name forks as a daemon; its child's shell is still found."""
+    snap = spark.sql(
+        "SELECT 'h' AS host, 5L AS pid, 1000L AS start, 1L AS ppid, '' AS comm, '' AS exe, '' AS trusted,"
+        " CAST(array() AS ARRAY<STRING>) AS argv, 0L AS uid, 0L AS euid"
+    )
+    base = dict(random_capture(1)[0], container="", uid=0, euid=0)
+    fork = base | {
+        "seq": 1, "ts_ns": 10, "type": 3, "tgid": 5, "start_boottime": 1000, "comm": "nginx",
+        "child_pid": 6, "child_start_boottime": 2000,
+    }
+    shell = base | {
+        "seq": 2, "ts_ns": 20, "type": 1, "tgid": 6, "start_boottime": 2000, "comm": "sh",
+        "filename": "/bin/sh", "child_pid": 0, "child_start_boottime": 0,
+    }
+    cap = frame(spark, [fork, shell])
+    for chunk in (None, 1):
+        r = replay(cap, detect.Settings(chunk=chunk), "info", snapshot=snap)
+        assert [s.id for s in r.signals.collect()] == ["shell_from_network_daemon"]
+        assert r.incidents.count() == 1

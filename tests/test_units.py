@@ -103,15 +103,21 @@ def test_score_goldens(spark):
     assert scored(spark, [("a", 50, 0)], comm="nginx", container="docker:x")[2] == 72
 
 
-def test_closure_reaches_64_nodes_and_survives_cycles(spark):
+def test_closure_reaches_every_node_and_survives_cycles(spark):
     chain = spark.range(1, 101).selectExpr(
         "'h' AS host", "id AS pid", "0L AS start", "id - 1 AS apid", "0L AS astart", "-1L AS vf",
         f"{scan.END}L AS vt",
     )
     seeds = spark.sql("SELECT 'h' AS host, 100L AS pid, 0L AS start")
-    assert graph.closure(chain, seeds).selectExpr("max(depth) AS d", "count(1) AS n").first() == (63, 64)
+    def size(links, **kw):
+        return graph.closure(links, seeds, **kw).selectExpr("max(depth) AS d", "count(1) AS n").first()
+
+    assert size(chain) == (100, 101)
+    assert size(chain, max_nodes=64) == (63, 64)
     loop = chain.selectExpr("host", "pid", "start", "pid % 100 + 1 AS apid", "astart", "vf", "vt")
-    assert graph.closure(loop, seeds).selectExpr("max(depth) AS d", "count(1) AS n").first() == (63, 64)
+    assert size(loop) == (99, 100)
+    short = chain.selectExpr("host", "pid", "start", "if(pid = 98, 100, pid - 1) AS apid", "astart", "vf", "vt")
+    assert size(short) == (2, 3)
 
 
 def test_snapshot_takes_the_exact_key(spark):
@@ -145,7 +151,7 @@ def test_numbered_matches_row_number(spark):
 def test_collapse_runs_across_chunks(spark):
     values = [1, 1, 2, 2, 2, 1, 1, 3, 3, 3, 3, 3, 1]
     d = spark.createDataFrame(list(enumerate(values)), "seq long, v long").selectExpr("'k' AS k", "*")
-    for size in (scan.WHOLE, 3, 100):
+    for size in (1, 3, 100):
         got = scan.collapse_runs(d, ["k"], "v", size=size)
         rows = [tuple(x) for x in got.select("valid_from", "valid_to", "v").orderBy("valid_from").collect()]
         assert rows == [(0, 2, 1), (2, 5, 2), (5, 7, 1), (7, 12, 3), (12, scan.END, 1)]
@@ -280,17 +286,24 @@ def test_root_key_write_is_dropped_unless_asked_for(spark):
 
 
 def test_content_outcomes(spark):
-    t = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "target string")
-    c = spark.createDataFrame([("a", "xx EVIL yy"), ("b", "plain"), ("c", "")], "target string, body string")
+    t = spark.createDataFrame([(x,) for x in "abcdefg"], "target string")
+    bodies = [
+        ("a", b"xx EVIL yy"), ("b", b"plain"), ("c", b""), ("e", b"\xff\xfe\x80EVIL\x00"),
+        ("f", bytes.fromhex("170f7a")), ("g", b"z" * 65_534 + b"EVIL" + b"\xc3\xa9t\xc3\xa9"),
+    ]
+    c = spark.createDataFrame(bodies, "target string, body binary")
     s = spark.createDataFrame(
-        [("r1", "literal", "EVIL"), ("r2", "regex", "E.IL"), ("r3", "hex", "4556")],
+        [("r1", "literal", "EVIL"), ("r2", "regex", "E.IL"), ("r3", "hex", "45 56 49 4c"), ("r4", "hex", "70"),
+         ("r5", "hex", "0f7a"), ("r6", "regex", "zz+EVIL?é"), ("r7", "regex", "(pl|x)ain"),
+         ("r8", "regex", "[0-9]lain"), ("r9", "regex", "plains?")],
         "rule string, kind string, pattern string",
-    )
+    )
     for limit in (content.SIGNATURE_BYTES, 50):
         got = {r.target: (r.outcome, r.rules) for r in content.identify(t, c, s, limit).collect()}
         assert got == {
-            "a": ("matched", ["r1", "r2", "r3"]), "b": ("clean", None),
-            "c": ("raced", None), "d": ("raced", None),
+            "a": ("matched", ["r1", "r2", "r3"]), "b": ("matched", ["r4", "r7", "r9"]),
+            "c": ("raced", None), "d": ("raced", None), "e": ("matched", ["r1", "r2", "r3"]),
+            "f": ("matched", ["r5"]), "g": ("matched", ["r1", "r2", "r3", "r6"]),
         }
 
 
