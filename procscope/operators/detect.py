@@ -297,23 +297,33 @@ def detect_in_context(
     ev = capture.filter(needs_state()).selectExpr(
         "host", "seq", "tgid AS pid", "start_boottime AS start", *[f"{c} AS e_{c}" for c in own]
     )
-    lk = graph.lineage_rows(ev, reach).filter(
-        f"depth = 0 OR (e_type = {S.PTRACE} AND apid = e_target_pid)"
-        f" OR e_type IN ({S.MODULE}, {S.EXEC})"
+    daemon = f"({X.is_network_daemon()} OR {X.looks_like_daemon()})"
+    worker = X.is_kernel_worker("comm", st.strict_kernel_worker)
+    # An ancestor counts only if it is the target, or a daemon or kernel worker at that moment. Few
+    # processes ever have such a name, so nearly all ancestors go before events meet them.
+    named = states.filter(f"{daemon} OR {worker}").selectExpr(
+        "host", "pid AS apid", "start AS astart"
+    ).distinct()
+    up = reach.filter("depth > 0")
+    far = graph.lineage_rows(
+        ev.filter(f"e_type IN ({S.MODULE}, {S.EXEC})"),
+        up.join(named, ["apid", "astart", "host"], "left_semi"),
     )
-    lk = lk.selectExpr(
+    traced = ev.filter(f"e_type = {S.PTRACE}").join(
+        up.selectExpr("*", "apid AS e_target_pid"), [*S.KEY, "e_target_pid"]
+    ).filter("vf <= seq AND seq < vt")
+    here = ev.selectExpr("*", "pid AS apid", "start AS astart", "0 AS depth")
+    cols = here.columns
+    lk = here.unionByName(far.select(*cols)).unionByName(traced.select(*cols)).selectExpr(
         "host", "apid AS pid", "astart AS start", "seq", "pid AS s_pid", "start AS s_start",
         "depth", *[f"e_{c}" for c in own],
     )
     a = graph.state_asof(lk, states, ("comm", "exe", "trusted"), **st.lookup)
-    daemon = f"known AND ({X.is_network_daemon()} OR {X.looks_like_daemon()})"
     who = "concat(if(trusted = '', comm, trusted), '(', pid, ')')"
-    worker = X.is_kernel_worker("comm", st.strict_kernel_worker)
-    # At most 64 rows per event.
     a = a.groupBy("seq", "host", "s_pid", "s_start", *[f"e_{c}" for c in own]).agg(
         F.expr("max(CASE WHEN depth = 0 THEN trusted END) AS trusted"),
         F.expr("max(CASE WHEN depth = 0 THEN exe END) AS exe"),
-        F.expr(f"min_by({who}, CASE WHEN {daemon} THEN depth END) AS daemon"),
+        F.expr(f"min_by({who}, CASE WHEN known AND {daemon} THEN depth END) AS daemon"),
         F.expr(f"bool_or(known AND {worker}) AS kernel"),
         F.expr("bool_or(known AND pid = e_target_pid) AS in_lineage"),
     )
