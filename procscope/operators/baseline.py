@@ -229,36 +229,33 @@ def export(expected: DataFrame, learned_at_ms: int) -> Baseline:
 
 
 def save(b: Baseline, path: str) -> None:
-    """One JSON object per host (or one in all), entries sorted by (signal, program).
-
-    Entries are bounded by distinct pairs of one host, which is what a baseline file holds.
-    """
+    """JSON lines: a header for each host (or one in all), and a line for each entry. Entries are
+    spread by host and sorted, never gathered into one row."""
     k = _keys(b)
-    entries = b.entries.groupBy(*k).agg(
-        F.expr(
-            "sort_array(collect_list(named_struct('signal', signal, 'exe', exe, 'count', count,"
-            " 'first_ns', first_ns, 'last_ns', last_ns))) AS entries"
-        )
+    head = b.header.selectExpr(
+        *k, f"{FORMAT_VERSION} AS version", "events_observed", "learned_at_ms", "window_ns"
     )
-    d = b.header.join(entries, k, "left") if k else b.header.crossJoin(F.broadcast(entries))
-    d.selectExpr(
-        *k, f"{FORMAT_VERSION} AS version", "events_observed", "learned_at_ms", "window_ns",
-        "coalesce(entries, array()) AS entries",
-    ).write.mode("overwrite").json(path)
+    entries = b.entries.select(*k, "signal", "exe", "count", "first_ns", "last_ns")
+    entries = entries.repartition(*(k or ["signal"]), "exe")
+    entries = entries.sortWithinPartitions(*k, "signal", "exe")
+    head.unionByName(entries, allowMissingColumns=True).write.mode("overwrite").json(path)
 
 
 def load(spark, path: str, evaluate_at_ms: int | None, per_host: bool = False) -> Baseline:
-    """Read baseline files; fields a first-version file lacks read as unknown (0)."""
-    schema = S.BASELINE_FILE
+    """Read baseline files: with entries as lines, or as one list in the header. Fields a first
+    version lacks read as unknown (0)."""
+    schema = type(S.BASELINE_FILE)([*S.BASELINE_FILE.fields, *S.BASELINE_ENTRY.fields])
     if per_host:
         schema = type(schema)([type(schema.fields[0])("host", "string")] + list(schema.fields))
     k = ["host"] if per_host else []
     d = spark.read.schema(schema).json(path, multiLine=False)
-    header = d.selectExpr(
+    header = d.filter("signal IS NULL").selectExpr(
         *k, "version", "coalesce(events_observed, 0L) AS events_observed",
         "coalesce(learned_at_ms, 0L) AS learned_at_ms", "coalesce(window_ns, 0L) AS window_ns",
     )
-    entries = d.selectExpr(*k, "explode(entries) AS e").selectExpr(
+    line = "array(struct(signal, exe, count, first_ns, last_ns))"
+    listed = f"explode(if(signal IS NULL, entries, {line})) AS e"
+    entries = d.selectExpr(*k, listed).selectExpr(
         *k, "e.signal AS signal", "e.exe AS exe", "e.count AS count",
         "coalesce(e.first_ns, 0L) AS first_ns", "coalesce(e.last_ns, 0L) AS last_ns",
     )

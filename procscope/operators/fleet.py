@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procscope.functions import events as X
 from procscope.functions import text as T
-from procscope.operators.scan import chunk_of, over
+from procscope.operators.scan import chunk_of, last_known, over
 
 # Fixed values.
 HEARTBEAT_SECS = 60
@@ -239,11 +239,18 @@ def attestation(rounds: DataFrame, execs: DataFrame) -> DataFrame:
     ``rounds``: (host, round, pid, round_ts); ``execs``: (host, pid, ts).
     """
     r = rounds.selectExpr("*", f"lead(round_ts) {over(['host'], 'round')} AS next_ts")
+    # Each exec looks at the newest round of its pid only; a round comes before an exec of its time.
+    both = r.selectExpr(
+        "host", "pid", "round_ts * 2 AS o", "struct(round, next_ts) AS begun",
+        "CAST(NULL AS BIGINT) AS ts",
+    ).unionByName(
+        execs.selectExpr("host", "pid", "ts * 2 + 1 AS o", "CAST(ts AS BIGINT) AS ts"),
+        allowMissingColumns=True,
+    )
     hits = (
-        r.filter("next_ts IS NOT NULL")
-        .join(execs.selectExpr("host", "pid", "ts"), ["host", "pid"])
-        .filter("ts >= round_ts AND ts < next_ts")
-        .select("host", "round")
+        last_known(both, ["host", "pid"], "o", {"open": "begun"})
+        .filter("ts IS NOT NULL AND ts < open.next_ts")
+        .selectExpr("host", "open.round AS round")
         .distinct()
         .withColumn("hit", F.lit(True))
     )
