@@ -409,20 +409,18 @@ def f07(i: Inputs):
         " (SELECT count(*) FROM (SELECT DISTINCT host, pid, start FROM touch)) AS nodes,"
         " (SELECT count(*) FROM (SELECT DISTINCT host, pid, start FROM touch) t WHERE NOT EXISTS"
         " (SELECT 1 FROM cap c WHERE c.type = 2 AND c.host = t.host AND c.pid = t.pid"
-        " AND c.start = t.start)) AS alive FROM cap"
+        " AND c.start = t.start)) AS alive,"
+        " (SELECT count(*) FROM (SELECT host, pid, start, max(ts_ns) AS exited FROM cap WHERE type = 2 GROUP BY ALL) x"
+        " JOIN (SELECT host, max(ts_ns) AS now FROM cap GROUP BY ALL) m ON m.host = x.host"
+        " WHERE now - exited > 300000000000) AS reaped FROM cap"
     ),
 )
 def f12(i: Inputs):
     s = records.capture_stats(i.cap)
-    exits = i.cap.filter("type = 2").selectExpr(
-        "host", "tgid AS pid", "start_boottime AS start", "true AS gone"
-    ).distinct()
-    nodes = i.states.select(*S.KEY).distinct().join(exits, S.KEY, "left").agg(
-        _e("count(1) AS nodes"), _e("count_if(gone IS NULL) AS alive")
-    )
+    nodes = records.graph_stats(i.states, i.cap, 300_000_000_000)
     return s.crossJoin(nodes).selectExpr(
         "events", "first_ns", "last_ns", "duration_secs",
-        "round(events_per_sec, 8) AS events_per_sec", "nodes", "alive",
+        "round(events_per_sec, 8) AS events_per_sec", "nodes", "alive", "reaped",
     )
 
 

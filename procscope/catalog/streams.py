@@ -68,11 +68,13 @@ WHERE now - exited > 300000000000"""
 
 @query("k3_state_expiry", sql("SELECT host, pid, start FROM gone", {"gone": GONE}))
 def k3(i: Inputs):
-    exits = i.cap.filter(f"type = {S.EXIT}").groupBy(
-        "host", F.expr("tgid AS pid"), F.expr("start_boottime AS start")
-    ).agg(F.expr("max(ts_ns) AS exited"))
-    mark = i.cap.groupBy("host").agg(F.expr("max(ts_ns) AS ts_ns"))
-    return live.expired(exits, mark, RETAIN * 1_000_000_000)
+    """Exited processes that a stream with retention no longer keeps after its last batch."""
+    job = _live(i, retain_secs=RETAIN)
+    kept = job.state.read("exits", 2).select(*S.KEY)
+    exits = i.cap.filter(f"type = {S.EXIT}").selectExpr(
+        "host", "tgid AS pid", "start_boottime AS start"
+    )
+    return exits.distinct().join(kept, S.KEY, "left_anti").select("host", "pid", "start")
 
 
 @query(
@@ -88,7 +90,12 @@ def g02(i: Inputs):
     """Parent links left after removing processes that exited long ago."""
     from procscope.operators import graph
 
-    return live.without(graph.edges(i.cap), k3(i), "edges").selectExpr(
+    exits = i.cap.filter(f"type = {S.EXIT}").groupBy(
+        "host", F.expr("tgid AS pid"), F.expr("start_boottime AS start")
+    ).agg(F.expr("max(ts_ns) AS exited"))
+    mark = i.cap.groupBy("host").agg(F.expr("max(ts_ns) AS ts_ns"))
+    gone = live.expired(exits, mark, RETAIN * 1_000_000_000)
+    return live.without(graph.edges(i.cap), gone, "edges").selectExpr(
         *S.KEY, "parent.pid AS ppid"
     )
 

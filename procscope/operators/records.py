@@ -177,6 +177,34 @@ def render(recs: DataFrame) -> DataFrame:
 MIN_RELIABLE_SECS = 3600
 
 
+def graph_stats(
+    states: DataFrame, capture: DataFrame, retain_ns: int | None = None, snapshot: DataFrame | None = None
+) -> DataFrame:
+    """Processes of a capture in one row: nodes seen, alive (no exit), reaped (their exit lies more
+    than ``retain_ns`` before their host's newest event) and adopted (snapshot processes that took the
+    exact key of the capture)."""
+    exits = capture.filter(f"type = {S.EXIT}").groupBy(
+        "host", F.expr("tgid AS pid"), F.expr("start_boottime AS start")
+    ).agg(F.expr("max(ts_ns) AS exited"))
+    newest = capture.groupBy("host").agg(F.expr("max(ts_ns) AS now"))
+    old = "false" if retain_ns is None else f"now - exited > {retain_ns}L"
+    out = (
+        states.select(*S.KEY)
+        .distinct()
+        .join(exits.withColumn("_gone", F.lit(True)), S.KEY, "full")
+        .join(newest, "host", "left")
+        .agg(
+            F.expr("count(1) AS nodes"),
+            F.expr("count_if(_gone IS NULL) AS alive"),
+            F.expr(f"count_if({old}) AS reaped"),
+        )
+    )
+    if snapshot is None:
+        return out.withColumn("adopted", F.lit(0).cast("long"))
+    taken = graph.reconcile(snapshot, capture).agg(F.expr("count_if(adopted) AS adopted"))
+    return out.crossJoin(taken)  # one row each
+
+
 def capture_stats(capture: DataFrame, bad_lines: DataFrame | None = None) -> DataFrame:
     """Volume and span of a capture."""
     d = capture.agg(

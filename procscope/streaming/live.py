@@ -46,6 +46,13 @@ class Versions:
             return None
         return self.spark.read.parquet(path)
 
+    def drop(self, name: str, batch: int) -> None:
+        """Remove a version that no batch reads any more."""
+        if batch >= 0:
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name, batch))
+            p.getFileSystem(conf).delete(p, True)
+
     def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
         path = self.path(name, batch)
         df.write.mode("overwrite").parquet(path)
@@ -73,6 +80,12 @@ def compact_states(states: DataFrame) -> DataFrame:
     ).drop("keep")
 
 
+def compact_edges(edges: DataFrame) -> DataFrame:
+    """The newest parent of each process; later events see no other."""
+    newest = edges.groupBy(*S.KEY).agg(F.expr("max_by(struct(parent, seq), seq) AS e"))
+    return newest.select(*S.KEY, "e.parent", "e.seq")
+
+
 class LiveDetection:
     """Incremental replay of a stream of events.
 
@@ -134,7 +147,7 @@ class LiveDetection:
         mark = self.state.write("mark", n, mark)
         tables = {
             "states": compact_states(r.states),
-            "edges": r.edges,
+            "edges": compact_edges(r.edges),
             "improving": r.improving.select(
                 "host", "bpid", "bstart", "id", "score", "so", "ts_ns", "spid", "sstart"
             ),
@@ -146,6 +159,9 @@ class LiveDetection:
             tables = {t: without(df, gone, t) for t, df in tables.items()}
         for t, df in tables.items():
             self.state.write(t, n, df)
+        # Batch n may run again and reads n - 1; what lies before is read by none.
+        for t in STATE_TABLES:
+            self.state.drop(t, n - 2)
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
         """Run on a streaming DataFrame of capture rows."""
