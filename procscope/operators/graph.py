@@ -257,6 +257,24 @@ def reconcile(snapshot: DataFrame, capture: DataFrame) -> DataFrame:
     The newest snapshot row of a pid is the one considered. Adds ``exact_start`` and ``adopted``.
     """
     pid_newest = snapshot.groupBy("host", "pid").agg(F.max("start").alias("start"))
+    first = first_namings(capture).drop("seq")
+    near = (
+        F.abs(F.col("seen_start") - F.col("start")) <= SNAPSHOT_TOLERANCE_NS
+    )
+    match = (
+        pid_newest.join(first, ["host", "pid"])
+        .filter(near)
+        .select("host", "pid", "start", F.col("seen_start").alias("exact_start"))
+    )
+    return snapshot.join(match, ["host", "pid", "start"], "left").select(
+        *snapshot.columns,
+        F.col("exact_start").isNotNull().alias("adopted"),
+        F.coalesce("exact_start", "start").alias("exact_start"),
+    )
+
+
+def first_namings(capture: DataFrame) -> DataFrame:
+    """(host, pid, seen_start, seq): the first event that names each pid."""
     naming = capture.filter(F.col("type").isin(S.EXEC, S.FORK, S.CRED, S.EXIT)).select(
         "host",
         "seq",
@@ -277,21 +295,8 @@ def reconcile(snapshot: DataFrame, capture: DataFrame) -> DataFrame:
             )
         ).alias("k"),
     )
-    first = naming.groupBy("host", F.col("k.pid").alias("pid")).agg(
-        F.min_by("k.start", "seq").alias("seen_start")
-    )
-    near = (
-        F.abs(F.col("seen_start") - F.col("start")) <= SNAPSHOT_TOLERANCE_NS
-    )
-    match = (
-        pid_newest.join(first, ["host", "pid"])
-        .filter(near)
-        .select("host", "pid", "start", F.col("seen_start").alias("exact_start"))
-    )
-    return snapshot.join(match, ["host", "pid", "start"], "left").select(
-        *snapshot.columns,
-        F.col("exact_start").isNotNull().alias("adopted"),
-        F.coalesce("exact_start", "start").alias("exact_start"),
+    return naming.groupBy("host", F.col("k.pid").alias("pid")).agg(
+        F.min_by("k.start", "seq").alias("seen_start"), F.min("seq").alias("seq")
     )
 
 

@@ -48,12 +48,15 @@ def replay(
     ruleset: list[rules.Rule] | None = None,
     snapshot: DataFrame | None = None,
     prior: Prior | None = None,
+    naming: DataFrame | None = None,
 ) -> Replay:
+    """``naming`` holds the events that give snapshot processes their keys, where they are not all
+    in ``capture``."""
     prior = prior or Prior()
     chunk, how = settings.chunk, settings.lookup
     states, edge_rows = graph.state_rows(capture), graph.edges(capture)
     if snapshot is not None:
-        s0, e0 = graph.snapshot_as_state(snapshot, capture)
+        s0, e0 = graph.snapshot_as_state(snapshot, capture if naming is None else naming)
         states, edge_rows = s0.unionByName(states), e0.unionByName(edge_rows)
     if prior.states is not None:
         states = prior.states.unionByName(states)

@@ -17,13 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators import alerts as A
-from procscope.operators import detect, filters, fleet, score
+from procscope.operators import detect, filters, fleet, graph, score
 from procscope.operators.scan import numbered
 from procscope.plans.replay import Prior, replay
 from procscope.session import materialize
 from procscope.sources import capture as src
 
-STATE_TABLES = ("states", "edges", "improving", "reported", "exits", "mark")
+STATE_TABLES = ("states", "edges", "improving", "reported", "exits", "mark", "named")
 
 
 class Versions:
@@ -92,7 +92,8 @@ class LiveDetection:
     ``retain_secs`` drops exited processes, and everything known about them, that long after their
     exit (event time); None keeps all, which makes the stream equal to a replay. Rows older than the
     newest arrival number already processed for their host are late: they go to a side table and are
-    never dropped silently.
+    never dropped silently. ``snapshot`` holds the processes known before the stream began, ``baseline``
+    what is usual.
     """
 
     def __init__(
@@ -103,8 +104,11 @@ class LiveDetection:
         floor: str = "medium",
         ruleset=None,
         retain_secs: int | None = None,
+        snapshot: DataFrame | None = None,
+        baseline=None,
     ):
         self.spark, self.folder = spark, folder
+        self.snapshot, self.baseline = snapshot, baseline
         self.settings, self.floor, self.ruleset = settings, floor, ruleset
         self.retain_ns = None if retain_secs is None else retain_secs * 1_000_000_000
         if ruleset and any(r.sequence for r in ruleset):
@@ -123,9 +127,25 @@ class LiveDetection:
         else:
             late = events.limit(0)
         self.out.write("late", n, late)
+        naming = None
+        if self.snapshot is not None:
+            # The first event that names a pid may come in any batch, so the snapshot's rows are made
+            # anew from all first namings so far and the stored ones give way.
+            named = graph.first_namings(events)
+            if prev["named"] is not None:
+                named = prev["named"].unionByName(named).groupBy("host", "pid").agg(
+                    F.expr("min_by(seen_start, seq) AS seen_start"), F.expr("min(seq) AS seq")
+                )
+            named = self.state.write("named", n, named)
+            naming = named.selectExpr(
+                "host", "seq", f"{S.EXEC} AS type", "pid AS tgid", "seen_start AS start_boottime",
+                "0L AS child_pid", "0L AS child_start_boottime",
+            )
+            for t in ("states", "edges"):
+                prev[t] = None if prev[t] is None else prev[t].filter("seq >= 0")
         r = replay(
-            events, self.settings, self.floor, ruleset=self.ruleset,
-            prior=Prior(prev["states"], prev["edges"], prev["improving"], prev["reported"]),
+            events, self.settings, self.floor, self.baseline, self.ruleset, self.snapshot,
+            Prior(prev["states"], prev["edges"], prev["improving"], prev["reported"]), naming,
         )
         inc = self.out.write("incidents", n, r.incidents)
 

@@ -183,3 +183,26 @@ def test_nameless_snapshot_process_takes_its_name_from_the_capture(spark):
         r = replay(cap, detect.Settings(chunk=chunk), "info", snapshot=snap)
         assert [s.id for s in r.signals.collect()] == ["shell_from_network_daemon"]
         assert r.incidents.count() == 1
+
+
+def test_stream_with_snapshot_and_baseline_equals_replay(spark, tmp_path):
+    """Snapshot processes are first named in different batches, some under another start."""
+    events = [e | {"start_boottime": e["start_boottime"] + 50_000_000 * (e["tgid"] % 2)} for e in random_capture(31)]
+    snap = spark.createDataFrame(
+        [("h", 10 + k % 5, k + 3, 10 + (k + 1) % 5, "nginx" if k % 3 else "") for k in range(6)],
+        "host string, pid long, start long, ppid long, comm string",
+    ).selectExpr("*", "'/x' AS exe", "'' AS trusted", "CAST(array() AS ARRAY<STRING>) AS argv",
+                 "0L AS uid", "0L AS euid")
+    entries = [("suid_create", "/bin/sh", 9, 1, 10), ("credential_store_read", "/tmp/x", 3, 1, 4)]
+    base = B.Baseline(
+        spark.createDataFrame(entries, S.BASELINE_ENTRY),
+        spark.createDataFrame([(10, 100, 20)], "events_observed long, learned_at_ms long, window_ns long"),
+        None,
+    )
+    settings = detect.Settings(chunk=64)
+    want = got(replay(frame(spark, events), settings, "info", base, snapshot=snap).incidents)
+    job = LiveDetection(spark, str(tmp_path), settings, "info", snapshot=snap, baseline=base)
+    for n, (lo, hi) in enumerate([(0, 90), (90, 250), (250, 400)]):
+        job.batch(frame(spark, events[lo:hi]), n)
+    assert got(job.incidents()) == want
+    assert job.state.read("states", 0) is None and job.state.read("states", 1) is not None
