@@ -6,9 +6,11 @@ a partner of ``x`` needs, share at least ``m``. With ``m = 1`` that is the usual
 prefix that meets frequent shingles is costly: such a document takes a longer prefix, so that
 ``m`` exceeds the number of frequent shingles in it. Its partners then share at least ``m`` of the
 prefix and so at least one shingle that is not frequent, and the frequent lists need not be read.
-A pair is found when either of the two is settled; documents that no length settles (nearly
-all of whose shingles are frequent among them) are joined to the first holder of each list, and what
-these links leave in different components is compared pair by pair.
+A pair is found when either of the two is settled. Documents that no length settles (nearly all
+of whose shingles are frequent among them: large families of edited copies) are grouped by the first
+holder of each of their lists and rewritten as their difference from what most of the group have in
+common. That cancels out, the overlap that two differences need follows from the sizes of the sets,
+and the same join runs on the differences, with new holders for those it does not settle.
 
 Documents with the same set are one class throughout. Candidates are pruned by size and by the
 shingles that their prefixes share, and the rest are compared by their whole texts.
@@ -88,78 +90,94 @@ def _sketches(docs: DataFrame, size: int, percent: int, whole: bool = False) ->
     return keyed.mapInArrow(run, SKETCH)
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, set, n) of every prefix. ``sets``: set, n, sketch, m."""
+# Rows that are joined: set, w (size of the set), n (size of what stands for it: itself, or its
+# difference from what its group has in common), o (least overlap that any partner needs there), m
+# (matches asked for, at most o), sketch (its first tokens), near (so close to that, that it is linked
+# to the closest one of the group).
+ROW = ["set", "w", "n", "o", "m", "sketch", "near"]
+
+
+def _plain(classes: DataFrame, percent: int) -> DataFrame:
+    return classes.selectExpr(
+        "set", "n AS w", "n", f"CAST(ceil({percent} * n / 100) AS INT) AS o", "1 AS m", "sketch",
+        "false AS near",
+    )
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(token, set, n, w, near) of every prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            for key, n, sketch, m in rows:
-                t = np.frombuffer(sketch, np.int64)[: n - least_overlap(n, percent) + m]
-                out[0].append(t)
-                out[1].append(np.full(len(t), key))
-                out[2].append(np.full(len(t), n))
-            if out[0]:
-                types = (pa.int64(), pa.int64(), pa.int32())
-                cols = [pa.array(np.concatenate(c), k) for c, k in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["token", "set", "n"])
+            sketches = b.column("sketch").to_pylist()
+            cut = np.asarray(b.column("n")) - np.asarray(b.column("o")) + np.asarray(b.column("m"))
+            tokens = [np.frombuffer(x, np.int64)[:k] for x, k in zip(sketches, cut, strict=True)]
+            if not tokens:
+                continue
+            at = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens))] + [b.column(c).take(at) for c in ("set", "n", "w", "near")],
+                names=["token", "set", "n", "w", "near"],
+            )
 
-    return sets.select("set", "n", "sketch", "m").mapInArrow(run, "token long, set long, n int")
+    return rows.select(*ROW).mapInArrow(run, "token long, set long, n int, w int, near boolean")
 
 
-def _ends(sets: DataFrame, percent: int) -> DataFrame:
-    """(set, rest, stop): shingles beyond the prefix, and the last one in it (in signed order)."""
+def _ends(rows: DataFrame) -> DataFrame:
+    """(set, rest, stop, near): tokens beyond the prefix, and the last one in it (in signed order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest, stop = [], []
-            for n, sketch, m in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                p = min(n - least_overlap(n, percent) + m, len(sketch) // 8)
-                rest.append(n - p)
-                stop.append(int.from_bytes(sketch[8 * p - 8 : 8 * p], "little") - (1 << 63))
+            cut = np.asarray(b.column("n")) - np.asarray(b.column("o")) + np.asarray(b.column("m"))
+            sketches = b.column("sketch").to_pylist()
+            for n, k, sketch in zip(b.column("n").to_pylist(), cut.tolist(), sketches, strict=True):
+                k = min(k, len(sketch) // 8)
+                rest.append(n - k)
+                last = int.from_bytes(sketch[8 * k - 8 : 8 * k], "little") if k else 0
+                stop.append(last - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rest, pa.int32()), pa.array(stop, pa.int64())],
-                names=["set", "rest", "stop"],
+                [b.column("set"), pa.array(rest, pa.int32()), pa.array(stop, pa.int64()), b.column("near")],
+                names=["set", "rest", "stop", "near"],
             )
 
-    return sets.select("set", "n", "sketch", "m").mapInArrow(run, "set long, rest int, stop long")
+    return rows.select(*ROW).mapInArrow(run, "set long, rest int, stop long, near boolean")
 
 
-def _fits(percent: int, a: str = "a", b: str = "b") -> str:
-    """Sizes that can be as similar as asked."""
-    return f"100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n)"
-
-
-def _round(sets: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, sets with the number of frequent shingles in their prefix) for ``sets``
-    (set, n, sketch, m)."""
-    entries = materialize(_prefixes(sets, percent), f"{label}-prefixes")
+def _round(rows: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs a, b of ``set``; ``rows`` with the number of frequent tokens in their
+    prefix). Pairs of which both are near are left out: they are linked through the closest one of
+    their group."""
+    entries = materialize(_prefixes(rows), f"{label}-prefixes")
     sizes = entries.groupBy("token").count().where("count > 1")
     sizes = materialize(sizes, f"{label}-sizes")
     few = sizes.where(f"count <= {FREQUENT}").select("token")
     # No list is longer than FREQUENT.
     lists = entries.join(few, "token").groupBy("token").agg(
-        F.sort_array(F.collect_list(F.struct("set", "n"))).alias("l")
+        F.sort_array(F.collect_list(F.struct("set", "n", "w", "near"))).alias("l")
     )
+    alike = f"100L * least(a.w, b.w) >= {percent}L * greatest(a.w, b.w) AND NOT (a.near AND b.near)"
     pairs = lists.selectExpr(
         "inline(flatten(transform(l, (a, i) -> transform(filter(slice(l, i + 2, size(l)), b ->"
-        f" {_fits(percent)}), b -> struct(a.set AS a, a.n AS na, b.set AS b, b.n AS nb)))))"
+        f" {alike}), b -> struct(a.set AS a, b.set AS b, a.n + b.n AS n, a.w + b.w AS w)))))"
     )
     pairs = pairs.groupBy("a", "b").agg(
-        F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")
+        F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("shared")
     )
     many = sizes.where(f"count > {FREQUENT}").select("token")
     hot = entries.join(many, "token").groupBy("set").agg(F.count("*").alias("hot"))
-    settled = sets.join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    settled = rows.join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     # What the ends of the prefixes rule out: the one that ends first has only its rest left.
-    ends = _ends(sets, percent).join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    ends = _ends(rows).join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     a = ends.selectExpr("set AS a", "hot AS ha", "rest AS ra", "stop AS sa")
     b = ends.selectExpr("set AS b", "hot AS hb", "rest AS rb", "stop AS sb")
-    need = f"CAST(ceil({percent}D * (na + nb) / (100 + {percent})) AS INT)"
-    most = "shared + least(ha, hb) + CASE WHEN sa < sb THEN ra WHEN sb < sa THEN rb" \
-           " ELSE least(ra, rb) END"
-    pairs = pairs.join(a, "a").join(b, "b").where(f"{most} >= {need}").select("a", "b")
+    most = (
+        "shared + least(ha, hb) + CASE WHEN sa < sb THEN ra WHEN sb < sa THEN rb"
+        " ELSE least(ra, rb) END"
+    )
+    need = f"{100 + percent}L * n - {100 - percent}L * w"  # 2 (100 + percent) times the overlap
+    enough = f"{2 * (100 + percent)}L * ({most}) >= {need}"
+    pairs = pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
     return pairs, settled
 
 
@@ -238,15 +256,12 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long, j double")
 
 
-def _more_matches(settled: DataFrame, percent: int) -> DataFrame:
-    """Unsettled sets with the ``m`` that the share of frequent shingles in their prefix asks for."""
-    base = f"(n - CAST(ceil({percent} * n / 100) AS INT))"
-    share = f"least(hot / ({base} + m), 0.98)"
-    ask = f"CAST(ceil(({share} * {base} + 1) / (1 - {share})) AS INT) + 2"
-    top = f"greatest(CAST(ceil({percent} * n / 100) AS INT), 1)"
-    return settled.where("hot >= m").selectExpr(
-        "set", "n", "sketch", f"least(greatest({ask}, hot + 1), {top}) AS m"
-    )
+def _more_matches(settled: DataFrame) -> DataFrame:
+    """Unsettled rows with the ``m`` that the share of frequent tokens in their prefix asks for."""
+    share = "least(hot / (n - o + m), 0.98)"
+    ask = f"CAST(ceil(({share} * (n - o) + 1) / (1 - {share})) AS INT) + 2"
+    more = f"least(greatest({ask}, hot + 1), greatest(o, 1))"
+    return settled.where("hot >= m").selectExpr("set", "w", "n", "o", f"{more} AS m", "sketch", "near")
 
 
 def similar(
@@ -257,8 +272,8 @@ def similar(
     Returns (members, classes, links): each row of ``docs`` with its set (doc_id, key, set, n), the
     key a hash of id and text; each set
     with its smallest doc_id (set, n, first); the links between different sets (a, b, j). The links
-    are complete, but among sets that nearly all consist of frequent shingles those within a
-    component that others already hold together are left out. Words are longest runs of anything
+    are complete, but in large families of edited copies two sets that are both linked to the one
+    they are compared with may lack a link of their own. Words are longest runs of anything
     but 0x20 and 0x09-0x0D, letters A-Z in lower case; a text of fewer words than ``size`` is one
     shingle; null and empty texts have no set and no links. Rows without an id have a set but no
     links. Other columns are ignored.
@@ -271,94 +286,166 @@ def similar(
         .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
     classes = materialize(classes, "classes")
-    pairs, settled = _round(classes.withColumn("m", F.lit(1)), percent, "one")
+    pairs, settled = _round(_plain(classes, percent), percent, "one")
     found = [materialize(pairs, "one-pairs")]
-    rest = materialize(_more_matches(settled, percent), "unsettled")
+    rest = materialize(_more_matches(settled), "unsettled")
     # A second round within the sketches; whoever asks for more takes what the sketch has.
-    base = f"(n - CAST(ceil({percent} * n / 100) AS INT))"
-    second = rest.withColumn("m", F.expr(f"least(m, length(sketch) DIV 8 - {base})"))
+    second = rest.withColumn("m", F.expr("least(m, length(sketch) DIV 8 - (n - o))"))
     pairs, settled = _round(second, percent, "two")
     found.append(materialize(pairs, "two-pairs"))
-    rest = materialize(_more_matches(settled, percent).drop("sketch"), "unsettled")
+    rest = materialize(_more_matches(settled).drop("sketch"), "unsettled")
     # The last round on whole sets, of those documents only.
-    whole = (
-        _sketches_of(docs, classes, rest, size, percent)
-        .join(rest.select("set", "m"), "set")
-        .select("set", "n", "sketch", "m")
-    )
-    whole = materialize(whole, "whole-sets")
+    whole = _sketches_of(docs, classes, rest, size).select("set", "sketch").join(rest, "set")
+    whole = materialize(whole.select(*ROW), "whole-sets")
     pairs, settled = _round(whole, percent, "three")
     found.append(materialize(pairs, "three-pairs"))
+    dense = materialize(settled.where("hot >= m").withColumn("m", F.lit(1)).select(*ROW), "dense")
+    found += _family_pairs(dense, percent)
     all_pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
-    dense = materialize(settled.where("hot >= m").select("set", "n", "sketch"), "dense")
     wanted = (
         all_pairs.selectExpr("a AS set")
         .unionByName(all_pairs.selectExpr("b AS set"))
-        .unionByName(dense.select("set"))
         .distinct()
     )
     texts = materialize(_texts(docs, classes, wanted, size), "texts")
     links = materialize(_links(all_pairs, texts, size, percent), "links")
-    links = _dense_links(dense, links, texts, size, percent)
     return members, classes.select("set", "n", "first"), links
 
 
-def _sketches_of(
-    docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, percent: int
-) -> DataFrame:
-    """(set, n, sketch) with all shingles of the wanted sets."""
+def _sketches_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(set, sketch) with all shingles of the wanted sets."""
     texts = _texts(docs, classes, wanted.select("set"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            sets = [shingles(unpack(z.as_py()), size) for z in b.column(1)]
+            sets = [shingles(unpack(z.as_py()), size).tobytes() for z in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["set", "n", "sketch"],
-            )
-
-    return texts.mapInArrow(run, "set long, n int, sketch binary")
-
-
-def _dense_links(
-    dense: DataFrame, links: DataFrame, texts: DataFrame, size: int, percent: int
-) -> DataFrame:
-    """``links`` and those among ``dense`` sets: with the first holder of each list, then between
-    whatever is still in different components."""
-    if dense.limit(1).count() == 0:
-        return links
-    entries = materialize(_prefixes(dense.withColumn("m", F.lit(1)), percent), "dense-prefixes")
-    first = entries.groupBy("token").agg(F.min(F.struct("set", "n")).alias("b"))
-    star = (
-        entries.join(first, "token")
-        .where(f"set <> b.set AND {_fits(percent, 'named_struct(\"n\", n)', 'b')}")
-        .selectExpr("set AS a", "b.set AS b")
-        .distinct()
+                [b.column(0), pa.array(sets, pa.binary())], names=["set", "sketch"]
+            )
+
+    return texts.mapInArrow(run, "set long, sketch binary")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (as ROW, and own, holder, closest) of each pair (own, holder): own's difference from the
+    tokens that more than half of the holder's group have. ``set`` names the pair and the tokens are
+    told apart by the holder.
+
+    Two sets with differences d and e from anything differ from each other in d + e tokens less twice
+    the common ones. So with f = |d| - q |x|, where q is the share of both sizes in which linked sets
+    may differ, a pair with f + f' <= 0 is linked and needs nothing in common; it is near. If one
+    is, each of the two is linked to the set of least f, the closest. All other linked pairs share at
+    least one token of their differences.
+    """
+    both = pairs.join(sets.selectExpr("set AS own", "sketch AS mine"), "own").join(
+        sets.selectExpr("set AS holder", "sketch AS theirs"), "holder"
     )
-    links = links.unionByName(_links(star, texts, size, percent))
-    links = materialize(links, "links-and-stars")
-    of = components(links)
-    entries = entries.join(of, F.col("set") == F.col("node"), "left").selectExpr(
-        "token", "set", "n", "coalesce(root, set) AS root"
+
+    def from_holder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for holder, own, mine, theirs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
+                salt = mix(np.array([holder], np.int64).view(np.uint64))
+                d = np.sort(mix(np.setxor1d(x, y, assume_unique=True) ^ salt))
+                rows.append((holder, own, len(x), d.view(np.int64)))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=["holder", "own", "w", "d"])
+
+    first = both.select("holder", "own", "mine", "theirs").mapInArrow(
+        from_holder, "holder long, own long, w int, d array<long>"
+    )
+    first = materialize(first, "from-holder")
+    group = first.groupBy("holder").agg(F.count("*").alias("members"))
+    counts = first.select("holder", F.explode("d").alias("token")).groupBy("holder", "token").count()
+    # Fewer tokens than twice the mean difference.
+    common = counts.join(group, "holder").where("2 * count > members").groupBy("holder").agg(
+        F.collect_list("token").alias("common")
     )
-    entries = materialize(entries, "dense-entries")
-    # Only the sets outside the largest component of a list look for partners in it.
-    main = entries.groupBy("token", "root").count()
-    main = main.groupBy("token").agg(F.expr("max_by(root, struct(count, root)) AS main"))
-    asks = entries.join(main, "token").where("root <> main").selectExpr(
-        "token", "set AS a", "n AS na", "root AS ra"
+    scale, slack = 100 + percent, 100 - percent
+    widest = slack / scale * (1 + 100 / percent)  # of own's size, with the largest partner it may have
+
+    def from_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for holder, own, w, d, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                d = np.array(d, np.int64).view(np.uint64)
+                d = np.setxor1d(d, np.array(c or [], np.int64).view(np.uint64), assume_unique=True)
+                o = int(np.ceil(len(d) - widest * w - 1e-9))
+                o = max(1, min(o, len(d)))
+                name = np.array([holder], np.int64) * np.int64(3) ^ np.array([own], np.int64)
+                name = int(mix(name.view(np.uint64)).view(np.int64)[0])
+                rows.append((name, w, len(d), o, 1, d.tobytes(), own, holder, scale * len(d) - slack * w))
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(),
+                         pa.int64(), pa.int64(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                names = ["set", "w", "n", "o", "m", "sketch", "own", "holder", "f"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    rows = first.join(common, "holder", "left").select("holder", "own", "w", "d", "common")
+    rows = rows.mapInArrow(
+        from_common,
+        "set long, w int, n int, o int, m int, sketch binary, own long, holder long, f long",
     )
-    cross = (
-        entries.join(asks, "token")
-        .where(f"root <> ra AND 100L * least(n, na) >= {percent}L * greatest(n, na)")
-        .selectExpr("least(a, set) AS a", "greatest(a, set) AS b")
+    rows = materialize(rows, "from-common")
+    closest = rows.groupBy("holder").agg(F.min(F.struct("f", "own")).alias("c"))
+    return rows.join(closest, "holder").selectExpr(
+        "set", "w", "n", "o", "m", "sketch", "f + c.f <= 0 AS near", "own", "holder", "c.own AS closest"
+    )
+
+
+FAMILY_ROUNDS = 8
+
+
+def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
+    """Candidate pairs (a, b) among ``dense`` sets (as ROW, with whole sets), round by round: with
+    the closest of each group, and by the differences from what the group has in common."""
+    sets = dense.select("set", "sketch")
+    rows, found = dense.withColumn("own", F.col("set")), []
+    for _ in range(FAMILY_ROUNDS):
+        if rows.isEmpty():
+            return found
+        own = rows.select("set", "own")
+        entries = materialize(_prefixes(rows).join(own, "set"), "family-prefixes")
+        first = entries.where("NOT near").groupBy("token").agg(F.min("own").alias("holder"))
+        pairs = entries.join(first, "token").select("own", "holder").distinct()
+        pairs = materialize(pairs, "family-holders")
+        rows = materialize(_differences(pairs, sets, percent), "differences")
+        of = rows.select("set", "own", "holder")
+        linked = rows.where("near AND own <> closest").selectExpr(
+            "least(own, closest) AS a", "greatest(own, closest) AS b"
+        )
+        found.append(linked)
+        plain = rows.where("n > 0").drop("own", "holder", "closest")
+        one, settled = _round(plain, percent, "family")
+        one = materialize(one, "family-pairs")
+        rest = materialize(_more_matches(settled), "family-unsettled")
+        two, settled = _round(rest, percent, "family")
+        two = materialize(two, "family-pairs")
+        for got in (one, two):
+            a = of.selectExpr("set AS a", "own AS x")
+            b = of.selectExpr("set AS b", "own AS y")
+            named = got.join(a, "a").join(b, "b")
+            found.append(named.selectExpr("least(x, y) AS a", "greatest(x, y) AS b"))
+        left = settled.where("hot >= m").withColumn("m", F.lit(1)).join(of, "set")
+        # Where every unsettled one is near, all are linked to the closest.
+        far = left.where("NOT near").select("holder").distinct()
+        rows = materialize(left.join(far, "holder", "left_semi").select(*ROW, "own"), "family-rest")
+    # What is still dense after so many holders is compared within its lists.
+    entries = materialize(_prefixes(rows).join(rows.select("set", "own"), "set"), "family-prefixes")
+    other = entries.selectExpr("token", "own AS other", "w AS v", "near AS close")
+    alike = f"100L * least(w, v) >= {percent}L * greatest(w, v) AND NOT (near AND close)"
+    found.append(
+        entries.join(other, "token")
+        .where(f"own < other AND {alike}")
+        .selectExpr("own AS a", "other AS b")
         .distinct()
     )
-    return materialize(
-        links.unionByName(_links(cross, texts, size, percent)), "all-links"
-    ).dropDuplicates(["a", "b"])
+    return found
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
