@@ -148,7 +148,7 @@ def _round(rows: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFr
     """(candidate pairs a, b of ``set``; ``rows`` with the number of frequent tokens in their
     prefix). Pairs of which both are near are left out: they are linked through the closest one of
     their group."""
-    entries = materialize(_prefixes(rows), f"{label}-prefixes")
+    entries = _prefixes(rows)  # made again for each use: smaller to compute than to keep
     sizes = entries.groupBy("token").count().where("count > 1")
     sizes = materialize(sizes, f"{label}-sizes")
     few = sizes.where(f"count <= {FREQUENT}").select("token")
