@@ -6,7 +6,9 @@ a partner of ``x`` needs, share at least ``m``. With ``m = 1`` that is the usual
 prefix that meets frequent shingles is costly: such a document takes a longer prefix, so that
 ``m`` exceeds the number of frequent shingles in it. Its partners then share at least ``m`` of the
 prefix and so at least one shingle that is not frequent, and the frequent lists need not be read.
-A pair is found when either of the two is settled. Documents that no length settles (nearly all
+Two prefixes are only sure to share the lesser ``m`` of the two, so a pair is found when either has
+fewer frequent shingles than that; others meet again in the next round (``_onward``). Documents that
+no length settles (nearly all
 of whose shingles are frequent among them: large families of edited copies) are grouped by the first
 holder of each of their lists and rewritten as their difference from what most of the group have in
 common. That cancels out, the overlap that two differences need follows from the sizes of the sets,
@@ -18,6 +20,7 @@ shingles that their prefixes share, and the rest are compared by their whole tex
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
@@ -256,12 +259,31 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long, j double")
 
 
-def _more_matches(settled: DataFrame) -> DataFrame:
-    """Unsettled rows with the ``m`` that the share of frequent tokens in their prefix asks for."""
+def _onward(settled: DataFrame, percent: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a round that may lack a partner yet, with ROW and ``by`` and the ``m`` of the next round.
+
+    An unsettled row asks for what the share of frequent tokens in its prefix needs. A settled row is
+    done with all settled ones, but it goes on where an unsettled one of alike size (and alike ``by``)
+    asked for no more matches than the row has frequent tokens; it then takes the greatest ``m`` of
+    those, so that theirs decides."""
     share = "least(hot / (n - o + m), 0.98)"
     ask = f"CAST(ceil(({share} * (n - o) + 1) / (1 - {share})) AS INT) + 2"
     more = f"least(greatest({ask}, hot + 1), greatest(o, 1))"
-    return settled.where("hot >= m").selectExpr("set", "w", "n", "o", f"{more} AS m", "sketch", "near")
+    step = math.log(max(100 / percent, 1.1)) + 1e-6  # linked sets are at most one level apart
+    rows = settled.withColumn("level", F.expr(f"CAST(floor(ln(w) / {step!r}D) AS INT)"))
+    rows = rows.withColumn("more", F.expr(more))
+    asked = (
+        rows.where("hot >= m")
+        .select(*by, F.explode(F.expr("array(level - 1, level, level + 1)")).alias("level"), "m", "more")
+        .groupBy(*by, "level")
+        .agg(F.min("m").alias("lowest"), F.max("more").alias("highest"))
+    )
+    on = rows.join(asked, [*by, "level"]).where("hot >= lowest")
+    return on.selectExpr(
+        "set", "w", "n", "o",
+        "if(hot >= m, more, least(greatest(highest, m), greatest(o, 1))) AS m",
+        "sketch", "near", *by,
+    )
 
 
 def similar(
@@ -288,18 +310,19 @@ def similar(
     classes = materialize(classes, "classes")
     pairs, settled = _round(_plain(classes, percent), percent, "one")
     found = [materialize(pairs, "one-pairs")]
-    rest = materialize(_more_matches(settled), "unsettled")
+    rest = materialize(_onward(settled, percent), "unsettled")
     # A second round within the sketches; whoever asks for more takes what the sketch has.
     second = rest.withColumn("m", F.expr("least(m, length(sketch) DIV 8 - (n - o))"))
     pairs, settled = _round(second, percent, "two")
     found.append(materialize(pairs, "two-pairs"))
-    rest = materialize(_more_matches(settled).drop("sketch"), "unsettled")
+    rest = materialize(_onward(settled, percent).drop("sketch"), "unsettled")
     # The last round on whole sets, of those documents only.
     whole = _sketches_of(docs, classes, rest, size).select("set", "sketch").join(rest, "set")
     whole = materialize(whole.select(*ROW), "whole-sets")
     pairs, settled = _round(whole, percent, "three")
     found.append(materialize(pairs, "three-pairs"))
-    dense = materialize(settled.where("hot >= m").withColumn("m", F.lit(1)).select(*ROW), "dense")
+    dense = _onward(settled, percent).withColumn("m", F.lit(1))
+    dense = materialize(dense.select(*ROW), "dense")
     found += _family_pairs(dense, percent)
     all_pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
     wanted = (
@@ -423,7 +446,9 @@ def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
         plain = rows.where("n > 0").drop("own", "holder", "closest")
         one, settled = _round(plain, percent, "family")
         one = materialize(one, "family-pairs")
-        rest = materialize(_more_matches(settled), "family-unsettled")
+        place = of.select("set", "holder")
+        rest = _onward(settled.join(place, "set"), percent, ("holder",)).select(*ROW)
+        rest = materialize(rest, "family-unsettled")
         two, settled = _round(rest, percent, "family")
         two = materialize(two, "family-pairs")
         for got in (one, two):
@@ -431,7 +456,8 @@ def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
             b = of.selectExpr("set AS b", "own AS y")
             named = got.join(a, "a").join(b, "b")
             found.append(named.selectExpr("least(x, y) AS a", "greatest(x, y) AS b"))
-        left = settled.where("hot >= m").withColumn("m", F.lit(1)).join(of, "set")
+        left = _onward(settled.join(place, "set"), percent, ("holder",)).withColumn("m", F.lit(1))
+        left = left.join(of.select("set", "own"), "set")
         # Where every unsettled one is near, all are linked to the closest.
         far = left.where("NOT near").select("holder").distinct()
         rows = materialize(left.join(far, "holder", "left_semi").select(*ROW, "own"), "family-rest")

@@ -213,3 +213,44 @@ def test_dedup_lines_of_copies(spark, docs):
     got = line_align.dedup_lines(docs([(i, text) for i in range(30)])).collect()
     assert {r.doc_id: r.text for r in got} == {0: text} | {i: "" for i in range(1, 30)}
     assert line_align.dedup_lines(docs([])).count() == 0
+
+
+def mixed_family(rng, texts=12, shared=14, own=10):
+    """Texts with a common stretch whose shingles are frequent, and rare rests of mixed lengths."""
+    common = [f"c{rng.randrange(10**6)}" for _ in range(shared)]
+    bases = [[f"r{rng.randrange(10**9)}" for _ in range(own)] for _ in range(3)]
+    out = []
+    for _ in range(texts):
+        base = rng.choice(bases)[: rng.randrange(own + 1)]
+        text = [*common, *base]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("seed,size,percent,frequent", [(2, 2, 80, 3)])
+def test_candidates_of_mixed_families(spark, docs, monkeypatch, seed, size, percent, frequent):
+    """Sets that settle at different lengths keep their links."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", frequent)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        family = mixed_family(rng, rng.randrange(2, 14), rng.randrange(10, 40), rng.randrange(1, 12))
+        rows += [(len(rows) + k, t) for k, t in enumerate(family)]
+    got = prefix_join.groups(docs(rows), size, percent).collect()
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert out == brute_groups(rows, size, percent)
+
+
+def test_partner_that_settles_first(spark, docs, monkeypatch):
+    """Of two sets with 19 of 21 words in common, the one settles with m = 12; the other has asked for
+    nine matches, and ten words of both prefixes are frequent."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", 4)
+    pool = sorted((f"p{i}" for i in range(600)), key=lambda w: prefix_join.shingles(w.encode(), 1)[0])
+    s = pool[100:119]
+    rows = [(1, [pool[0], *s]), (2, [*s, pool[-1]])]
+    rows += [(10 + k, [*s[:10], *pool[200 + 10 * k : 210 + 10 * k]]) for k in range(8)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in prefix_join.groups(docs(rows), 1, 90).collect()}
+    assert got == {1: (1, 1), 2: (1, 1)} | {10 + k: (10 + k, 0) for k in range(8)}
