@@ -293,13 +293,26 @@ def similar(
 
     Returns (members, classes, links): each row of ``docs`` with its set (doc_id, key, set, n), the
     key a hash of id and text; each set
-    with its smallest doc_id (set, n, first); the links between different sets (a, b, j). The links
-    are complete, but in large families of edited copies two sets that are both linked to the one
-    they are compared with may lack a link of their own. Words are longest runs of anything
+    with its smallest doc_id (set, n, first); all links between different sets (a, b, j). Words are
+    longest runs of anything
     but 0x20 and 0x09-0x0D, letters A-Z in lower case; a text of fewer words than ``size`` is one
     shingle; null and empty texts have no set and no links. Rows without an id have a set but no
     links. Other columns are ignored.
     """
+    members, classes, links, near = _similar(docs, size, percent, True)
+    for part in near:
+        part = part.selectExpr("set AS a", "inline(arrays_zip(partners, shares))")
+        links = links.unionByName(part.selectExpr("a", "partners AS b", "shares AS j").where("a < b"))
+    links = links.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "j").dropDuplicates(["a", "b"])
+    return members, classes, links
+
+
+def _similar(
+    docs: DataFrame, size: int, percent: int, every: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """As ``similar``, with the links among near sets of large families apart (``_near_partners``), and
+    only with ``every``: each of those sets is linked to the closest of its group in any case, so the
+    components need no more."""
     rows = _sketches(docs, size, percent)
     members = materialize(rows.drop("sketch"), "members")
     classes = (
@@ -323,7 +336,8 @@ def similar(
     found.append(materialize(pairs, "three-pairs"))
     dense = _onward(settled, percent).withColumn("m", F.lit(1))
     dense = materialize(dense.select(*ROW), "dense")
-    found += _family_pairs(dense, percent)
+    family, near = _family_pairs(dense, percent, every)
+    found += family
     all_pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
     wanted = (
         all_pairs.selectExpr("a AS set")
@@ -332,7 +346,7 @@ def similar(
     )
     texts = materialize(_texts(docs, classes, wanted, size), "texts")
     links = materialize(_links(all_pairs, texts, size, percent), "links")
-    return members, classes.select("set", "n", "first"), links
+    return members, classes.select("set", "n", "first"), links, near
 
 
 def _sketches_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -422,16 +436,20 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 FAMILY_ROUNDS = 8
+BLOCK = 128  # near members of a group that are compared at once
 
 
-def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
+def _family_pairs(
+    dense: DataFrame, percent: int, every: bool
+) -> tuple[list[DataFrame], list[DataFrame]]:
     """Candidate pairs (a, b) among ``dense`` sets (as ROW, with whole sets), round by round: with
-    the closest of each group, and by the differences from what the group has in common."""
+    the closest of each group, and by the differences from what the group has in common. With
+    ``every``, the links among the near sets of each group too, as ``_near_partners``."""
     sets = dense.select("set", "sketch")
-    rows, found = dense.withColumn("own", F.col("set")), []
+    rows, found, near = dense.withColumn("own", F.col("set")), [], []
     for _ in range(FAMILY_ROUNDS):
         if rows.isEmpty():
-            return found
+            return found, near
         own = rows.select("set", "own")
         entries = materialize(_prefixes(rows).join(own, "set"), "family-prefixes")
         first = entries.where("NOT near").groupBy("token").agg(F.min("own").alias("holder"))
@@ -443,6 +461,8 @@ def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
             "least(own, closest) AS a", "greatest(own, closest) AS b"
         )
         found.append(linked)
+        if every:
+            near.append(materialize(_near_partners(rows, percent), "near-partners"))
         plain = rows.where("n > 0").drop("own", "holder", "closest")
         one, settled = _round(plain, percent, "family")
         one = materialize(one, "family-pairs")
@@ -471,7 +491,68 @@ def _family_pairs(dense: DataFrame, percent: int) -> list[DataFrame]:
         .selectExpr("own AS a", "other AS b")
         .distinct()
     )
-    return found
+    return found, near
+
+
+def _near_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """(set, partners, shares) of the near members of each group (``rows`` of ``_differences``): the
+    linked ones and their similarities, both ways. Blocks of members meet, not members, and are compared
+    by their differences: two that differ from the same set differ from each other in what only one has."""
+    near = rows.where("near").select("holder", "own", "w", "n", "sketch")
+    blocks = near.groupBy("holder").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = near.join(blocks, "holder").withColumn("block", F.expr("pmod(xxhash64(own), blocks)"))
+    packed = near.groupBy("holder", "block", "blocks").agg(
+        F.collect_list(F.struct("own", "w", "n", "sketch")).alias("l")
+    )
+    packed = materialize(packed, "near-blocks")
+    a = packed.selectExpr(
+        "holder", "block AS x", "explode(sequence(block, blocks - 1L)) AS block", "l AS la"
+    )
+    both = a.join(packed.selectExpr("holder", "block", "l AS lb"), ["holder", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(x: list[dict]) -> tuple[np.ndarray, ...]:
+            own, w, n = (np.array([r[k] for r in x], np.int64) for k in ("own", "w", "n"))
+            tokens = np.concatenate([np.frombuffer(r["sketch"], np.uint64) for r in x])
+            return own, w, n, np.repeat(np.arange(len(x)), n), tokens
+
+        for b in batches:
+            for i in range(b.num_rows):
+                same = b.column("same")[i].as_py()
+                own, w, n, at, tokens = parts(b.column("la")[i].as_py())
+                own2, w2, n2, at2, tokens2 = parts(b.column("lb")[i].as_py())
+                both = np.intersect1d(tokens, tokens2)
+                common = np.zeros((len(own), len(own2)), np.float32)
+                for lo in range(0, len(both), 4096):  # bounded space
+                    some = both[lo : lo + 4096]
+                    has = []
+                    for size, at_, t in ((len(own), at, tokens), (len(own2), at2, tokens2)):
+                        k = np.minimum(np.searchsorted(some, t), len(some) - 1)
+                        hit = some[k] == t
+                        m = np.zeros((size, len(some)), np.float32)
+                        m[at_[hit], k[hit]] = 1
+                        has.append(m)
+                    common += has[0] @ has[1].T
+                differ = n[:, None] + n2[None, :] - 2 * common.astype(np.int64)
+                total = w[:, None] + w2[None, :]
+                linked = 100 * (total - differ) >= percent * (total + differ)
+                linked &= own[:, None] != own2[None, :]
+                share = (total - differ) / (total + differ)
+                ways = [(own, own2, linked, share)]
+                if not same:
+                    ways.append((own2, own, linked.T, share.T))
+                for mine, theirs, yes, j in ways:
+                    ends = np.concatenate(([0], np.cumsum(yes.sum(1)))).astype(np.int32)
+                    ids = pa.array(theirs[np.nonzero(yes)[1]], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mine), pa.ListArray.from_arrays(ends, ids),
+                         pa.ListArray.from_arrays(ends, pa.array(j[yes], pa.float64()))],
+                        names=["set", "partners", "shares"],
+                    )
+
+    both = both.selectExpr("x = block AS same", "la", "lb")
+    got = both.mapInArrow(run, "set long, partners array<long>, shares array<double>")
+    return got.where("size(partners) > 0")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -479,11 +560,21 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id reachable by links, its own included), n_links (links of its set to others),
     key (a hash of id and text).
     A row without an id has component_id null; one without words is alone. See ``similar``."""
-    members, classes, links = similar(docs, size, percent)
-    links = materialize(links, "final-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(
-        F.count("*").alias("n_links")
+    members, classes, links, near = _similar(docs, size, percent, True)
+    partners = links.selectExpr("a AS set", "array(b) AS partners").unionByName(
+        links.selectExpr("b AS set", "array(a) AS partners")
+    )
+    for part in near:
+        partners = partners.unionByName(part.select("set", "partners"))
+    degree = partners.groupBy("set").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n_links")
     )
+    return _grouped(members, classes, links, degree)
+
+
+def _grouped(
+    members: DataFrame, classes: DataFrame, links: DataFrame, degree: DataFrame
+) -> DataFrame:
     of = components(links)
     named = classes.join(of, F.col("set") == F.col("node"), "left").selectExpr(
         "set", "first", "coalesce(root, set) AS root"
@@ -501,7 +592,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id, then the smallest key.
     Rows without an id or without words belong to no group and all stay. Columns stay as they are."""
-    judged = groups(docs, size, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
+    members, classes, links, _ = _similar(docs, size, percent, False)  # n_links is not needed
+    degree = classes.selectExpr("set", "0L AS n_links")
+    judged = _grouped(members, classes, links, degree).where("doc_id IS NOT NULL AND n_shingles > 0")
     stay = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("s"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -254,3 +254,30 @@ def test_partner_that_settles_first(spark, docs, monkeypatch):
     rows = [(i, " ".join(w)) for i, w in rows]
     got = {r.doc_id: (r.component_id, r.n_links) for r in prefix_join.groups(docs(rows), 1, 90).collect()}
     assert got == {1: (1, 1), 2: (1, 1)} | {10 + k: (10 + k, 0) for k in range(8)}
+
+
+def brute_degrees(rows, size, percent):
+    sets = {shingle_set(t, size) for _, t in rows} - {None}
+    near = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+    return {x: sum(x != y and near(x, y) for y in sets) for x in sets}
+
+
+@pytest.mark.parametrize("block", [128, 7])
+def test_links_of_a_dense_family(spark, docs, monkeypatch, block):
+    """Every link counts, those among sets that are near what their family has in common too."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", 4)
+    monkeypatch.setattr(prefix_join, "BLOCK", block)
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        copy = [f"v{k}" for k in range(60)]
+        for _ in range(rng.choice([1, 1, 2])):
+            copy[rng.randrange(60)] = f"v{rng.randrange(60)}"
+        rows.append((i, " ".join(copy)))
+    degrees = brute_degrees(rows, 3, 90)
+    if block == 7:
+        links = prefix_join.similar(docs(rows), 3, 90)[2].collect()
+        assert len({(r.a, r.b) for r in links}) == len(links) == sum(degrees.values()) // 2
+    else:
+        got = {r.doc_id: r.n_links for r in prefix_join.groups(docs(rows), 3, 90).collect()}
+        assert got == {i: degrees[shingle_set(t, 3)] for i, t in rows}
