@@ -100,15 +100,25 @@ def build_index(items: list[tuple[int, np.ndarray, int]], share: float = SHARE)
     )
 
 
+def _covered(part: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Words of ``part`` in grams that the region has too; a shorter part is one gram."""
+    n = min(GRAM, len(part))
+    covered = np.zeros(len(part), bool)
+    if n:
+        hit = np.isin(ngrams(part, n), ngrams(region, n))
+        for k in range(n):
+            covered[k : k + len(hit)] |= hit
+    return covered
+
+
 def _overlap(item: np.ndarray, n_question: int, region: np.ndarray) -> tuple[float, float]:
-    """Shares of the question's and of the answer's words in grams that the region has too."""
-    n = min(GRAM, len(item))
-    hit = np.isin(ngrams(item, n), ngrams(region, n))
-    covered = np.zeros(len(item), bool)
-    for k in range(n):
-        covered[k : k + len(hit)] |= hit
-    part = lambda x: float(x.mean()) if len(x) else 1.0
-    return part(covered[:n_question]), part(covered[n_question:])
+    """Shares of the question's and of the answer's words in grams that the region has too: grams of the
+    item, and those of each part by itself, which need not stand side by side."""
+    whole = _covered(item, region)
+    share = lambda x: float(x.mean()) if len(x) else 1.0
+    question = whole[:n_question] | _covered(item[:n_question], region)
+    answer = whole[n_question:] | _covered(item[n_question:], region)
+    return share(question), share(answer)
 
 
 def find_leaks(texts: pa.Array, index: Index, overlap: float = OVERLAP) -> list[list[dict]]:

@@ -223,3 +223,16 @@ def test_pipeline_on_empty_tables(spark, docs, tmp_path):
     )
     spark.createDataFrame([], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5])
+def test_leak_with_a_word_before_the_answer(length):
+    question = "Which of the seven old bridges crosses the river near the northern market?"
+    answer = " ".join(["cobalt", "lantern", "meadow", "seven", "harbour"][:length])
+    items = [(1, *wand.split_item(f"{question} {answer}.".lower()))]
+    items += [(k, *wand.split_item(f"some other item {k} with words{k} of its own. yes{k}")) for k in range(2, 9)]
+    index = wand.build_index(items)
+    for between in ("", "Answer:", "so"):
+        text = f"words before it. {question} {between} {answer}. words after it".lower()
+        assert [x["item_id"] for x in wand.find_leaks(pa.array([text]), index)[0]] == [1]
+    assert wand.find_leaks(pa.array([question.lower() + " unknown"]), index) == [[]]
