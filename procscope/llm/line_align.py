@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Each shared line leads a document to the first document that holds the line, so there are at most
-as many pairs as lines, however large a group of copies is. The two are aligned by patience diff
+Each shared line, and each shortest run of short lines that has words enough, leads a document to the
+first document that holds it, so there are at most as many pairs as lines, however large a group of
+copies is. The two are aligned by patience diff
 (lines that are unique in both are the anchors, the longest run of them in the same order holds, and
 equal neighbours join), and the aligned blocks go from the later document.
 """
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS = 5  # a line that leads to a pair, and a block that goes, has so many words
+from procscope.llm.words import runs
+
+MIN_WORDS = 5  # a line or run of lines that leads to a pair, and a block that goes, has so many words
 
 
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -82,6 +85,26 @@ def common_blocks(
     return out
 
 
+def leads(hashes: np.ndarray, words: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
+    """Distinct hashes by which a document meets others: its lines of at least so many words, and from
+    each shorter line the shortest run of shorter lines that together have as many. Every block of so
+    many words holds one of them."""
+    words = words.astype(np.int64)
+    long = words >= least
+    out = [hashes[long]]
+    total = np.cumsum(words)
+    first = np.flatnonzero((words > 0) & ~long)
+    last = np.searchsorted(total, total[first] - words[first] + least)
+    some = last < len(words)
+    first, last = first[some], last[some]
+    n_long = np.concatenate(([0], np.cumsum(long)))
+    some = n_long[last + 1] == n_long[first]
+    first, last = first[some], last[some]
+    if len(first):
+        out.append(runs(hashes.view(np.uint64), first, last + 1).view(np.int64))
+    return np.unique(np.concatenate(out))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows alike in id and text are one document here; their copies get the same result."""
     return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
@@ -96,10 +119,20 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "key", "at", "transform(lines, l -> xxhash64(l)) AS hashes",
         "transform(lines, l -> if(l = '', 0, size(split(l, '[ \\t]+')))) AS words",
     )
-    rare = lines.selectExpr(
-        "key", "at",
-        f"explode(array_distinct(filter(hashes, (h, i) -> words[i] >= {min_words}))) AS line",
-    )
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            get = lambda c, i: b.column(c)[i].values.to_numpy(zero_copy_only=False)
+            found = [leads(get(2, i), get(3, i), min_words) for i in range(b.num_rows)]
+            if not found:
+                continue
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(found))],
+                names=["key", "at", "line"],
+            )
+
+    rare = lines.select("key", "at", "hashes", "words").mapInArrow(lead, "key long, at long, line long")
     first = (
         rare.groupBy("line")
         .agg(F.count("*").alias("n"), F.min(F.struct("at", "key")).alias("holder"))

@@ -110,6 +110,15 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:m]) * inverse[:m])
 
 
+def runs(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of ``h[first:stop]`` for each pair of places."""
+    power, inverse = _power_table(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    length = (stop - first).astype(np.uint64)
+    return mix((total[stop] - total[first]) * inverse[first] ^ length * np.uint64(0xD6E8FEB86659FD93))
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from the slice's start). Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -281,3 +281,12 @@ def test_links_of_a_dense_family(spark, docs, monkeypatch, block):
     else:
         got = {r.doc_id: r.n_links for r in prefix_join.groups(docs(rows), 3, 90).collect()}
         assert got == {i: degrees[shingle_set(t, 3)] for i, t in rows}
+
+
+def test_dedup_lines_of_few_words(spark, docs):
+    """Lines too short to lead by themselves lead by the run that has words enough."""
+    verse = "\n".join(f"verse {i} of four" for i in range(300))
+    rows = [(1, verse), (2, "a title\n" + verse), (3, "one\n\ntwo three"), (4, "one\n\ntwo three")]
+    rows += [(5, "x y\n\nz v\nw u"), (6, "other\nx y\n\nz v\nw u\nlast")]
+    got = {r.doc_id: r.text for r in line_align.dedup_lines(docs(rows)).collect()}
+    assert got == dict(rows) | {2: "a title", 6: "other\nlast"}
