@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procscope.llm import line_align, mil, packing, pivots, prefix_join, secrets_forest, spans, token_tree, url_rules, wand
+from procscope.llm import line_align, mil, packing, pivots, prefix_join, secrets_forest, spans
+from procscope.llm import suffix_dedup, token_tree, url_rules, wand
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +161,36 @@ FROM (SELECT *, CASE WHEN hit IS NULL THEN (SELECT arg_max(w.pattern, length(w.p
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_rules.judge(pages, HOST_RULES + WILDCARD_RULES, "allow")
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (
+  SELECT row, k + j AS i, md5_number(substr(y, 2 * j + 1, 400)) AS string
+  FROM (SELECT row, k, y, unnest(range(length(y) // 2 - 199)) AS j
+    FROM (SELECT row, k, substr(x, 2 * k + 1, 798) AS y
+      FROM (SELECT row, x, unnest(range(0, length(x) // 2 - 199, 200)) AS k FROM d WHERE length(x) >= 400)))),
+r AS (
+  SELECT row, i FROM s WHERE string IN (SELECT string FROM s GROUP BY 1 HAVING count(*) > 1)),
+e AS (SELECT *, coalesce(i - lag(i) OVER w > 200, true) AS new FROM r WINDOW w AS (PARTITION BY row ORDER BY i)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY row ORDER BY i) AS run FROM e),
+c AS (SELECT row, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY row, run),
+k AS (
+  SELECT row, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b
+  FROM c GROUP BY row)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE list_aggregate([
+    substr(x, 2 * coalesce(b[j], 0) + 1, 2 * (coalesce(a[j + 1], length(x) // 2) - coalesce(b[j], 0)))
+    for j in range(n_spans + 1)], 'string_agg', '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (row)"""
+
+
+@query("op13_suffix_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, 200).selectExpr(
+        "doc_id", "n_bytes", "n_removed", "CAST(size(removed) AS LONG) AS n_spans",
+        "sha2(kept, 256) AS kept_sha256",
+    )
