@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from procscope.llm import line_align, mil, packing, pivots, prefix_join, secrets_forest, spans
-from procscope.llm import suffix_dedup, token_tree, url_rules, wand
+from procscope.llm import suffix_dedup, token_align, token_tree, url_rules, wand
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, HOST_RULES + WILDCARD_RULES, "allow")
 
 
+@query("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_align.align(docs, a, b).drop("groups")
+
+
 OP13_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
