@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procscope.llm import line_align, mil, packing, pivots, prefix_join, secrets_forest, spans
-from procscope.llm import suffix_dedup, token_align, token_tree, url_rules, wand
+from procscope.llm import collocations, line_align, mil, packing, pivots, prefix_join, secrets_forest
+from procscope.llm import spans, suffix_dedup, token_align, token_tree, url_rules, wand
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, HOST_RULES + WILDCARD_RULES, "allow")
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM t),
+g AS (
+  SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS i
+    FROM (SELECT *, unnest([1, 2, 3, 4]) AS m FROM p))),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY 1),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+k AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+s AS (
+  SELECT k.*, h.f AS l, t.f AS r, (2000000::HUGEINT * a // (h.f + t.f))::BIGINT AS score
+  FROM k JOIN f h ON k.lang = h.lang AND head = h.phrase JOIN f t ON k.lang = t.lang AND tail = t.phrase),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[j:j + w - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, m - w + 2)) AS j
+    FROM (SELECT *, unnest(range(2, m)) AS w FROM f WHERE m > 2)) GROUP BY 1, 2)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM b LEFT JOIN i USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a) JOIN n USING (lang)
+WHERE rank <= 2000"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, 30, 2000)
+
+
 @query("op12_token_align")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -119,7 +119,9 @@ def runs(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((total[stop] - total[first]) * inverse[first] ^ length * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    texts: pa.Array, size: int = SLICE
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from the slice's start). Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -134,7 +136,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
