@@ -599,9 +599,27 @@ def j02b(i: Inputs):
     return _completions(i, "process")
 
 
-@query("j02c_overlapping_sequence")
+FOLD = {
+    "sco2": SCOPED.replace("IN (4, 6)", "IN (1, 9)"),
+    "turn": """SELECT host, spid, sstart, seq, ts_ns, type,
+  row_number() OVER (PARTITION BY host, spid, sstart ORDER BY seq) AS rn FROM sco2""",
+    "fold": """
+SELECT DISTINCT host, spid, sstart, 0::BIGINT AS rn, 0::BIGINT AS seq, 0 AS step, 0::BIGINT AS began, false AS hit
+FROM turn
+UNION ALL
+SELECT host, spid, sstart, rn, seq,
+  CASE WHEN live AND step = 1 AND type = 1 THEN 2 WHEN live AND step = 2 AND type = 9 THEN 0
+       WHEN type = 1 THEN 1 WHEN live THEN step ELSE 0 END,
+  CASE WHEN live AND step = 1 AND type = 1 THEN began WHEN type = 1 THEN ts_ns WHEN live THEN began ELSE 0 END,
+  live AND step = 2 AND type = 9
+FROM (SELECT t.*, w.step, w.began, w.step > 0 AND t.ts_ns - w.began <= 1200000000000 AS live
+  FROM fold w JOIN turn t ON t.host = w.host AND t.spid = w.spid AND t.sstart = w.sstart AND t.rn = w.rn + 1)""",
+}
+
+
+@query("j02c_overlapping_sequence", sql("SELECT host, seq, spid AS pid FROM fold WHERE hit", FOLD))
 def j02c(i: Inputs):
-    """Steps that one event can match twice over: checked against a sequential fold in the tests."""
+    """Steps that one event can match twice over, against a recursive fold."""
     return _completions(i, "overlap")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procscope import schema as S
 from procscope.catalog.base import EXTRA, Inputs, query
+from procscope.catalog.engine import INCIDENT_COLS, MATCH_RULES, RSCORE, RULED, SEQUENCES
 from procscope.catalog.fleet import WALK, WALK_SQL
 from procscope.catalog.oracle_base import sql
 from procscope.catalog.rows import OPENS, raw_open
@@ -27,11 +28,11 @@ def _stream(i: Inputs, path: str, schema):
     return i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _live(i: Inputs, **kw) -> live.LiveDetection:
+def _live(i: Inputs, floor: str = "low", **kw) -> live.LiveDetection:
     top = i.cap.agg(F.max("ts_ns")).first()[0] + 1
     path = _files(i, i.cap, f"ts_ns * 3 DIV {top}", 3, "live-in")
     job = live.LiveDetection(
-        i.spark, scratch_path(i.spark, "live"), i.settings, "low", **kw
+        i.spark, scratch_path(i.spark, "live"), i.settings, floor, **kw
     )
     job.start(_stream(i, path, i.cap.schema)).awaitTermination()
     return job
@@ -47,6 +48,13 @@ def k1(i: Inputs):
     )
 
 
+@query("k1b_live_with_sequences", sql(f"SELECT {INCIDENT_COLS} FROM rinc", {**RULED, **RSCORE}))
+def k1b(i: Inputs):
+    """Steps of a sequence lie in different batches; the result is that of one replay."""
+    job = _live(i, "info", ruleset=[SEQUENCES["lineage"], MATCH_RULES[0]])
+    return job.incidents().select(*INCIDENT_COLS.split(", "))
+
+
 @query("k2_late_rows", sql("SELECT host, seq FROM cap WHERE seq % 50 = 0 AND ts_ns < (SELECT (max(ts_ns) + 1) // 2 FROM cap)"
        " AND seq <= (SELECT max(c.seq) FROM cap c WHERE c.host = cap.host AND c.ts_ns < (SELECT (max(ts_ns) + 1) // 2 FROM cap) AND c.seq % 50 <> 0)"))
 def k2(i: Inputs):

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
-import pandas as pd
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators.graph import lineage_rows
-from procscope.operators.scan import chunk_of, last_known, max_before, over
+from procscope.operators.scan import chunk_of, next_rows, over, reachable
+from procscope.session import materialize
 
 # Names a rule may use. Listening sockets are not among them.
 RULE_EVENTS = {n: c for c, n in S.EVENT_NAMES.items() if n != "sock_listen"}
@@ -256,7 +256,7 @@ def sequence_completions(d: DataFrame, r: Rule, chunk: int | None = None) -> Dat
         # With two steps that exclude each other, every first-step row restarts the attempt. So a
         # second-step row completes it exactly when the row before it is a first step in time.
         return _pairs(d, r.within_ns, chunk)
-    return _folded(d, r, chunk)
+    return sequence_scan(d, r, chunk)[0]
 
 
 def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
@@ -272,40 +272,71 @@ def _pairs(d: DataFrame, within_ns: int, chunk: int | None) -> DataFrame:
     ).select(*S.KEY, "seq", "ts_ns")
 
 
-def _folded(d: DataFrame, r: Rule, chunk: int | None) -> DataFrame:
-    """Any other sequence: a fold in arrival order that keeps one small state.
+def sequence_scan(
+    d: DataFrame, r: Rule, chunk: int | None = None, in_flight: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(completions, attempts in flight at the end) of any sequence, over rows of ``steps_of``.
 
-    Rows are cut into segments at moments that surely reset the attempt: a pause longer than the
-    window, or an event that can only start it. Segments are sorted inside their partition and
-    streamed through the fold, so no group is ever collected.
+    Every row that matches the first step may begin an attempt, and what becomes of an attempt follows
+    from the row alone: of the rows after it only the next one that matches the step awaited or the
+    first step counts, and the newest time on the way says whether the window has closed by then. So
+    each possible attempt gets its end and the row where the next attempt would begin, step by step by
+    equality joins. Which attempts really happen is a walk from the first one along those rows. A row
+    that matches nothing but the first step always begins an attempt; only others need to be
+    reached, by doubling jumps. No key is walked through in one task.
+
+    ``in_flight``: (host, pid, start, seq, first_ts, step) of earlier batches, at most one for a scope.
     """
-    within, n = r.within_ns, len(r.sequence)
-    seg = max_before(d, S.KEY, "seq", "ts_ns", "newest", chunk)
-    opens = f"CASE WHEN steps = 1 OR newest IS NULL OR ts_ns - newest > {within}L THEN seq END"
-    seg = last_known(seg, S.KEY, "seq", {"segment": opens}, chunk)
-    ordered = seg.repartition(*S.KEY, "segment").sortWithinPartitions(*S.KEY, "segment", "seq")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, step, first = None, 0, 0
-        for b in batches:
-            hits = []
-            rows = zip(b.host, b.pid, b.start, b.segment, b.ts_ns, b.steps, strict=True)
-            for i, (host, pid, start, segment, ts, steps) in enumerate(rows):
-                if (host, pid, start, segment) != current:
-                    current, step = (host, pid, start, segment), 0
-                if step and ts - first > within:
-                    step = 0
-                if step and steps >> step & 1:
-                    step += 1
-                    if step == n:
-                        step = 0
-                        hits.append(i)
-                elif steps & 1:
-                    step, first = 1, ts
-            yield b.iloc[hits][["host", "pid", "start", "seq", "ts_ns"]]
-
-    return ordered.mapInPandas(
-        fold, "host string, pid long, start long, seq long, ts_ns long"
+    n, within = len(r.sequence), r.within_ns
+    rows = d.selectExpr(*S.KEY, "seq", "ts_ns", "steps", "0 AS at_step", "ts_ns AS first_ts")
+    if in_flight is not None:
+        rows = rows.unionByName(
+            in_flight.selectExpr(*S.KEY, "seq", "first_ts AS ts_ns", "0 AS steps", "step AS at_step", "first_ts")
+        )
+    if n == 1:
+        return d.select(*S.KEY, "seq", "ts_ns"), rows.selectExpr(*S.KEY, "seq", "first_ts", "0 AS step").limit(0)
+    rows = next_rows(rows, S.KEY, {"z": "(steps & 1) <> 0"}, "struct(seq, steps)", size=chunk)
+    tests = {f"n{k}": f"(steps & {1 << k | 1}) <> 0" for k in range(1, n)}
+    value = "struct(seq, ts_ns, steps, z)"
+    rows = materialize(next_rows(rows, S.KEY, tests, value, "ts_ns", size=chunk), "sequence-rows")
+
+    def awaiting(k: int, which: str) -> DataFrame:
+        return rows.filter(which).selectExpr(
+            *S.KEY, "seq AS begun", "steps AS own", "first_ts", f"n{k} AS n", f"n{k}_peak AS peak"
+        )
+
+    ends, now = None, awaiting(1, "at_step = 0 AND (steps & 1) <> 0")
+    for k in range(1, n):
+        if in_flight is not None:
+            now = now.unionByName(awaiting(k, f"at_step = {k}"))
+        now = now.selectExpr(
+            "*",
+            f"CASE WHEN peak - first_ts > {within}L THEN 'closed' WHEN n IS NULL THEN 'open'"
+            f" WHEN (n.steps & {1 << k}) <> 0 THEN '{'done' if k == n - 1 else 'on'}' ELSE 'again' END AS kind",
+        )
+        here = "(kind = 'again' OR (kind = 'closed' AND (n.steps & 1) <> 0))"
+        then = "kind = 'closed' OR kind = 'done'"
+        part = now.filter("kind <> 'on'").selectExpr(
+            *S.KEY, "begun", "own", "first_ts", f"{k} AS step", "kind", "n.seq AS seq", "n.ts_ns AS ts_ns",
+            f"CASE WHEN {here} THEN n.seq WHEN {then} THEN n.z.seq END AS nxt",
+            f"CASE WHEN {here} THEN n.steps WHEN {then} THEN n.z.steps END AS nxt_steps",
+        )
+        ends = part if ends is None else ends.unionByName(part)
+        if k < n - 1:
+            there = rows.selectExpr(*S.KEY, "seq", f"n{k + 1}", f"n{k + 1}_peak")
+            now = now.filter("kind = 'on'").selectExpr(*S.KEY, "n.seq AS seq", "begun", "own", "first_ts")
+            now = now.join(there, [*S.KEY, "seq"]).selectExpr(
+                *S.KEY, "begun", "own", "first_ts", f"n{k + 1} AS n", f"n{k + 1}_peak AS peak"
+            )
+    ends = materialize(ends, "attempts")
+    first = ends.groupBy(*S.KEY).agg(F.min("begun").alias("begun"))
+    roots = ends.filter("own = 1").select(*S.KEY, "begun").unionByName(first)
+    jump = ends.filter("nxt_steps <> 1")
+    real = ends.join(reachable(roots, jump, S.KEY, "begun", "attempts-begun"), [*S.KEY, "begun"])
+    real = materialize(real, "attempts-made")
+    return (
+        real.filter("kind = 'done'").select(*S.KEY, "seq", "ts_ns"),
+        real.filter("kind = 'open'").selectExpr(*S.KEY, "begun AS seq", "first_ts", "step"),
     )
 
 
@@ -321,7 +352,27 @@ def rule_signals(
         if r.sequence:
             done = sequence_completions(steps_of(capture, r, reach), r, chunk)
             parts.append(_signal_rows(done, i, r))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+IN_FLIGHT = "host string, pid long, start long, seq long, first_ts long, step int, rule int"
+
+
+def resumed_signals(
+    capture: DataFrame,
+    rules: list[Rule],
+    reach: DataFrame | None,
+    in_flight: DataFrame | None,
+    chunk: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """As ``rule_signals`` for a part of a stream: goes on with the attempts ``in_flight`` (IN_FLIGHT),
+    and returns those that are so at the end of the part. A rule is known by its place in the list."""
+    m = match_signals(capture, rules)
+    parts, left = [] if m is None else [m], [capture.sparkSession.createDataFrame([], IN_FLIGHT)]
+    for i, r in enumerate(rules):
+        if r.sequence:
+            had = None if in_flight is None else in_flight.filter(f"rule = {i}").drop("rule")
+            done, open_ = sequence_scan(steps_of(capture, r, reach), r, chunk, had)
+            parts.append(_signal_rows(done, i, r))
+            left.append(open_.withColumn("rule", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, left)

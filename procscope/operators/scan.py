@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procscope.session import materialize
+
 CHUNK = 1 << 18
 END = (1 << 62) - 1
 
@@ -119,3 +121,71 @@ def max_before(
     d = d.selectExpr("*", f"max({expr}) {over(ck, order, BEFORE)} AS _in").join(tails, ck, "left")
     # greatest skips nulls
     return d.selectExpr(*df.columns, f"greatest(_in, _carry) AS {name}")
+
+
+def next_rows(
+    df: DataFrame,
+    keys: list[str],
+    tests: dict[str, str],
+    value: str,
+    peak: str | None = None,
+    seq: str = "seq",
+    size: int | None = None,
+) -> DataFrame:
+    """For each named test, ``value`` of the first later row of the key that passes it, null if none.
+
+    With ``peak``, ``<name>_peak`` is its maximum over the rows after this one up to and including that
+    row, or over all later rows if there is none. Inside a chunk a window that runs backwards finds
+    both; across chunks one row each carries its first passing row and the maximum up to it.
+    """
+    ck = keys + ["_chunk"]
+    back, up = f"{seq} DESC", "_chunk DESC"
+    d = df.selectExpr("*", f"{chunk_of(seq, size)} AS _chunk").repartition(*ck)
+    d = d.selectExpr(
+        "*",
+        *[f"last(CASE WHEN {t} THEN {value} END, true) {over(ck, back, BEFORE)} AS _n_{n}"
+          for n, t in tests.items()],
+        *[f"count_if({t}) {over(ck, back, UPTO)} AS _h_{n}" for n, t in tests.items() if peak],
+    )
+    if peak:
+        # Rows that share their next passing row share a number; it is the last of them.
+        d = d.selectExpr("*", *[f"max({peak}) {over([*ck, f'_h_{n}'], back, UPTO)} AS _w_{n}" for n in tests])
+        d = d.selectExpr("*", *[f"lag(_w_{n}) {over(ck, back)} AS _m_{n}" for n in tests])
+    heads = d.groupBy(*ck).agg(
+        *[F.expr(f"min_by({value}, CASE WHEN {t} THEN {seq} END) AS _f_{n}") for n, t in tests.items()],
+        *[F.expr(f"min_by(_w_{n}, {seq}) AS _p_{n}") for n in tests if peak],
+    )
+    heads = heads.selectExpr(
+        "*",
+        *[f"last(_f_{n}, true) {over(keys, up, BEFORE)} AS _c_{n}" for n in tests],
+        *[f"count(_f_{n}) {over(keys, up, UPTO)} AS _h_{n}" for n in tests if peak],
+    )
+    if peak:
+        heads = heads.selectExpr(
+            "*", *[f"max(_p_{n}) {over([*keys, f'_h_{n}'], up, UPTO)} AS _w_{n}" for n in tests]
+        )
+        heads = heads.selectExpr("*", *[f"lag(_w_{n}) {over(keys, up)} AS _r_{n}" for n in tests])
+    heads = heads.select(*ck, *[f"_{x}_{n}" for n in tests for x in (["c", "r"] if peak else ["c"])])
+    d = d.join(heads, ck, "left")
+    return d.selectExpr(
+        *df.columns,
+        *[f"coalesce(_n_{n}, _c_{n}) AS {n}" for n in tests],
+        *[f"CASE WHEN _n_{n} IS NULL THEN greatest(_m_{n}, _r_{n}) ELSE _m_{n} END AS {n}_peak"
+          for n in tests if peak],
+    )
+
+
+def reachable(roots: DataFrame, jump: DataFrame, keys: list[str], at: str, label: str) -> DataFrame:
+    """Places (keys, at) that the roots lead to, themselves included, where each place leads to at most
+    one other, ``jump``: (keys, at, nxt). Jumps double in length every round, so there are as many
+    rounds as the logarithm of the longest way."""
+    found = materialize(roots.select(*keys, at).distinct(), label)
+    jump = materialize(jump.select(*keys, at, "nxt"), label)
+    while not jump.isEmpty():
+        more = found.join(jump, [*keys, at]).selectExpr(*keys, f"nxt AS {at}")
+        found = materialize(found.unionByName(more).distinct(), label)
+        far = jump.selectExpr(*keys, f"{at} AS nxt", "nxt AS far")
+        jump = materialize(
+            jump.join(far, [*keys, "nxt"]).selectExpr(*keys, at, "far AS nxt"), label
+        )
+    return found

@@ -13,12 +13,15 @@ from procscope.session import materialize
 
 @dataclass
 class Prior:
-    """What earlier batches left behind; every table may be missing."""
+    """What earlier batches left behind; every table may be missing. ``resumes`` says that sequences go
+    on in later batches: ``Replay.in_flight`` then holds what to go on with."""
 
     states: DataFrame | None = None
     edges: DataFrame | None = None
     improving: DataFrame | None = None
     reported: DataFrame | None = None
+    in_flight: DataFrame | None = None
+    resumes: bool = False
 
 
 @dataclass
@@ -37,6 +40,7 @@ class Replay:
     incidents: DataFrame
     settings: detect.Settings
     baseline: B.Baseline | None = None
+    in_flight: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -75,7 +79,11 @@ def replay(
     sig = detect.detect_rows(capture, settings).unionByName(
         detect.detect_in_context(capture, states, reach, settings)
     )
-    if ruleset:
+    in_flight = None
+    if ruleset and prior.resumes:
+        more, in_flight = rules.resumed_signals(capture, ruleset, reach, prior.in_flight, chunk)
+        sig = sig.unionByName(more)
+    elif ruleset:
         sig = sig.unionByName(rules.rule_signals(capture, ruleset, reach, chunk))
     # Read by the collapse, the evaluations and the records.
     sig = materialize(score.with_bucket(sig, bool(ruleset)), "signals")
@@ -88,8 +96,9 @@ def replay(
     scored, on_file = score.score_candidates(cand, imp, reach, states, baseline, how)
     inc = score.emit(scored, detect_floor(floor), prior.reported)
     return Replay(
-        capture, states, edge_rows, reach, sig, imp, cand, scored, on_file, inc, settings, baseline
-    )
+        capture, states, edge_rows, reach, sig, imp, cand, scored, on_file, inc, settings, baseline,
+        in_flight,
+    )
 
 
 def detect_floor(floor: str) -> int:

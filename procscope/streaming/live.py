@@ -23,7 +23,7 @@ from procscope.plans.replay import Prior, replay
 from procscope.session import materialize
 from procscope.sources import capture as src
 
-STATE_TABLES = ("states", "edges", "improving", "reported", "exits", "mark", "named")
+STATE_TABLES = ("states", "edges", "improving", "reported", "exits", "mark", "named", "in_flight")
 
 
 class Versions:
@@ -92,7 +92,8 @@ class LiveDetection:
     ``retain_secs`` drops exited processes, and everything known about them, that long after their
     exit (event time); None keeps all, which makes the stream equal to a replay. Rows older than the
     newest arrival number already processed for their host are late: they go to a side table and are
-    never dropped silently. ``snapshot`` holds the processes known before the stream began, ``baseline``
+    never dropped silently. Sequence rules go on with the attempts that earlier batches left in flight, one a
+    scope at most. ``snapshot`` holds the processes known before the stream began, ``baseline``
     what is usual.
     """
 
@@ -111,8 +112,6 @@ class LiveDetection:
         self.snapshot, self.baseline = snapshot, baseline
         self.settings, self.floor, self.ruleset = settings, floor, ruleset
         self.retain_ns = None if retain_secs is None else retain_secs * 1_000_000_000
-        if ruleset and any(r.sequence for r in ruleset):
-            raise ValueError("sequence rules need the rows of earlier batches: use replay")
         self.state = Versions(spark, os.path.join(folder, "state"))
         self.out = Versions(spark, os.path.join(folder, "out"))
 
@@ -145,7 +144,10 @@ class LiveDetection:
                 prev[t] = None if prev[t] is None else prev[t].filter("seq >= 0")
         r = replay(
             events, self.settings, self.floor, self.baseline, self.ruleset, self.snapshot,
-            Prior(prev["states"], prev["edges"], prev["improving"], prev["reported"]), naming,
+            Prior(
+                prev["states"], prev["edges"], prev["improving"], prev["reported"], prev["in_flight"],
+                resumes=True,
+            ), naming,
         )
         inc = self.out.write("incidents", n, r.incidents)
 
@@ -174,6 +176,8 @@ class LiveDetection:
             "reported": reported,
             "exits": exits,
         }
+        if r.in_flight is not None:
+            tables["in_flight"] = r.in_flight
         if self.retain_ns is not None:
             gone = materialize(expired(exits, mark, self.retain_ns), "expired")
             tables = {t: without(df, gone, t) for t, df in tables.items()}
