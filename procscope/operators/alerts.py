@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procscope.functions import events as X
 from procscope.functions import text as T
-from procscope.operators.scan import last_known, over
+from procscope.operators.scan import last_known, next_rows, numbered, over, reachable
 from procscope.session import materialize
 
 # Fixed values.
@@ -123,47 +120,58 @@ def throttle(alerts_: DataFrame, per_window: int, start: int | str) -> tuple[Dat
     return out, held
 
 
-def lockout(attempts: DataFrame) -> DataFrame:
+def lockout(attempts: DataFrame, chunk: int | None = None) -> DataFrame:
     """Verdict per authentication attempt (address, ts, ord, ok): ``locked_for`` seconds if it was
     refused outright, ``locks`` if this failure started a lockout.
 
     Five failures within 300 s of the first lock an address for 900 s; success clears it; a refused
-    attempt counts for nothing. A pause longer than the lockout certainly clears the address, so
-    each address is cut there; pieces are sorted inside their partition and streamed through a
-    constant-size state.
+    attempt counts for nothing.
+
+    Any failure may be the first of a count, and what becomes of it follows from the rows after it: the
+    fourth failure from there, the next success, the first failure after the window and, if it locks,
+    the first one after the lockout. Equality joins and chunked windows find them for all failures at
+    once, so each knows where the next count would begin. The counts that really happen are those
+    that an address's first failure leads to, found by doubling jumps; a failure after a pause longer than
+    the lockout surely begins one. An address is walked through by no task, however busy it is.
     """
-    # Pauses show in the distinct seconds of an address; a burst inside one second is one row.
-    secs = attempts.select("address", "ts").distinct()
-    gap = f"ts - lag(ts) {over(['address'], 'ts')} > {LOCKOUT}"
-    secs = secs.selectExpr("*", f"CASE WHEN coalesce({gap}, true) THEN ts END AS opens")
-    run = over(["address"], "ts", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-    secs = secs.selectExpr("address", "ts", f"max(opens) {run} AS piece")
-    d = attempts.join(secs, ["address", "ts"])
-    d = d.repartition("address", "piece").sortWithinPartitions("address", "piece", "ts", "ord")
-    d = d.select("address", "ts", "ord", "ok", "piece")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, fails, first, until = None, 0, 0, 0
-        for b in batches:
-            wait, locks = [], []
-            for a, p, ts, ok in zip(b.address, b.piece, b.ts, b.ok, strict=True):
-                if (a, p) != who:
-                    who, fails, until = (a, p), 0, 0
-                left, started = 0, False
-                if until > ts:
-                    left = until - ts
-                elif ok:
-                    fails, until = 0, 0
-                else:
-                    if fails == 0 or ts - first > FAILURE_WINDOW:
-                        fails, first, until = 0, ts, 0
-                    fails += 1
-                    if fails >= MAX_FAILURES:
-                        until, started = ts + LOCKOUT, True
-                wait.append(left)
-                locks.append(started)
-            yield b.assign(locked_for=wait, locks=locks).drop(columns="piece")
-
-    return d.mapInPandas(
-        walk, "address string, ts long, ord long, ok boolean, locked_for long, locks boolean"
+    key, minute = ["address"], "ts DIV 60"
+    rows = numbered(attempts.select("address", "ts", "ord", "ok"), key, ["ts", "ord"], minute, "rn")
+    rows = next_rows(rows, key, {"fail": "NOT ok"}, "rn", seq="rn", size=chunk)
+    rows = next_rows(rows, key, {"clear": "ok"}, "struct(rn, fail)", seq="rn", size=chunk)
+    rows = materialize(rows, "attempts")
+    fails = materialize(numbered(rows.filter("NOT ok"), key, ["rn"], minute, "nth"), "failures")
+    fifth = fails.selectExpr("address", f"nth - {MAX_FAILURES - 1} AS nth", "rn AS rn5", "ts AS ts5")
+    counts = fails.join(fifth, [*key, "nth"], "left").selectExpr(
+        "address", "rn", "ts", "clear", "rn5",
+        f"coalesce(ts5 - ts <= {FAILURE_WINDOW} AND (clear IS NULL OR clear.rn > rn5), false) AS locks",
+        f"ts5 + {LOCKOUT} AS until",
+    )
+    counts = materialize(counts.selectExpr("*", f"if(locks, until, ts + {FAILURE_WINDOW + 1}) AS since"), "counts")
+    # The first failure at or after a moment, looked up once for each moment.
+    seconds = fails.groupBy("address", "ts").agg(F.min("rn").alias("rn"))
+    asked = counts.selectExpr("address", "since * 2 AS o", "CAST(NULL AS BIGINT) AS rn").distinct()
+    line = asked.unionByName(seconds.selectExpr("address", "ts * 2 + 1 AS o", "rn"))
+    later = next_rows(line, key, {"then": "rn IS NOT NULL"}, "rn", seq="o", size=chunk)
+    later = later.filter("rn IS NULL").selectExpr("address", "o DIV 2 AS since", "then")
+    before = rows.selectExpr("address", "rn + 1 AS rn", "ts AS before")
+    counts = counts.join(later, [*key, "since"], "left").join(before, [*key, "rn"], "left")
+    counts = materialize(
+        counts.selectExpr(
+            "address", "rn", "rn5", "locks", "until", f"ts - before > {LOCKOUT} AS sure",
+            "if(NOT locks AND clear IS NOT NULL AND (then IS NULL OR clear.rn < then), clear.fail, then) AS nxt",
+        ),
+        "counts-ends",
+    )
+    sure = counts.filter("sure").select("address", "rn")
+    roots = sure.unionByName(counts.groupBy("address").agg(F.min("rn").alias("rn")))
+    jump = counts.filter("nxt IS NOT NULL").join(
+        sure.withColumnRenamed("rn", "nxt"), [*key, "nxt"], "left_anti"
     )
+    begun = reachable(roots, jump, key, "rn", "counts-begun")
+    locks = counts.filter("locks").join(begun, [*key, "rn"]).selectExpr("address", "rn5 AS rn", "until", "locks")
+    marked = rows.select("address", "ts", "ord", "ok", "rn").join(locks, [*key, "rn"], "left")
+    return last_known(marked, key, "rn", {"closed": "until"}, chunk).selectExpr(
+        "address", "ts", "ord", "ok",
+        "if(locks IS NULL, greatest(coalesce(closed, 0L) - ts, 0L), 0L) AS locked_for",
+        "coalesce(locks, false) AS locks",
+    )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procscope.session import materialize
+
+
 def targets(evidence: DataFrame) -> DataFrame:
     """Distinct targets per incident, with the first signal that named each."""
     return (
@@ -29,39 +32,69 @@ GRAM = 4  # bytes of a signature that a body is looked up by
 BLOCK = 1 << 16  # bytes of a body whose grams are listed at once
 SIGNATURE_BYTES = 8 * 1024 * 1024
 
+#: Escapes that stand for a character, a class by name or a quotation: what is sure then is not plain.
+_OPAQUE = r"\\\\[xucpPQEN0-9k]|\\[[^\\]]*\\[|[|(]"
+
 
 def _core(pattern: str) -> str:
-    """SQL of the longest text that every match of a regular expression holds, as far as is plain:
-    '' for alternatives and groups; what is optional, repeated, a class or escaped splits it."""
-    cut = pattern
+    """SQL of the longest text that every match of a regular expression holds, as far as is plain: ''
+    for alternatives, groups and escapes of characters; what is optional, repeated or a class splits
+    it."""
+    cut = f"regexp_replace({pattern}, '([?*+}}])[?+]', '$1')"  # lazy and possessive
     for part in (r"\\\\.", r"\\[[^\\]]*\\]", r".\\{[^}]*\\}", r".[?*]", r"[.^$+]"):
         cut = f"regexp_replace({cut}, '{part}', '\\u0001')"
     longest = f"array_max(transform(split({cut}, '\\u0001'), x -> struct(length(x) AS n, x AS x))).x"
-    return f"CASE WHEN {pattern} RLIKE '[|(]' THEN '' ELSE {longest} END"
+    quoted = f"startswith({pattern}, '\\\\Q') AND instr({pattern}, '\\\\E') = length({pattern}) - 1"
+    return (
+        f"CASE WHEN {quoted} THEN substring({pattern}, 3, length({pattern}) - 4)"
+        f" WHEN {pattern} RLIKE '{_OPAQUE}' THEN '' ELSE {longest} END"
+    )
 
 
 def _signatures(signatures: DataFrame) -> DataFrame:
-    """(rule, kind, pattern, bytes, gram): what to look for, on bytes. ``gram`` is null where nothing
-    long enough is sure to occur."""
-    text = "encode(pattern, 'UTF-8')"
-    return signatures.selectExpr(
-        "rule", "kind", f"decode({text}, 'ISO-8859-1') AS pattern",
-        "CASE kind WHEN 'regex' THEN CAST(NULL AS BINARY)"
-        f" WHEN 'hex' THEN unhex(regexp_replace(pattern, '[^0-9A-Fa-f]', '')) ELSE {text} END AS bytes",
-        f"CASE kind WHEN 'regex' THEN encode({_core('pattern')}, 'UTF-8')"
-        f" WHEN 'hex' THEN unhex(regexp_replace(pattern, '[^0-9A-Fa-f]', '')) ELSE {text} END AS sure",
+    """(rule, bytes, pattern, sure): what to look for, on bytes: ``bytes`` as they are, or else a
+    ``pattern``. ``sure`` are bytes that any match holds. Half bytes of a hex signature may be ``?``."""
+    d = signatures.selectExpr(
+        "rule", "kind", "pattern", "upper(regexp_replace(pattern, '[ \\t\\r\\n]', '')) AS hex",
     ).selectExpr(
-        "rule", "kind", "pattern", "bytes",
-        f"CASE WHEN octet_length(sure) >= {GRAM} THEN substring(sure, 1, {GRAM}) END AS gram",
-    )
+        "*",
+        "CASE WHEN kind = 'hex' AND NOT hex RLIKE '^([0-9A-F?]{2})+$' THEN"
+        " raise_error(concat('signature ', rule, ' is not pairs of hex digits: ', pattern))"
+        " WHEN kind = 'hex' THEN transform(sequence(1, length(hex) DIV 2), i -> substring(hex, 2 * i - 1, 2))"
+        " END AS pairs",
+    ).selectExpr("*", "kind = 'hex' AND contains(hex, '?') AS masked")
+    nibbles = "array_join(transform(sequence(0, 15), j -> concat('\\\\x', conv(j, 10, 16), right(p, 1))), '')"
+    mask = (
+        "array_join(transform(pairs, p -> CASE WHEN p = '??' THEN '[\\\\s\\\\S]'"
+        f" WHEN p LIKE '?_' THEN concat('[', {nibbles}, ']')"
+        " WHEN p LIKE '_?' THEN concat('[\\\\x', left(p, 1), '0-\\\\x', left(p, 1), 'F]')"
+        " ELSE concat('\\\\x', p) END), '')"
+    )
+    runs = "split(array_join(transform(pairs, p -> if(contains(p, '?'), '|', p)), ''), '[|]')"
+    longest = f"array_max(transform({runs}, x -> struct(length(x) AS n, x AS x))).x"
+    text = "encode(pattern, 'UTF-8')"
+    return d.selectExpr(
+        "rule",
+        f"CASE WHEN kind = 'regex' OR masked THEN NULL WHEN kind = 'hex' THEN unhex(hex) ELSE {text} END AS bytes",
+        f"CASE WHEN kind = 'regex' THEN decode({text}, 'ISO-8859-1') WHEN masked THEN {mask} END AS pattern",
+        f"CASE WHEN kind = 'regex' THEN encode({_core('pattern')}, 'UTF-8')"
+        f" WHEN masked THEN unhex({longest}) WHEN kind = 'hex' THEN unhex(hex) ELSE {text} END AS sure",
+    )
 
 
 HIT = (
-    "CASE WHEN {s}bytes IS NULL THEN regexp_like(decode(body, 'ISO-8859-1'), {s}pattern)"
-    " ELSE contains(body, {s}bytes) END"
+    "CASE WHEN s.bytes IS NULL THEN regexp_like(decode(body, 'ISO-8859-1'), s.pattern)"
+    " ELSE contains(body, s.bytes) END"
 )
 
 
+def _grams(of: str, k: int) -> str:
+    return (
+        f"if(octet_length({of}) >= {k}, array_distinct(transform(sequence(1, octet_length({of}) - {k - 1}),"
+        f" i -> substring({of}, i, {k}))), CAST(array() AS ARRAY<BINARY>))"
+    )
+
+
 def identify(
     targets_: DataFrame,
     contents: DataFrame,
@@ -72,40 +105,61 @@ def identify(
 
     ``contents``: (target, body) with bytes, or text that counts as its UTF-8 bytes. ``signatures``:
     (rule, kind, pattern) of kind literal, regex or hex; all match bytes, so that a regular
-    expression sees each byte as one character. Each signature is indexed by its first bytes, or
-    those of the text a regular expression is sure to hold; the distinct grams of a body fetch
-    signatures by an equality join, and only fetched ones are tried. What is too short to be indexed
-    travels to the executors in passes of at most ``pass_bytes``, measured first.
+    expression sees each byte as one character. A hex signature may have ``?`` for half bytes; one that
+    is not pairs of digits is an error that names its rule.
+
+    A signature is looked up by the rarest of the four-byte grams that any match of it holds, as counted
+    in these bodies: first bytes are often a magic number that every file has. Where one of its grams
+    occurs nowhere it is not looked up at all. Shorter ones are grams themselves. The candidates of a
+    target come together before they meet its body, so a body travels once. Only regular expressions
+    without any sure byte are tried on all bodies; they travel to the executors in passes of at most
+    ``pass_bytes``, measured first.
     """
     want = targets_.select("target").distinct()
     bodies = want.join(contents.selectExpr("target", "CAST(body AS BINARY) AS body"), "target", "left")
-    sigs = _signatures(signatures)
-    indexed = sigs.filter("gram IS NOT NULL")
+    sigs = _signatures(signatures).withColumn("sig", F.monotonically_increasing_id())
+    sigs = materialize(sigs, "signatures")
+    size = f"least({GRAM}, octet_length(sure))"
+    own = sigs.filter("octet_length(sure) > 0").selectExpr(
+        "sig",
+        f"explode(array_distinct(transform(sequence(1, octet_length(sure) - {size} + 1),"
+        f" i -> substring(sure, i, {size})))) AS gram",
+    )
+    lengths = [r.k for r in own.selectExpr("octet_length(gram) AS k").distinct().collect()]  # at most GRAM
+    grams = "flatten(array({}))".format(", ".join(_grams("block", k) for k in sorted(lengths)))
     blocks = bodies.filter("octet_length(body) > 0").selectExpr(
         "target",
         f"explode(transform(sequence(0, (octet_length(body) - 1) DIV {BLOCK}),"
         f" k -> substring(body, k * {BLOCK} + 1, {BLOCK + GRAM - 1}))) AS block",
     )
-    grams = blocks.filter(f"octet_length(block) >= {GRAM}").selectExpr(
-        "target",
-        f"explode(array_distinct(transform(sequence(1, octet_length(block) - {GRAM - 1}),"
-        f" i -> substring(block, i, {GRAM})))) AS gram",
-    )
-    fetched = grams.join(indexed, "gram").drop("gram").distinct()
-    hits = (
-        fetched.join(bodies, "target").filter(HIT.format(s="")).select("target", "rule")
-    )
-    rest = sigs.filter("gram IS NULL")
-    size = rest.agg(F.expr("sum(octet_length(pattern) + octet_length(rule) + 32)")).first()[0] or 0
-    passes = -(-size // pass_bytes)
+    hits = None
+    if lengths:
+        found = blocks.selectExpr("target", f"explode({grams}) AS gram")
+        found = found.join(own.select("gram").distinct(), "gram", "left_semi").distinct()
+        found = materialize(found, "body-grams")
+        often = found.groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = (
+            own.join(often, "gram", "left").groupBy("sig")
+            .agg(F.expr("min_by(gram, struct(n, gram)) AS gram"), F.expr("count(n) = count(1) AS whole"))
+            .filter("whole").select("sig", "gram")
+        )
+        per = found.join(rarest, "gram").join(sigs, "sig").groupBy("target").agg(
+            F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs")  # at most all signatures
+        )
+        tried = bodies.join(per, "target")
+        hits = tried.selectExpr("target", f"explode(filter(sigs, s -> {HIT})) AS s")
+    rest = sigs.filter("coalesce(octet_length(sure), 0) = 0")
+    total = rest.agg(F.expr("sum(coalesce(octet_length(pattern), 0) + octet_length(rule) + 32)")).first()[0] or 0
+    passes = -(-total // pass_bytes)
     for k in range(passes):
-        part = rest.filter(f"pmod(xxhash64(rule, kind, pattern), {passes}) = {k}")
+        part = rest.filter(f"pmod(sig, {passes}) = {k}")
         row = part.groupBy().agg(F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs"))
-        tried = bodies.filter("octet_length(body) > 0").crossJoin(F.broadcast(row)).selectExpr(
-            "target", f"explode(filter(sigs, s -> {HIT.format(s='s.')})) AS s"
-        )
-        hits = hits.unionByName(tried.selectExpr("target", "s.rule AS rule"))
-    hits = hits.groupBy("target").agg(F.expr("array_sort(collect_set(rule)) AS rules"))
+        tried = bodies.filter("octet_length(body) > 0").crossJoin(F.broadcast(row))
+        tried = tried.selectExpr("target", f"explode(filter(sigs, s -> {HIT})) AS s")
+        hits = tried if hits is None else hits.unionByName(tried)
+    if hits is None:
+        hits = bodies.limit(0).selectExpr("target", "named_struct('rule', '') AS s")
+    hits = hits.groupBy("target").agg(F.expr("array_sort(collect_set(s.rule)) AS rules"))
     gone = bodies.groupBy("target").agg(
         F.expr("bool_and(coalesce(octet_length(body), 0) = 0) AS gone")
     )

@@ -307,6 +307,56 @@ def test_content_outcomes(spark):
         }
 
 
+def test_signatures_with_escapes_masks_and_quotes(spark):
+    """What is sure of a pattern is never more than any match of it holds."""
+    bodies = {"e": b"zzABCDEzz", "p": b"xx\x4d\x01\x5a\x90yy", "q": b"a.b|c(d", "l": b"abcdef"}
+    c = spark.createDataFrame([(k, bytearray(v)) for k, v in bodies.items()], "target string, body binary")
+    hits = {
+        r"\x41BCDE": "e", r"\0101BCDE": "e", r"\u0041BCDE": "e", "ABCDE": "e", r"A\QBCD\EE": "e", r"[[A-C]x]BCDE": "e",
+        r"z\x41B[\x43]DE": "e", r"\Qa.b|c(d\E": "q", "ab*?cdef": "l", "abx*+cdef": "l", "abc{1,2}?def": "l",
+        "(?i)ABCDEF": "l", r"ab\wdef": "l",
+    }
+    rows = [(k, "regex", k) for k in hits]
+    masks = {"4D ?? 5A": "p", "4d??5a90": "p", "4? 0? 5A 9?": "p", "?D 01 ?A": "p", "4D 5A 90": None, "?? ?? ?? ?? 7A": "e",
+             "4D 01 5B": None, "41 42 43 44 ?6": None}
+    rows += [(k, "hex", k) for k in masks]
+    rows += [("short", "literal", "zz"), ("one", "literal", "|"), ("none", "literal", "zy")]
+    s = spark.createDataFrame(rows, "rule string, kind string, pattern string")
+    t = c.select("target")
+    got = {}
+    for r in content.identify(t, c, s).collect():
+        for rule in r.rules or []:
+            got.setdefault(rule, set()).add(r.target)
+    want = {k: {v} for k, v in (hits | masks).items() if v} | {"short": {"e"}, "one": {"q"}}
+    want["(?i)ABCDEF"] = {"l"}
+    assert {k: v for k, v in got.items()} == want
+    bad = spark.createDataFrame([("odd", "hex", "4D 5")], s.schema)
+    with pytest.raises(Exception, match="odd"):
+        content.identify(t, c, bad).collect()
+
+
+def test_signatures_of_one_magic_number(spark):
+    """A thousand signatures begin alike; a body meets those whose rarest bytes it holds only."""
+    head = b"MZ\x90\x00"
+    bodies = [(str(k), bytearray(b"xx" + head + b"%06d" % k + b"tail")) for k in range(40)]
+    c = spark.createDataFrame(bodies, "target string, body binary")
+    rows = [(f"s{k}", "hex", (head + b"%06d" % k).hex()) for k in range(1000)]
+    s = spark.createDataFrame(rows, "rule string, kind string, pattern string")
+    out = content.identify(c.select("target"), c, s).collect()
+    assert {r.target: r.rules for r in out} == {str(k): [f"s{k}"] for k in range(40)}
+
+
+def test_lockout_of_one_busy_address_in_small_chunks(spark):
+    rng = random.Random(12)
+    rows, ts = [], 0
+    for k in range(500):
+        ts += rng.choice([0, 0, 1, 20, 100, 400, 1000])
+        rows.append(("a" if rng.random() < 0.8 else "b", ts, k, rng.random() < 0.15))
+    d = spark.createDataFrame(rows, "address string, ts long, ord long, ok boolean")
+    got = alerts.lockout(d, 16).select("address", "ts", "ord", "locked_for", "locks")
+    assert sorted(tuple(x) for x in got.collect()) == brute_lockout(rows)
+
+
 def test_retention_ceiling(spark):
     rows = [(i, i // 4) for i in range(40)]
     d = spark.createDataFrame(rows, "id long, received long")
