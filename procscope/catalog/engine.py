@@ -556,6 +556,43 @@ def j01(i: Inputs):
     return rules.match_signals(i.cap, MATCH_RULES).select("host", "seq", "id", "score")
 
 
+def _many_rules(n: int = 5000) -> list[rules.Rule]:
+    """Rules as a large deployment has them: most name a program or file that is never seen."""
+    out = []
+    for k in range(n):
+        j = k // 5
+        match = (
+            {"event": "exec", "filename_equals": f"/usr/bin/{'sudo' if j % 100 == 0 else f'tool{j}'}"},
+            {"event": "exec", "filename_prefix": f"/usr/s{'bin/ng' if j % 90 == 1 else f'hare/{j}/'}"},
+            {"event": "file_open", "filename_contains": "shadow" if j % 80 == 2 else f"/vault-{j}/",
+             "in_container": j % 2 == 0},
+            {"event": "cred_change", "uid": j, "to_root": True},
+            {"event": "exec", "comm_equals": "bash" if j % 70 == 3 else f"agent{j}"},
+        )[k % 5]
+        out.append(rules.parse_rule({"name": f"rule-{k}", "score": k % 90 + 1, "match": match}))
+    return out
+
+
+@query(
+    "j01b_many_rules",
+    sql(
+        """SELECT host, seq, id, score::BIGINT AS score FROM (
+SELECT c.host, c.seq, 'rule-' || r.k AS id, r.k % 90 + 1 AS score
+FROM (SELECT range AS k, range // 5 AS j FROM range(5000)) r JOIN cap c ON
+  (r.k % 5 = 0 AND c.type = 1 AND c.filename = '/usr/bin/' || CASE WHEN j % 100 = 0 THEN 'sudo' ELSE 'tool' || j END)
+  OR (r.k % 5 = 1 AND c.type = 1
+    AND starts_with(c.filename, '/usr/s' || CASE WHEN j % 90 = 1 THEN 'bin/ng' ELSE 'hare/' || j || '/' END))
+  OR (r.k % 5 = 2 AND c.type = 5 AND (j % 2 = 0) = (c.container <> '')
+    AND contains(c.filename, CASE WHEN j % 80 = 2 THEN 'shadow' ELSE '/vault-' || j || '/' END))
+  OR (r.k % 5 = 3 AND c.type = 4 AND c.uid = j AND c.old_euid <> 0 AND c.euid = 0)
+  OR (r.k % 5 = 4 AND c.type = 1 AND c.comm = CASE WHEN j % 70 = 3 THEN 'bash' ELSE 'agent' || j END))"""
+    ),
+)
+def j01b(i: Inputs):
+    """Five thousand rules; an event meets those under its own values."""
+    return rules.match_signals(i.cap, _many_rules()).select("host", "seq", "id", "score")
+
+
 # With steps that exclude each other a second step completes exactly when the step event before it in
 # the scope is a first step in time.
 SCOPED = """
@@ -623,20 +660,29 @@ def j02c(i: Inputs):
     return _completions(i, "overlap")
 
 
+_RULE_TEXT = (
+    """concat('{"name": "r', conv_id, '"', if(turn % 7 = 0, '', ', "score": 5'), CASE conv_id % 5 WHEN 0 THEN ''"""
+    """ WHEN 1 THEN ', "within": "30s"' WHEN 2 THEN ', "within": "2m"' WHEN 3 THEN ', "within": "500ms"'"""
+    """ ELSE ', "within": "soon"' END, if(turn % 3 = 0, ', "match": {"event": "exec", "uid": 0}', ''),"""
+    """ if(turn % 2 = 0, concat(', "sequence": [{"event": "', if(role = 'user', 'exec', role), '"}]'), ''),"""
+    """ if(conv_id % 11 = 0, ', "colour": 1', ''), '}')"""
+)
+
+
 @query(
     "j03_rule_check",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 30000000000 WHEN 1 THEN 500000000 WHEN 2 THEN"
-    " 120000000000 END AS within_ns FROM documents",
+    """SELECT conv_id, turn, CASE WHEN turn % 7 = 0 THEN 'needs a `name` and a `score`'
+  WHEN conv_id % 11 = 0 THEN 'unknown field ''colour'''
+  WHEN turn % 3 <> 0 AND turn % 2 <> 0 THEN 'needs a `match` or a `sequence`'
+  WHEN turn % 3 = 0 AND turn % 2 = 0 THEN 'has both `match` and `sequence` (pick one)'
+  WHEN conv_id % 5 = 4 THEN 'bad duration ''soon'''
+  WHEN turn % 2 = 0 AND role <> 'user' THEN 'unknown event type ''' || role || '''' END AS error
+FROM conversations""",
 )
 def j03(i: Inputs):
-    """Durations as rule files spell them; an unreadable one is null."""
-    texts = {0: "30s", 1: "500ms", 2: "2m", 3: "soon"}
-    values = {k: rules.parse_duration_ns(v) for k, v in texts.items()}
-    return i.table("documents").selectExpr(
-        "doc_id",
-        X.case("(doc_id % 4)", {k: v for k, v in values.items() if v is not None}, "NULL")
-        + " AS within_ns",
-    )
+    """Rules as rows: a rule text from every turn, most of them wrong in some way."""
+    texts = i.table("conversations").selectExpr("conv_id", "turn", f"{_RULE_TEXT} AS rule")
+    return rules.check_rules(texts).select("conv_id", "turn", "error")
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from procscope.catalog.base import EXTRA, NOW_SQL, Inputs, query
 from procscope.catalog.oracle_base import sql
 from procscope.functions import text as T
-from procscope.operators import alerts, baseline, fleet, inventory
+from procscope.operators import alerts, baseline, fleet, inventory, text_index
+from procscope.session import scratch_path
 
 
 def _e(text: str):
@@ -76,6 +77,27 @@ def c10(i: Inputs):
     return fleet.search(i.stored, " Critical  SETCAP ").select("id", "host")
 
 
+@query(
+    "c10b_indexed_search",
+    sql(
+        "SELECT 1 AS q, id, host FROM sub s WHERE severity = 'CRITICAL' AND EXISTS (SELECT 1 FROM pairs p"
+        " WHERE p.id = s.id AND p.signal = 'setcap') UNION ALL SELECT 2, id, host FROM sub s WHERE EXISTS"
+        " (SELECT 1 FROM pairs p WHERE p.id = s.id AND p.signal = 'suid_create')"
+        " UNION ALL SELECT 3, id, host FROM sub WHERE host = 'host-3'",
+        STORED,
+    ),
+)
+def c10b(i: Inputs):
+    """Posting lists that grow with three batches of arrivals."""
+    index = text_index.SearchIndex(i.spark, scratch_path(i.spark, "search"))
+    top = i.stored.agg(F.max("id")).first()[0] + 1
+    for k in range(3):
+        index.add(i.stored.filter(f"id * 3 DIV {top} = {k}"), k)
+    asked = (" Critical  SETCAP ", "suid_create", "host-3")
+    out = [index.search(q).selectExpr(f"{k} AS q", "id", "host") for k, q in enumerate(asked, 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- inventory -----------------------------------------------------------------------------------
 
 NOW = 20_000_000

@@ -159,6 +159,50 @@ def load_rules(directory: str) -> list[Rule]:
     return out
 
 
+_QUOTED = "concat({}, ' ', char(39), {}, char(39))".format
+
+
+def check_rules(texts: DataFrame, column: str = "rule") -> DataFrame:
+    """Add ``error`` to rows that hold a rule as JSON text: what ``parse_rule`` would refuse it for, null
+    for a valid rule. For the rule store of a fleet, where rules are rows and not files of a folder."""
+
+    def field(of: str, name: str) -> str:
+        return f"get_json_object({of}, '$.{name}')"
+
+    def unknown(keys: str, known: list) -> str:
+        return f"array_except({keys}, array({', '.join(X.quote(k) for k in known)}))"
+
+    events = ", ".join(X.quote(e) for e in RULE_EVENTS)
+    odd = unknown("json_object_keys(c)", [f.name for f in fields(Condition)])
+    event = field("c", "event")
+    condition = (
+        f"CASE WHEN {event} IS NULL THEN 'a condition needs an `event`'"
+        f" WHEN size({odd}) > 0 THEN {_QUOTED(X.quote('unknown field'), f'array_min({odd})')}"
+        f" WHEN {event} NOT IN ({events}) THEN {_QUOTED(X.quote('unknown event type'), event)} END"
+    )
+    d = texts.selectExpr(
+        "*", f"json_object_keys({column}) AS _keys", f"{field(column, 'match')} AS _match",
+        f"coalesce(from_json({field(column, 'sequence')}, 'array<string>'), array()) AS _steps",
+    )
+    extra = unknown("_keys", [f.name for f in fields(Rule)])
+    within, scope = field(column, "within"), field(column, "scope")
+    conditions = f"transform(concat(array_compact(array(_match)), _steps), c -> {condition})"
+    error = (
+        "CASE WHEN _keys IS NULL THEN 'not a rule'"
+        f" WHEN coalesce({field(column, 'name')}, '') = '' OR {field(column, 'score')} IS NULL"
+        " THEN 'needs a `name` and a `score`'"
+        f" WHEN size({extra}) > 0 THEN {_QUOTED(X.quote('unknown field'), f'array_min({extra})')}"
+        " WHEN _match IS NULL AND size(_steps) = 0 THEN 'needs a `match` or a `sequence`'"
+        " WHEN _match IS NOT NULL AND size(_steps) > 0 THEN 'has both `match` and `sequence` (pick one)'"
+        f" WHEN {within} IS NOT NULL AND NOT {within} RLIKE '^ *[0-9]+ *(ms|s|m) *$'"
+        f" THEN {_QUOTED(X.quote('bad duration'), within)}"
+        f" WHEN coalesce({scope}, 'same_process') NOT IN ('same_process', 'same_lineage')"
+        f" THEN {_QUOTED(X.quote('unknown scope'), scope)}"
+        f" ELSE get(array_compact({conditions}), 0) END"
+    )
+    return d.selectExpr(*texts.columns, f"{error} AS error")
+
+
 def listing(spark, rules: list[Rule]) -> DataFrame:
     """What is loaded: one row per rule."""
     rows = [
@@ -195,10 +239,13 @@ def _signal_rows(d: DataFrame, index: int, r: Rule) -> DataFrame:
 
 
 def match_signals(capture: DataFrame, rules: list[Rule]) -> DataFrame | None:
-    """All match rules in one pass over the capture."""
+    """All match rules in one pass over the capture: in one projection, or looked up if they are many
+    (``looked_up_signals``), so that a plan never grows with the rules."""
     numbered = [(i, r) for i, r in enumerate(rules) if r.match is not None]
     if not numbered:
         return None
+    if len(numbered) > IN_PLAN:
+        return looked_up_signals(capture, rules)
     structs = []
     for i, r in numbered:
         attack = ", ".join(X.quote(a) for a in r.attack)
@@ -222,6 +269,108 @@ def match_signals(capture: DataFrame, rules: list[Rule]) -> DataFrame | None:
     )
 
 
+# --- many match rules ----------------------------------------------------------------------------
+
+IN_PLAN = 32  # match rules that one projection evaluates; more are looked up
+RULE_COLUMNS = (
+    "place int, id string, score long, attack array<string>, detail string, type int, how string,"
+    " part string, filename_equals string, filename_prefix string, filename_contains string,"
+    " comm_equals string, uid long, euid long, to_root boolean, gained_suid boolean,"
+    " exec_source string, in_container boolean"
+)
+
+
+def _rule_key(c: Condition) -> tuple[str, str]:
+    """How an event finds the rule: by the most telling value that the rule fixes."""
+    if c.filename_equals is not None:
+        return "filename", c.filename_equals
+    if c.comm_equals is not None:
+        return "comm", c.comm_equals
+    if c.filename_prefix:
+        return f"prefix {len(c.filename_prefix)}", c.filename_prefix
+    if c.filename_contains is not None and len(c.filename_contains) >= 3:
+        return "gram", c.filename_contains[:3]
+    for name in ("uid", "euid"):
+        if getattr(c, name) is not None:
+            return name, str(int(getattr(c, name)))
+    return "any", ""
+
+
+def rule_table(spark, rules: list[Rule]) -> DataFrame:
+    """RULE_COLUMNS of the match rules; a rule's place in the list is its number."""
+    rows = []
+    for i, r in enumerate(rules):
+        if (c := r.match) is None:
+            continue
+        how, part = _rule_key(c)
+        rows.append(
+            (i, r.signal_id, int(r.score), list(r.attack), r.detail, RULE_EVENTS[c.event], how, part,
+             c.filename_equals, c.filename_prefix, c.filename_contains, c.comm_equals,
+             None if c.uid is None else int(c.uid), None if c.euid is None else int(c.euid),
+             c.to_root, c.gained_suid, c.exec_source, c.in_container)
+        )
+    return spark.createDataFrame(rows, RULE_COLUMNS)
+
+
+def _lookups(ways: list[str]) -> str:
+    """SQL array of the (how, part) by which an event may find rules: one for each way that rules use."""
+    out = []
+    for way in ways:
+        value = {
+            "filename": "filename", "comm": "comm", "uid": "CAST(uid AS STRING)",
+            "euid": "CAST(euid AS STRING)", "any": "''",
+        }.get(way)
+        if way.startswith("prefix "):
+            value = f"left(filename, {int(way.split()[1])})"
+        if way == "gram":
+            grams = "transform(sequence(1, length(filename) - 2), i -> substring(filename, i, 3))"
+            out.append(
+                f"if(length(filename) < 3, array(), transform(array_distinct({grams}),"
+                " g -> struct('gram' AS how, g AS part)))"
+            )
+        else:
+            out.append(f"array(struct({X.quote(way)} AS how, {value} AS part))")
+    return f"flatten(array({', '.join(out)}))"
+
+
+def looked_up_signals(capture: DataFrame, rules: list[Rule]) -> DataFrame:
+    """As ``match_signals`` for any number of rules, with a plan that does not grow with them: rules are
+    rows under an event type and an exact value, a prefix or a few letters, events look up those under
+    their own values, and only what is found is tested."""
+    table = rule_table(capture.sparkSession, rules)
+    kinds: dict[int, set[str]] = {}
+    for r in rules:
+        if r.match is not None:
+            kinds.setdefault(RULE_EVENTS[r.match.event], set()).add(_rule_key(r.match)[0])
+    arms = " ".join(
+        f"WHEN {type_} THEN {_lookups(sorted(ways))}" for type_, ways in sorted(kinds.items())
+    )
+    types = ", ".join(str(t) for t in sorted(kinds))
+    events = capture.filter(f"type IN ({types})").selectExpr(
+        "host", "seq", "ts_ns", "tgid AS pid", "start_boottime AS start", "type",
+        "struct(filename, comm, uid, euid, old_euid, container,"
+        f" {X.gained_bits()} AS gained, {X.exec_source()} AS source) AS e",
+        f"explode(CASE type {arms} END) AS k",
+    ).selectExpr("*", "k.how AS how", "k.part AS part").drop("k")
+    found = events.join(table, ["type", "how", "part"])
+    tests = [
+        "filename_equals IS NULL OR e.filename = filename_equals",
+        "filename_prefix IS NULL OR startswith(e.filename, filename_prefix)",
+        "filename_contains IS NULL OR contains(e.filename, filename_contains)",
+        "comm_equals IS NULL OR e.comm = comm_equals",
+        "uid IS NULL OR e.uid = uid",
+        "euid IS NULL OR e.euid = euid",
+        "NOT coalesce(to_root, false) OR (e.old_euid <> 0 AND e.euid = 0)",
+        "NOT coalesce(gained_suid, false) OR e.gained <> 'none'",
+        "exec_source IS NULL OR e.source = exec_source",
+        "in_container IS NULL OR in_container = (e.container <> '')",
+    ]
+    return found.filter(" AND ".join(f"({t})" for t in tests)).selectExpr(
+        "host", "seq", f"{RULE_ORD} + place AS ord", "id", "score", "attack", "detail", "ts_ns", "pid",
+        "start", "CAST(NULL AS STRING) AS target",
+    )
+
+
 def steps_of(capture: DataFrame, r: Rule, reach: DataFrame | None) -> DataFrame:
     """Rows matching any step of a sequence, with the matched steps as a bit mask and the scope they
     count in: the process itself, or the oldest known node of its lineage at that moment."""

@@ -19,6 +19,7 @@ from procscope.functions import events as X
 from procscope.operators import alerts as A
 from procscope.operators import detect, filters, fleet, graph, score
 from procscope.operators.scan import numbered
+from procscope.operators.text_index import SearchIndex
 from procscope.plans.replay import Prior, replay
 from procscope.session import materialize
 from procscope.sources import capture as src
@@ -250,11 +251,12 @@ def evict(nodes: DataFrame, limit: int) -> DataFrame:
 class FleetIngest:
     """Mixed incident/heartbeat lines into the fleet tables.
 
-    ``lines``: streaming (host, kernel, ip, received, value).
+    ``lines``: streaming (host, kernel, ip, received, value). With ``index`` every batch of incidents
+    is also added to that search index.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, index: SearchIndex | None = None):
+        self.spark, self.folder, self.index = spark, folder, index
         self.out = Versions(spark, folder)
 
     def batch(self, lines: DataFrame, n: int) -> None:
@@ -270,6 +272,8 @@ class FleetIngest:
         last = self.out.read("last_id", n - 1)
         before = 0 if last is None else last.first().id  # one row
         inc = self.out.write("incidents", n, inc.withColumn("id", F.col("id") + before))
+        if self.index is not None:
+            self.index.add(inc, n)
         top = inc.agg(F.expr(f"coalesce(max(id), {before}L) AS id"))
         self.out.write("last_id", n, top)
         prev = self.out.read("hosts", n - 1)
@@ -289,6 +293,8 @@ class FleetIngest:
         first = rows.groupBy("host").agg(F.expr("min(first_seen) AS f"))
         state = state.join(first, "host").withColumn("first_seen", F.col("f")).drop("f")
         self.out.write("hosts", n, state)
+        for name in ("hosts", "last_id"):  # batch n may run again and reads n - 1
+            self.out.drop(name, n - 2)
 
     def start(self, lines: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -349,6 +355,7 @@ class AlertStream:
         newest = sent.groupBy("sink").agg(F.expr("max(opened) AS w"))
         still = sent.join(newest, "sink").filter("opened = w").drop("w", "delivered")
         self.out.write("open", n, still)
+        self.out.drop("open", n - 2)
 
     def start(self, incidents: DataFrame, **trigger) -> StreamingQuery:
         return (
