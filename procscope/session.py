@@ -68,4 +68,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for ``tables``, once nothing reads them any more: every plan
+    over them has been written or collected."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            p.getFileSystem(conf).delete(p, True)
