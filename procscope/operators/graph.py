@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procscope import schema as S
 from procscope.operators.scan import BEFORE, END, UPTO, chunk_of, collapse_runs, over
-from procscope.session import materialize, materialize_counted
+from procscope.session import materialize, materialize_counted, release
 
 CYCLE_CHECK = 8  # lineages this deep are rare, so cycles are looked for only then
 SNAPSHOT_TOLERANCE_NS = 20_000_000
@@ -168,6 +168,7 @@ def closure(edge_iv: DataFrame, seeds: DataFrame, max_nodes: int | None = None)
     round would double it.
     """
     jump = materialize(edge_iv, "jump")
+    read = [jump]
     reach = seeds.selectExpr(
         *S.KEY, "pid AS apid", "start AS astart", "0 AS depth", "-1L AS vf", f"{END}L AS vt"
     )
@@ -190,17 +191,21 @@ def closure(edge_iv: DataFrame, seeds: DataFrame, max_nodes: int | None = None)
         step *= 2
         if step >= CYCLE_CHECK:
             reach = materialize(without_returns(reach), "reach")
+            read.append(reach)
             if reach.filter(f"depth >= {step // 2}").isEmpty():
                 break
         jump, rows = materialize_counted(
             jump.join(j, ["apid", "astart", "host"]).selectExpr(*hop).filter("vf < vt"), "jump"
         )
+        read.append(jump)
         if rows == 0:
             break
     reach = without_returns(reach)
     if max_nodes is not None:
         reach = reach.filter(f"depth < {max_nodes}")
-    return materialize(reach, "closure")
+    out = materialize(reach, "closure")
+    release(*read)
+    return out
 
 
 def without_returns(reach: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procscope.session import materialize
+from procscope.session import materialize, release
 
 CHUNK = 1 << 18
 END = (1 << 62) - 1
@@ -183,9 +183,12 @@ def reachable(roots: DataFrame, jump: DataFrame, keys: list[str], at: str, label
     jump = materialize(jump.select(*keys, at, "nxt"), label)
     while not jump.isEmpty():
         more = found.join(jump, [*keys, at]).selectExpr(*keys, f"nxt AS {at}")
-        found = materialize(found.unionByName(more).distinct(), label)
+        wider = materialize(found.unionByName(more).distinct(), label)
         far = jump.selectExpr(*keys, f"{at} AS nxt", "nxt AS far")
-        jump = materialize(
+        further = materialize(
             jump.join(far, [*keys, "nxt"]).selectExpr(*keys, at, "far AS nxt"), label
         )
+        release(found, jump)
+        found, jump = wider, further
+    release(jump)
     return found

@@ -89,8 +89,10 @@ def replay(
     sig = materialize(score.with_bucket(sig, bool(ruleset)), "signals")
     if ruleset:
         # A lineage-scoped rule can file its signal under a process that never acted itself.
+        own = seeds.selectExpr("*", "1 AS own")
         more = sig.selectExpr("host", "bpid AS pid", "bstart AS start").distinct()
-        reach = graph.closure(graph.edge_intervals(edge_rows, chunk), more)
+        more = more.join(own, ["host", "pid", "start"], "left_anti")
+        reach = reach.unionByName(graph.closure(graph.edge_intervals(edge_rows, chunk), more))
     imp = materialize(score.improving(sig, prior.improving), "improving")
     cand = score.candidates(sig, imp, reach, states, how, prior.improving is not None)
     scored, on_file = score.score_candidates(cand, imp, reach, states, baseline, how)

@@ -21,7 +21,7 @@ from procscope.operators import detect, filters, fleet, graph, score
 from procscope.operators.scan import numbered
 from procscope.operators.text_index import SearchIndex
 from procscope.plans.replay import Prior, replay
-from procscope.session import materialize
+from procscope.session import materialize, release
 from procscope.sources import capture as src
 
 STATE_TABLES = ("states", "edges", "improving", "reported", "exits", "mark", "named", "in_flight")
@@ -118,7 +118,7 @@ class LiveDetection:
 
     def batch(self, events: DataFrame, n: int) -> None:
         prev = {t: self.state.read(t, n - 1) for t in STATE_TABLES}
-        events = materialize(events, "batch")
+        arrived = events = materialize(events, "batch")
         if prev["mark"] is not None:
             m = prev["mark"].selectExpr("host", "seq AS done")
             d = events.join(m, "host", "left")
@@ -180,13 +180,14 @@ class LiveDetection:
         if r.in_flight is not None:
             tables["in_flight"] = r.in_flight
         if self.retain_ns is not None:
-            gone = materialize(expired(exits, mark, self.retain_ns), "expired")
+            gone = expired(exits, mark, self.retain_ns)
             tables = {t: without(df, gone, t) for t, df in tables.items()}
         for t, df in tables.items():
             self.state.write(t, n, df)
         # Batch n may run again and reads n - 1; what lies before is read by none.
         for t in STATE_TABLES:
             self.state.drop(t, n - 2)
+        release(arrived, events, r.reach, r.signals, r.improving)
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
         """Run on a streaming DataFrame of capture rows."""
