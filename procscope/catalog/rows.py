@@ -49,10 +49,7 @@ def a1(i: Inputs):
     lines.repartitionByRange("host", "seq").sortWithinPartitions("host", "seq").select(
         "host", "value"
     ).write.partitionBy("host").text(path)
-    good = bad = None
-    for (host,) in lines.select("host").distinct().collect():  # a capture is one host's
-        g, b = src.read_capture(i.spark, f"{path}/host={host}", host)
-        good, bad = (g, b) if good is None else (good.unionByName(g), bad.unionByName(b))
+    good, bad = src.read_captures(i.spark, path)
     g = good.selectExpr("host", "ts_ns DIV 1000000000 AS s").groupBy("host").agg(
         _e("count(1) AS events"), _e("CAST(sum(s) AS BIGINT) AS secs")
     )

@@ -65,6 +65,20 @@ def read_capture(spark: SparkSession, path: str, host: str) -> tuple[DataFrame,
     return parse_lines(lines.select("host", "seq", "value"))
 
 
+def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The captures of many hosts in one plan: NDJSON files in folders ``host=<name>``.
+
+    A host's files follow each other by name; its lines are numbered through all of them, in parallel, as
+    in ``read_capture``. Returns (events, malformed lines) with ``host`` and ``seq``.
+    """
+    raw = spark.read.schema("value string, host string").text(path).selectExpr(
+        "host", "value", "_metadata.file_path AS file",
+        "_metadata.file_block_start * 64 + (monotonically_increasing_id() & 8589934591L) AS place",
+    )
+    lines = numbered(raw, ["host"], ["file", "place"], "struct(file, place DIV 8589934592 AS part)", "seq")
+    return parse_lines(lines.select("host", "seq", "value"))
+
+
 def to_lines(capture: DataFrame) -> DataFrame:
     """One JSON object per event, zero and empty fields left out, command lines redacted."""
     parts = []

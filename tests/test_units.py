@@ -390,3 +390,27 @@ def test_capture_round_trip_through_files(spark, tmp_path):
     cols = [c for c in d.columns if c != "seq"]
     assert bad.count() == 0
     assert back.select(*cols).exceptAll(d.select(*cols)).count() == 0
+
+
+def test_captures_of_many_hosts_in_one_plan(spark, tmp_path):
+    """Two hundred folders, some with several files, one with names that sort by text; no host is split up."""
+    want = {}
+    for h in range(200):
+        d = tmp_path / f"host=h%2F{h}"
+        d.mkdir()
+        n = 0
+        for part in range(1 + h % 3):
+            rows = []
+            for k in range(1 + (h + part) % 5):
+                n += 1
+                rows.append(f'{{"ts_ns":{n},"type":2,"tgid":1,"ppid":0,"start_boottime":{h}}}')
+            (d / f"part-{part}.ndjson").write_text("\n".join([*rows, "", "broken"]) + "\n")
+        want[f"h/{h}"] = (n, 1 + h % 3)
+    events, bad = src.read_captures(spark, str(tmp_path))
+    got = {}
+    for r in events.orderBy("host", "seq").collect():
+        got.setdefault(r.host, []).append(r.ts_ns)
+    assert {h: (v == list(range(1, len(v) + 1)), len(v)) for h, v in got.items()} == {
+        h: (True, n) for h, (n, _) in want.items()
+    }
+    assert {r.host: r["count"] for r in bad.groupBy("host").count().collect()} == {h: b for h, (_, b) in want.items()}
