@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from procscope.llm.components import components
 from procscope.llm.words import Words, lower_ascii, mix, ngrams, slices
-from procscope.session import materialize
+from procscope.session import materialize, release
 
 FREQUENT = 48  # lists beyond this are frequent
 SKETCH = "doc_id long, key long, set long, n int, sketch binary"
@@ -147,10 +147,12 @@ def _ends(rows: DataFrame) -> DataFrame:
     return rows.select(*ROW).mapInArrow(run, "set long, rest int, stop long, near boolean")
 
 
-def _round(rows: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
+def _round(
+    rows: DataFrame, percent: int, label: str
+) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """(candidate pairs a, b of ``set``; ``rows`` with the number of frequent tokens in their
-    prefix). Pairs of which both are near are left out: they are linked through the closest one of
-    their group."""
+    prefix; these tokens (token, set); tables to release once the others are written). Pairs of which
+    both are near are left out: they are linked through the closest one of their group."""
     entries = _prefixes(rows)  # made again for each use: smaller to compute than to keep
     sizes = entries.groupBy("token").count().where("count > 1")
     sizes = materialize(sizes, f"{label}-sizes")
@@ -168,7 +170,8 @@ def _round(rows: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFr
         F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("shared")
     )
     many = sizes.where(f"count > {FREQUENT}").select("token")
-    hot = entries.join(many, "token").groupBy("set").agg(F.count("*").alias("hot"))
+    frequent = materialize(entries.join(many, "token").select("token", "set"), f"{label}-frequent")
+    hot = frequent.groupBy("set").agg(F.count("*").alias("hot"))
     settled = rows.join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     # What the ends of the prefixes rule out: the one that ends first has only its rest left.
     ends = _ends(rows).join(hot, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
@@ -181,7 +184,7 @@ def _round(rows: DataFrame, percent: int, label: str) -> tuple[DataFrame, DataFr
     need = f"{100 + percent}L * n - {100 - percent}L * w"  # 2 (100 + percent) times the overlap
     enough = f"{2 * (100 + percent)}L * ({most}) >= {need}"
     pairs = pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
-    return pairs, settled
+    return pairs, settled, frequent, [sizes, frequent]
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -259,12 +262,15 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long, j double")
 
 
-def _onward(settled: DataFrame, percent: int, by: tuple[str, ...] = ()) -> DataFrame:
+def _onward(
+    settled: DataFrame, percent: int, frequent: DataFrame, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows of a round that may lack a partner yet, with ROW and ``by`` and the ``m`` of the next round.
 
     An unsettled row asks for what the share of frequent tokens in its prefix needs. A settled row is
-    done with all settled ones, but it goes on where an unsettled one of alike size (and alike ``by``)
-    asked for no more matches than the row has frequent tokens; it then takes the greatest ``m`` of
+    done with all settled ones, and a partner that it lacks shares nothing but frequent tokens with it.
+    So it goes on where an unsettled one of alike size (and alike ``by``) holds one of its frequent
+    tokens and asked for no more matches than the row has of them; it then takes the greatest ``m`` of
     those, so that theirs decides."""
     share = "least(hot / (n - o + m), 0.98)"
     ask = f"CAST(ceil(({share} * (n - o) + 1) / (1 - {share})) AS INT) + 2"
@@ -272,13 +278,21 @@ def _onward(settled: DataFrame, percent: int, by: tuple[str, ...] = ()) -> DataF
     step = math.log(max(100 / percent, 1.1)) + 1e-6  # linked sets are at most one level apart
     rows = settled.withColumn("level", F.expr(f"CAST(floor(ln(w) / {step!r}D) AS INT)"))
     rows = rows.withColumn("more", F.expr(more))
+    held = frequent.join(rows.select("set", *by, "level", "m", "hot", "more"), "set")
+    levels = F.explode(F.expr("array(level - 1, level, level + 1)")).alias("level")
     asked = (
-        rows.where("hot >= m")
-        .select(*by, F.explode(F.expr("array(level - 1, level, level + 1)")).alias("level"), "m", "more")
-        .groupBy(*by, "level")
+        held.where("hot >= m")
+        .select(*by, "token", levels, "m", "more")
+        .groupBy(*by, "token", "level")
         .agg(F.min("m").alias("lowest"), F.max("more").alias("highest"))
     )
-    on = rows.join(asked, [*by, "level"]).where("hot >= lowest")
+    takes = (
+        held.where("hot < m").drop("more", "m")
+        .join(asked, [*by, "token", "level"])
+        .where("hot >= lowest")
+        .groupBy("set").agg(F.max("highest").alias("highest"))
+    )
+    on = rows.join(takes, "set", "left").where("hot >= m OR highest IS NOT NULL")
     return on.selectExpr(
         "set", "w", "n", "o",
         "if(hot >= m, more, least(greatest(highest, m), greatest(o, 1))) AS m",
@@ -299,7 +313,7 @@ def similar(
     shingle; null and empty texts have no set and no links. Rows without an id have a set but no
     links. Other columns are ignored.
     """
-    members, classes, links, near = _similar(docs, size, percent, True)
+    members, classes, links, near = _similar(docs, size, percent, "links")
     for part in near:
         part = part.selectExpr("set AS a", "inline(arrays_zip(partners, shares))")
         links = links.unionByName(part.selectExpr("a", "partners AS b", "shares AS j").where("a < b"))
@@ -308,11 +322,11 @@ def similar(
 
 
 def _similar(
-    docs: DataFrame, size: int, percent: int, every: bool
+    docs: DataFrame, size: int, percent: int, every: str | None
 ) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """As ``similar``, with the links among near sets of large families apart (``_near_partners``), and
-    only with ``every``: each of those sets is linked to the closest of its group in any case, so the
-    components need no more."""
+    """As ``similar``, with the links among near sets of large families apart (``_near_partners``): none
+    if ``every`` is None, as each of those sets is linked to the closest of its group in any case and the
+    components need no more; "counts" or "links" otherwise."""
     rows = _sketches(docs, size, percent)
     members = materialize(rows.drop("sketch"), "members")
     classes = (
@@ -321,21 +335,24 @@ def _similar(
         .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
     classes = materialize(classes, "classes")
-    pairs, settled = _round(_plain(classes, percent), percent, "one")
+    pairs, settled, frequent, used = _round(_plain(classes, percent), percent, "one")
     found = [materialize(pairs, "one-pairs")]
-    rest = materialize(_onward(settled, percent), "unsettled")
+    rest = materialize(_onward(settled, percent, frequent), "unsettled")
+    release(*used)
     # A second round within the sketches; whoever asks for more takes what the sketch has.
     second = rest.withColumn("m", F.expr("least(m, length(sketch) DIV 8 - (n - o))"))
-    pairs, settled = _round(second, percent, "two")
+    pairs, settled, frequent, used = _round(second, percent, "two")
     found.append(materialize(pairs, "two-pairs"))
-    rest = materialize(_onward(settled, percent).drop("sketch"), "unsettled")
+    third = materialize(_onward(settled, percent, frequent).drop("sketch"), "unsettled")
+    release(rest, *used)
     # The last round on whole sets, of those documents only.
-    whole = _sketches_of(docs, classes, rest, size).select("set", "sketch").join(rest, "set")
+    whole = _sketches_of(docs, classes, third, size).select("set", "sketch").join(third, "set")
     whole = materialize(whole.select(*ROW), "whole-sets")
-    pairs, settled = _round(whole, percent, "three")
+    pairs, settled, frequent, used = _round(whole, percent, "three")
     found.append(materialize(pairs, "three-pairs"))
-    dense = _onward(settled, percent).withColumn("m", F.lit(1))
+    dense = _onward(settled, percent, frequent).withColumn("m", F.lit(1))
     dense = materialize(dense.select(*ROW), "dense")
+    release(third, whole, *used)
     family, near = _family_pairs(dense, percent, every)
     found += family
     all_pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
@@ -346,6 +363,7 @@ def _similar(
     )
     texts = materialize(_texts(docs, classes, wanted, size), "texts")
     links = materialize(_links(all_pairs, texts, size, percent), "links")
+    release(all_pairs, texts, dense, *found)
     return members, classes.select("set", "n", "first"), links, near
 
 
@@ -440,47 +458,60 @@ BLOCK = 128  # near members of a group that are compared at once
 
 
 def _family_pairs(
-    dense: DataFrame, percent: int, every: bool
+    dense: DataFrame, percent: int, every: str | None
 ) -> tuple[list[DataFrame], list[DataFrame]]:
     """Candidate pairs (a, b) among ``dense`` sets (as ROW, with whole sets), round by round: with
     the closest of each group, and by the differences from what the group has in common. With
     ``every``, the links among the near sets of each group too, as ``_near_partners``."""
     sets = dense.select("set", "sketch")
-    rows, found, near = dense.withColumn("own", F.col("set")), [], []
-    for _ in range(FAMILY_ROUNDS):
+    rows, found, near, places = dense.withColumn("own", F.col("set")), [], [], None
+    for turn in range(FAMILY_ROUNDS):
         if rows.isEmpty():
-            return found, near
+            break
         own = rows.select("set", "own")
         entries = materialize(_prefixes(rows).join(own, "set"), "family-prefixes")
         first = entries.where("NOT near").groupBy("token").agg(F.min("own").alias("holder"))
         pairs = entries.join(first, "token").select("own", "holder").distinct()
         pairs = materialize(pairs, "family-holders")
-        rows = materialize(_differences(pairs, sets, percent), "differences")
+        before, rows = rows, materialize(_differences(pairs, sets, percent), "differences")
+        release(entries, pairs, *([before] if turn else []))
         of = rows.select("set", "own", "holder")
         linked = rows.where("near AND own <> closest").selectExpr(
             "least(own, closest) AS a", "greatest(own, closest) AS b"
         )
-        found.append(linked)
+        found.append(materialize(linked, "family-linked"))
         if every:
-            near.append(materialize(_near_partners(rows, percent), "near-partners"))
+            # The groups of this round that each set is near in, after those of earlier rounds.
+            here = rows.where("near").selectExpr("own", f"struct({turn} AS turn, holder) AS place")
+            places = here if places is None else places.unionByName(here)
+            places = materialize(places, "near-places")
+            near.append(materialize(_near_partners(rows, places, turn, percent, every), "near-partners"))
         plain = rows.where("n > 0").drop("own", "holder", "closest")
-        one, settled = _round(plain, percent, "family")
+        one, settled, frequent, used = _round(plain, percent, "family")
         one = materialize(one, "family-pairs")
         place = of.select("set", "holder")
-        rest = _onward(settled.join(place, "set"), percent, ("holder",)).select(*ROW)
+        rest = _onward(settled.join(place, "set"), percent, frequent, ("holder",)).select(*ROW)
         rest = materialize(rest, "family-unsettled")
-        two, settled = _round(rest, percent, "family")
+        release(*used)
+        two, settled, frequent, used = _round(rest, percent, "family")
         two = materialize(two, "family-pairs")
         for got in (one, two):
             a = of.selectExpr("set AS a", "own AS x")
             b = of.selectExpr("set AS b", "own AS y")
             named = got.join(a, "a").join(b, "b")
-            found.append(named.selectExpr("least(x, y) AS a", "greatest(x, y) AS b"))
-        left = _onward(settled.join(place, "set"), percent, ("holder",)).withColumn("m", F.lit(1))
+            named = named.selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct()
+            found.append(materialize(named, "family-named"))
+        left = _onward(settled.join(place, "set"), percent, frequent, ("holder",)).withColumn("m", F.lit(1))
         left = left.join(of.select("set", "own"), "set")
         # Where every unsettled one is near, all are linked to the closest.
         far = left.where("NOT near").select("holder").distinct()
+        differences = rows
         rows = materialize(left.join(far, "holder", "left_semi").select(*ROW, "own"), "family-rest")
+        release(one, two, rest, differences, *used)
+    if every == "counts" and places is not None:
+        near.append(places.groupBy("own").agg(F.collect_set("place").alias("places")).withColumnRenamed("own", "set"))
+    if rows.isEmpty():
+        return found, near
     # What is still dense after so many holders is compared within its lists.
     entries = materialize(_prefixes(rows).join(rows.select("set", "own"), "set"), "family-prefixes")
     other = entries.selectExpr("token", "own AS other", "w AS v", "near AS close")
@@ -494,15 +525,25 @@ def _family_pairs(
     return found, near
 
 
-def _near_partners(rows: DataFrame, percent: int) -> DataFrame:
-    """(set, partners, shares) of the near members of each group (``rows`` of ``_differences``): the
-    linked ones and their similarities, both ways. Blocks of members meet, not members, and are compared
-    by their differences: two that differ from the same set differ from each other in what only one has."""
+def _near_partners(
+    rows: DataFrame, places: DataFrame, turn: int, percent: int, every: str
+) -> DataFrame:
+    """The linked ones among the near members of each group (``rows`` of ``_differences``): with "links"
+    (set, partners, shares), both ways; with "counts" (set, count): how many. ``places``: (own, place) of
+    the groups so far that a set is near in. A pair that is near in several groups counts in the first.
+
+    Blocks of members meet, not members, and are compared by their differences: two that differ from
+    the same set differ from each other in what only one has."""
     near = rows.where("near").select("holder", "own", "w", "n", "sketch")
+    near = near.join(places.groupBy("own").agg(F.collect_set("place").alias("places")), "own")
     blocks = near.groupBy("holder").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     near = near.join(blocks, "holder").withColumn("block", F.expr("pmod(xxhash64(own), blocks)"))
+    # Only earlier places can take a pair from this one.
+    near = near.withColumn(
+        "places", F.expr(f"transform(filter(places, p -> p < struct({turn} AS turn, holder)), p -> xxhash64(p))")
+    )
     packed = near.groupBy("holder", "block", "blocks").agg(
-        F.collect_list(F.struct("own", "w", "n", "sketch")).alias("l")
+        F.collect_list(F.struct("own", "w", "n", "sketch", "places")).alias("l")
     )
     packed = materialize(packed, "near-blocks")
     a = packed.selectExpr(
@@ -510,6 +551,18 @@ def _near_partners(rows: DataFrame, percent: int) -> DataFrame:
     )
     both = a.join(packed.selectExpr("holder", "block", "l AS lb"), ["holder", "block"])
 
+    def taken(x: list[dict], y: list[dict]) -> np.ndarray:
+        """Which pairs an earlier group has."""
+        every_place = sorted({p for r in x for p in r["places"]} & {p for r in y for p in r["places"]})
+        at = {p: k for k, p in enumerate(every_place)}
+        has = []
+        for side in (x, y):
+            m = np.zeros((len(side), len(at)), np.float32)
+            for i, r in enumerate(side):
+                m[i, [at[p] for p in r["places"] if p in at]] = 1
+            has.append(m)
+        return has[0] @ has[1].T > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(x: list[dict]) -> tuple[np.ndarray, ...]:
             own, w, n = (np.array([r[k] for r in x], np.int64) for k in ("own", "w", "n"))
@@ -537,6 +590,13 @@ def _near_partners(rows: DataFrame, percent: int) -> DataFrame:
                 total = w[:, None] + w2[None, :]
                 linked = 100 * (total - differ) >= percent * (total + differ)
                 linked &= own[:, None] != own2[None, :]
+                if every == "counts":
+                    linked &= ~taken(b.column("la")[i].as_py(), b.column("lb")[i].as_py())
+                    sums = [linked.sum(1)] if same else [linked.sum(1), linked.sum(0)]
+                    cols = [pa.array(np.concatenate([own] if same else [own, own2])),
+                            pa.array(np.concatenate(sums).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["set", "count"])
+                    continue
                 share = (total - differ) / (total + differ)
                 ways = [(own, own2, linked, share)]
                 if not same:
@@ -551,6 +611,8 @@ def _near_partners(rows: DataFrame, percent: int) -> DataFrame:
                     )
 
     both = both.selectExpr("x = block AS same", "la", "lb")
+    if every == "counts":
+        return both.mapInArrow(run, "set long, count long").groupBy("set").agg(F.sum("count").alias("count"))
     got = both.mapInArrow(run, "set long, partners array<long>, shares array<double>")
     return got.where("size(partners) > 0")
 
@@ -560,15 +622,19 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id reachable by links, its own included), n_links (links of its set to others),
     key (a hash of id and text).
     A row without an id has component_id null; one without words is alone. See ``similar``."""
-    members, classes, links, near = _similar(docs, size, percent, True)
-    partners = links.selectExpr("a AS set", "array(b) AS partners").unionByName(
-        links.selectExpr("b AS set", "array(a) AS partners")
-    )
-    for part in near:
-        partners = partners.unionByName(part.select("set", "partners"))
-    degree = partners.groupBy("set").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n_links")
-    )
+    members, classes, links, near = _similar(docs, size, percent, "counts")
+    counts = [part.select("set", "count") for part in near if "count" in part.columns]
+    ways = links.selectExpr("a AS set", "1L AS count").unionByName(links.selectExpr("b AS set", "1L AS count"))
+    places = [part for part in near if "places" in part.columns]
+    if places:
+        # Links of two sets that are near in one group are among its counts already.
+        at = reduce(DataFrame.unionByName, places)
+        a, b = at.selectExpr("set AS a", "places AS pa"), at.selectExpr("set AS b", "places AS pb")
+        apart = links.join(a, "a", "left").join(b, "b", "left").where(
+            "NOT coalesce(arrays_overlap(pa, pb), false)"
+        )
+        ways = apart.selectExpr("a AS set", "1L AS count").unionByName(apart.selectExpr("b AS set", "1L AS count"))
+    degree = reduce(DataFrame.unionByName, [ways, *counts]).groupBy("set").agg(F.sum("count").alias("n_links"))
     return _grouped(members, classes, links, degree)
 
 
@@ -592,7 +658,7 @@ def _grouped(
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id, then the smallest key.
     Rows without an id or without words belong to no group and all stay. Columns stay as they are."""
-    members, classes, links, _ = _similar(docs, size, percent, False)  # n_links is not needed
+    members, classes, links, _ = _similar(docs, size, percent, None)  # n_links is not needed
     degree = classes.selectExpr("set", "0L AS n_links")
     judged = _grouped(members, classes, links, degree).where("doc_id IS NOT NULL AND n_shingles > 0")
     stay = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("s"))
