@@ -28,7 +28,7 @@ from procscope.llm.words import Words, lower_ascii, slices
 from procscope.session import materialize, scratch_path
 
 LONGEST = 4  # words of a phrase
-SLICE = 1 << 22  # bytes of texts whose phrases are counted at once
+SLICE = 1 << 23  # bytes of texts whose phrases are counted at once
 MOST_BITS = 25  # a bit map has at most 2 to the power of this bits
 SHARDS = 3
 
@@ -99,10 +99,11 @@ class _Words:
         coded = flat.dictionary_encode()
         self.ids = coded.indices.to_numpy().astype(np.int64)
         self.dictionary = coded.dictionary.cast(pa.large_string())
-        cuts = np.cumsum(_CUTS[data])
-        text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-        before = cuts[w.starts] if len(w) else np.zeros(0, np.int64)
-        self.joined = (before[1:] == before[:-1]) & (text[1:] == text[:-1])
+        # Which words follow the one before them in its piece and text.
+        follows = np.ones(len(w) + 1, bool)
+        follows[np.searchsorted(w.starts, np.flatnonzero(_CUTS[data]))] = False
+        follows[w.first] = False
+        self.joined = follows[1 : len(w)]
         self.word_hash = np.array([_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)
         self.lang_hash = np.array([_hash(lang.encode())], np.uint64)
 
@@ -110,6 +111,17 @@ class _Words:
         """Hashes of phrases with one more word."""
         return ((h << np.uint64(21)) | (h >> np.uint64(43))) ^ self.word_hash[word]
 
+    def counted(self, spots: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
+        """The phrases of ``size`` words that start at ``spots`` and how often each does."""
+        v, code = len(self.dictionary), self.ids[spots]
+        for k in range(1, size):
+            if k > 1:  # ranks in place of codes: no product passes 64 bits
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * v + self.ids[spots + k]
+        _, one, count = np.unique(code, return_index=True, return_counts=True)
+        words = [self.dictionary.take(pa.array(self.ids[spots[one] + k])) for k in range(size)]
+        return pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), count
+
 
 def _phrases(lang: str, data, offsets, step: int, shards: int, bits) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(phrases, counts) of what the step looks for in some texts; first '' with the number of words."""
@@ -119,42 +131,36 @@ def _phrases(lang: str, data, offsets, step: int, shards: int, bits) -> Iterator
         return
     if step < shards:
         yield pa.array([""], pa.large_string()), np.array([m])
-    # Of each length: the phrases found, as (all but the last word, last word), their place in texts.
-    last = np.arange(v)
-    h = w.extend(np.repeat(w.lang_hash, v), last)
+    h = w.extend(np.repeat(w.lang_hash, v), np.arange(v))
     count = np.bincount(w.ids, minlength=v)
-    text = w.dictionary
-    rank = w.ids  # phrase that starts at each word, -1 for none
     wanted = np.ones(v, bool) if step < shards or bits is None else bits["counting"].has(h)
     if wanted.any():
-        yield text.filter(pa.array(wanted)), count[wanted]
+        yield w.dictionary.filter(pa.array(wanted)), count[wanted]
     if bits is None:
         return
-    joined, space = w.joined, pa.scalar(" ", pa.large_string())
+    # At every word: the hash of the phrase that starts there, whether it has reached the threshold, and
+    # whether it did so within the last cycle. Only what is wanted is looked at as words.
+    reached, recent = bits["reached"].has(h)[w.ids], bits["recent"].has(h)[w.ids]
+    h, tail = h[w.ids], w.word_hash[w.ids]
     for size in range(1, LONGEST):
-        reached, recent = bits["reached"].has(h), bits["recent"].has(h)
-        n = len(rank) - 1
-        if n <= 0 or not reached.any():
-            return
-        ok = np.append(reached, False)[rank]  # -1 finds the False
-        at = np.flatnonzero(ok[:-1] & ok[1:] & joined[:n])
+        both = reached[:-1] & reached[1:]
+        if size == 1:
+            both &= w.joined
+        at = np.flatnonzero(both)
         if not len(at):
             return
-        tail = w.ids[at + size]
-        code, one, which, count = np.unique(
-            rank[at] * v + tail, return_index=True, return_inverse=True, return_counts=True
-        )
-        first, last = code // v, code % v
-        suffix = rank[at[one] + 1]
-        text = pc.binary_join_element_wise(text.take(pa.array(first)), w.dictionary.take(pa.array(last)), space)
-        watched = recent[first] | recent[suffix]
-        h = w.extend(h[first], last)
-        wanted = watched | bits["counting"].has(h)
-        if wanted.any():
-            yield text.filter(pa.array(wanted)), count[wanted]
-        rank = np.full(n, -1)
-        rank[at] = which
-        joined = joined[:-1]
+        longer = ((h[at] << np.uint64(21)) | (h[at] >> np.uint64(43))) ^ tail[at + size]
+        wanted = recent[at] | recent[at + 1]
+        rest = np.flatnonzero(~wanted)
+        wanted[rest] = bits["counting"].has(longer[rest])
+        spots = at[wanted]
+        if len(spots):
+            yield w.counted(spots, size + 1)
+        h = np.zeros(len(both), np.uint64)
+        h[at] = longer
+        reached, recent = np.zeros(len(both), bool), np.zeros(len(both), bool)
+        reached[at] = bits["reached"].has(longer)
+        recent[at] = reached[at] & bits["recent"].has(longer)
 
 
 def _scan(shard: DataFrame, step: int, shards: int, bits) -> DataFrame:
