@@ -61,6 +61,16 @@ def _under(path: str, roots: list[str]) -> str:
     return X.any_of([f"startswith({path}, {X.quote(r + '/')})" for r in roots])
 
 
+def skipped_stores(files: DataFrame) -> DataFrame:
+    """(host, stores): image stores that hold files of a host; what is in them is not examined."""
+    arms = " ".join(
+        f"WHEN path = {X.quote(s)} OR startswith(path, {X.quote(s + '/')}) THEN {X.quote(s)}" for s in IMAGE_STORES
+    )
+    store = f"CASE {arms} WHEN contains(path, '{USER_IMAGE_STORE}') THEN {X.quote(USER_IMAGE_STORE)} END"
+    found = files.selectExpr("host", f"{store} AS store").filter("store IS NOT NULL")
+    return found.groupBy("host").agg(F.expr("array_sort(collect_set(store)) AS stores"))  # a few names
+
+
 def setuid_files(files: DataFrame) -> DataFrame:
     """Setuid/setgid files under the roots that matter, image stores excluded."""
     stores = X.any_of(
@@ -196,8 +206,9 @@ def sweep(
         return df.groupBy("host").agg(F.expr(f"{expr} AS total"))
 
     owned = manifest.groupBy("host").agg(F.expr("count(1) AS owned"))
-    with_owner = hosts.join(owned, "host", "left")
-    no_manifest = "'no package manifests to compare against'"
+    with_owner = hosts.join(owned, "host", "left").join(skipped_stores(files), "host", "left")
+    skipped = "if(stores IS NULL, '', concat('; not examined: ', array_join(stores, ', ')))"
+    no_manifest = "'nothing says which package owns what'"
     total = "coalesce(total, 0)"
     trees = module_files.select("host").distinct().withColumn("tree", F.lit(True))
     parsed = login_keys(key_lines, now)
@@ -213,35 +224,35 @@ def sweep(
     suid = _check(
         with_owner, CHECKS[0], count(setuid_files(files)), found[0],
         "suspect",
-        f"concat({total}, ' setuid/setgid files, all package-owned')",
-        f"concat({total}, ' setuid/setgid files, ', n, ' owned by no package')",
+        f"concat('privileged files: ', {total}, ', each from a package', {skipped})",
+        f"concat('privileged files: ', {total}, ', without a package: ', n, {skipped})",
         no_manifest, "owned > 0",
     )
     persistence = _check(
         with_owner, CHECKS[1], count(files.filter(_under("path", PERSISTENCE_DIRS))),
         found[1], "notice",
-        f"concat({total}, ' files across {len(PERSISTENCE_DIRS)} directories, all accounted for')",
-        f"concat({total}, ' files, ', n, ' not from a package')",
+        f"concat('start-up entries in {len(PERSISTENCE_DIRS)} folders: ', {total}, ', each explained')",
+        f"concat('start-up entries: ', {total}, ', unexplained: ', n)",
         no_manifest, "owned > 0",
     )
     running = _check(
         hosts, CHECKS[2], count(procs), found[2], "suspect",
-        "concat(total, ' processes, every executable still on disk')",
-        "concat(total, ' processes, ', n, ' running a deleted or anonymous executable')",
-        "'/proc is not readable'",
+        "concat('processes: ', total, ', each with its program in place')",
+        "concat('processes: ', total, ', with a program that is gone or has no file: ', n)",
+        "'no process list'",
     )
     modules = _check(
         hosts.join(trees, "host", "left"), CHECKS[3], count(loaded),
         found[3], "suspect",
-        "concat(total, ' loaded, every one backed by a file')",
-        "concat(total, ' loaded, ', n, ' with no file under /lib/modules')",
-        "'modules cannot be checked'", "tree AND total IS NOT NULL",
+        "concat('kernel modules: ', total, ', each with a file')",
+        "concat('kernel modules: ', total, ', without a file: ', n)",
+        "'no list of modules, or no tree to compare it with'", "tree AND total IS NOT NULL",
     )
     hatches = _check(
         hosts, CHECKS[4], count(hatch_values), found[4], "notice",
-        "concat(total, ' checked, none naming a program')",
-        "concat(total, ' checked, ', n, ' naming a program')",
-        "'no escape hatches readable on this kernel'",
+        "concat('escape hatches: ', total, ', no program set')",
+        "concat('escape hatches: ', total, ', with a program set: ', n)",
+        "'no escape hatch could be read'",
     )
     key_count = parsed.groupBy("host").agg(
         F.expr("count_if(parsed) AS n_keys"), F.expr("count_if(NOT parsed) AS n_odd")
@@ -249,9 +260,9 @@ def sweep(
     keys = _check(
         hosts.join(key_count, "host", "left"), CHECKS[5],
         count(key_lines, "count(DISTINCT path)"), found[5], "notice",
-        f"concat({total}, ' authorized_keys files, no keys')",
-        f"concat(n_keys, ' keys across ', {total}, ' files',"
-        " if(n_odd > 0, concat(', ', n_odd, ' unparseable line(s)'), ''))",
+        f"concat('key files: ', {total}, ', all empty')",
+        f"concat('key files: ', {total}, ', keys: ', n_keys,"
+        " if(n_odd > 0, concat(', lines that are no key: ', n_odd), ''))",
         "''", "true",
     )
     out = suid
