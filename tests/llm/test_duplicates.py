@@ -175,22 +175,19 @@ def test_patience():
 
 
 def brute_lines(rows, least):
-    """Every document aligned with the first holder of each of its lines of enough words."""
+    """Every document aligned with all earlier ones that share a line of enough words."""
     docs = sorted({(i if i is not None else 1 << 63, t) for i, t in rows if t}, key=lambda x: x[0])
     lines = {d: [x.strip("\r\t ") for x in d[1].split("\n")] for d in docs}
     count = lambda x: len(re.split("[ \t]+", x)) if x else 0
-    first = {}
-    for d in docs:
-        for x in lines[d]:
-            first.setdefault(x, d)
+    long = {d: {x for x in lines[d] if count(x) >= least} for d in docs}
     out = {}
-    for d in docs:
+    for k, d in enumerate(docs):
         gone = set()
         words = np.array([count(x) for x in lines[d]])
-        for owner in {first[x] for x in lines[d] if count(x) >= least} - {d}:
-            a, b = (np.array([hash(x) for x in lines[k]]) for k in (owner, d))
+        for owner in (e for e in docs[:k] if long[e] & long[d]):
+            a, b = (np.array([hash(x) for x in lines[e]]) for e in (owner, d))
             gone |= set(line_align.common_blocks(a, b, words, least))
-        out[d] = [x for k, x in enumerate(d[1].split("\n")) if k not in gone]
+        out[d] = [x for i, x in enumerate(d[1].split("\n")) if i not in gone]
     return sorted(
         ((i, "\n".join(out[(i if i is not None else 1 << 63, t)]) if t else t) for i, t in rows), key=str
     )
@@ -203,7 +200,19 @@ def test_dedup_lines(spark, docs, seed):
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in range(40)]
     rows += [(50, None), (51, ""), (None, "\n".join(pool[:4])), (7, rows[7][1]), rows[3]]
     got = line_align.dedup_lines(docs(rows)).collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_lines(rows, 5)
+    out, brute = sorted(((r.doc_id, r.text) for r in got), key=str), brute_lines(rows, 5)
+    texts = {(r.doc_id, r.text) for r in got}
+    assert len(out) == len(brute) and len(texts) >= 40
+    for (i, text), (j, least) in zip(out, brute, strict=True):
+        assert i == j and (text is None) == (least is None)
+        if text is None:
+            continue
+        # Lines that lead are gone where any earlier document has them aligned; those too short to lead
+        # go with the holders that were met.
+        text, least = text.split("\n"), least.split("\n")
+        assert [x for x in text if len(x.split()) >= 5] == [x for x in least if len(x.split()) >= 5]
+        it = iter(text)
+        assert least == [""] or all(x in it for x in least)
     for r in got:
         assert r.lang == "en" and r.n_removed <= r.n_lines
 
@@ -215,6 +224,17 @@ def test_dedup_lines_of_copies(spark, docs):
     assert line_align.dedup_lines(docs([])).count() == 0
 
 
+def test_dedup_lines_held_in_other_orders(spark, docs, monkeypatch):
+    """Lines that the first holders have in another order go by a later holder that has the same order."""
+    monkeypatch.setattr(line_align, "STEP", 2)
+    a, b, c = (f"{x} is a line of many words" for x in ("alpha", "beta", "gamma"))
+    rows = [(1, f"{b}\n{c}\n{a}")] + [(i, f"{c}\nown line number {i} of some length\n{b}\n{a}") for i in range(2, 9)]
+    rows += [(9, f"{a}\n{b}\nnine"), (10, f"ten\n{a}\n{b}"), (11, f"{a}\n{b}\nnine"), (12, "nine")]
+    got = {r.doc_id: r.text for r in line_align.dedup_lines(docs(rows)).collect()}
+    assert sorted(got.items(), key=str) == brute_lines(rows, 5)
+    assert (got[10], got[11]) == ("ten", "")
+
+
 def mixed_family(rng, texts=12, shared=14, own=10):
     """Texts with a common stretch whose shingles are frequent, and rare rests of mixed lengths."""
     common = [f"c{rng.randrange(10**6)}" for _ in range(shared)]
