@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from procscope.llm import collocations, line_align, mil, packing, pivots, prefix_join, secrets_forest
 from procscope.llm import spans, suffix_dedup, token_align, token_tree, url_rules, wand
@@ -60,10 +61,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, before and after its editing session: the turns of the
-    conversation with its number, each an edit at a place and of a size that follow from the turn."""
-    trees = token_tree.build_trees(table(spark, sf_dir, "documents"))
-    edits = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id AS doc_id", "turn AS seq", "pmod(conv_id * 31 + turn * 977, 5000) AS at",
+    conversation with its number, each an edit at a place anywhere in the text and of a size that
+    follow from the turn."""
+    docs = table(spark, sf_dir, "documents")
+    trees = token_tree.build_trees(docs)
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
+    edits = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id").join(
+        sizes, "doc_id"
+    ).selectExpr(
+        "doc_id", "turn AS seq", "pmod(xxhash64(doc_id, turn), coalesce(chars, 0) + 1L) AS at",
         "pmod(turn * 13, 40) AS delete", "text AS insert",
     )
     return token_tree.apply_edits(trees, edits).selectExpr(
