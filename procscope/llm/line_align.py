@@ -202,8 +202,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).selectExpr(
         "key", "at", "transform(lines, l -> xxhash64(l)) AS hashes",
         "transform(lines, l -> if(l = '', 0, size(split(l, '[ \\t]+')))) AS words",
-    ).where(f"aggregate(words, 0L, (x, y) -> x + y) >= {int(min_words)}")
-    lines = materialize(lines.withColumn("seq", F.xxhash64("hashes")), "lines")
+    )
+    lines = materialize(lines, "lines").withColumn("seq", F.xxhash64("hashes"))
+    lines = lines.where(f"aggregate(words, 0L, (x, y) -> x + y) >= {int(min_words)}")
     firsts = lines.groupBy("seq").agg(F.min(F.struct("at", "key")).alias("f"))
     copies = lines.select("seq", "at", "key").join(firsts, "seq").where("key <> f.key")
     copies = copies.selectExpr("key", "CAST(array() AS array<int>) AS gone", "true AS every").distinct()
@@ -211,7 +212,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     classes = materialize(
         classes.selectExpr("key", "at", "hashes", "words", "CAST(array() AS array<int>) AS gone"), "classes"
     )
-    entries = _leads(classes, min_words)
+    entries = materialize(_leads(classes, min_words), "leads")
     first = entries.groupBy("line").agg(
         F.count("*").alias("n"), F.min(F.struct("at", "key")).alias("holder")
     )
@@ -224,15 +225,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     found = materialize(_aligned(pairs, classes, min_words), "gone")
     # Whoever has leads left, with holders between the first one and itself.
-    open_lines = first.where("n > 2").selectExpr("line", "n", "holder.key AS holder")
     seen, parts = 1, [found]
-    rest = materialize(
-        _leads(_with_gone(classes, found), min_words)
-        .join(open_lines, "line")
-        .where("holder <> key")
-        .select("key", "at", "line", "n"),
-        "left",
-    )
+    further = entries.join(first.where("n > 2"), "line").where("holder.key <> key")
+    further = materialize(further.select("key", "at", "line", "n"), "further")
+    here = classes.join(further.select("key").distinct(), "key", "left_semi")
+    left = _leads(_with_gone(here, found), min_words).select("key", "line")
+    rest = materialize(further.join(left, ["key", "line"]), "left")
+    release(further)
     while not rest.isEmpty():
         upto = seen * STEP
         active = rest.select("line").distinct()
