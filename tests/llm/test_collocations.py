@@ -86,6 +86,14 @@ def test_bit_maps_that_let_everything_through(spark, monkeypatch):
     assert got(table(spark, rows), threshold=6, top=50) == brute(rows, 6, 50)
 
 
+def test_what_was_let_through_by_mistake_is_counted_to_the_end(spark):
+    """Rare words become frequent late; the table of counts grows by then."""
+    items = [f"f{k} g{k}" for k in range(2500)] * 24 + [f"f{k % 2500} b{k}" for k in range(3000)] * 8
+    random.Random(5).shuffle(items)
+    rows = [("en", ", ".join(items[i : i + 40])) for i in range(0, len(items), 40)]
+    assert got(table(spark, rows), threshold=6, top=10**6) == brute(rows, 6, 10**6)
+
+
 def test_phrases_that_only_the_last_shard_makes_frequent(spark):
     """All occurrences in neighbouring rows or one long text; counts do not depend on the dealing."""
     rows = [("en", "x")] * 7 + [("en", "one two three four. " * 40)] + [("en", f"w{k}") for k in range(20)]
