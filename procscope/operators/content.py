@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ def read_files(spark, path: str, glob: str = "*") -> DataFrame:
 
 GRAM = 4  # bytes of a signature that a body is looked up by
 BLOCK = 1 << 16  # bytes of a body whose grams are listed at once
+SCANNED = 1 << 22  # bytes of blocks that are looked at together
+SLOTS = 33_554_393  # a prime below 2^25: grams are told apart by their remainder before they are joined
 SIGNATURE_BYTES = 8 * 1024 * 1024
 
 #: Escapes that stand for a character, a class by name or a quotation: what is sure then is not plain.
@@ -88,11 +94,79 @@ HIT = (
 )
 
 
-def _grams(of: str, k: int) -> str:
-    return (
-        f"if(octet_length({of}) >= {k}, array_distinct(transform(sequence(1, octet_length({of}) - {k - 1}),"
-        f" i -> substring({of}, i, {k}))), CAST(array() AS ARRAY<BINARY>))"
+def _slots(grams: DataFrame) -> dict[int, np.ndarray]:
+    """Per length a bit map of the ``grams`` (k, code). It may hold more, never less."""
+    found = (
+        grams.selectExpr("k", f"code % {SLOTS} AS i")
+        .groupBy("k", F.expr("i DIV 64 AS at"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(i % 64 AS INT))) AS mask"))
+        .toArrow()  # at most GRAM times SLOTS / 64 rows
     )
+    k, at, mask = (found[c].to_numpy() for c in ("k", "at", "mask"))
+    maps = {}
+    for size in np.unique(k).tolist():
+        maps[size] = np.zeros(SLOTS // 64 + 1, np.uint64)
+        maps[size][at[k == size]] = mask[k == size].view(np.uint64)
+    return maps
+
+
+def _sightings(blocks: pa.Array, maps: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, rows, codes) of the grams in ``blocks`` that the maps have, with repeats, some MB at a time."""
+    blocks = blocks.cast(pa.large_binary())
+    _, offsets, raw = blocks.buffers()
+    off = np.frombuffer(offsets, np.int64)[blocks.offset : blocks.offset + len(blocks) + 1]
+    raw = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(blocks):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SCANNED, "right")) - 1)
+        data, ends = raw[off[lo] : off[hi]], off[lo + 1 : hi + 1] - off[lo]
+        for k, bits in maps.items():
+            m = max(len(data) - k + 1, 0)
+            code = np.zeros(m, np.uint32)
+            for j in range(k):
+                code = (code << np.uint32(8)) | data[j : m + j]
+            slot = code % np.uint32(SLOTS)
+            at = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            row = np.searchsorted(ends, at, "right")
+            whole = at + k <= ends[row]  # not across two blocks
+            yield k, lo + row[whole], code[at[whole]].astype(np.int64)
+        lo = hi
+
+
+def _gram_counts(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """(k, code, n): how often each of the ``grams`` occurs in the blocks; those that do not are left out."""
+    box = blocks.sparkSession.sparkContext.broadcast(_slots(grams))  # bounded by SLOTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, _, codes in _sightings(b.column(0), box.value):
+                code, n = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n.astype(np.int64))],
+                    names=["k", "code", "n"],
+                )
+
+    counts = blocks.select("block").mapInArrow(run, "k int, code long, n long")
+    counts = counts.groupBy("k", "code").agg(F.sum("n").alias("n"))
+    return counts.join(grams.select("k", "code").distinct(), ["k", "code"], "left_semi")
+
+
+def _holders(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """(target, k, code): the targets whose blocks hold one of the few ``grams``."""
+    box = blocks.sparkSession.sparkContext.broadcast(_slots(grams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, rows, codes in _sightings(b.column(1), box.value):
+                pairs = np.unique(np.stack([rows, codes]), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(pairs[0])).cast(pa.string()),
+                     pa.array(np.full(pairs.shape[1], k, np.int32)), pa.array(pairs[1])],
+                    names=["target", "k", "code"],
+                )
+
+    found = blocks.select("target", "block").mapInArrow(run, "target string, k int, code long")
+    return found.join(grams.select("k", "code").distinct(), ["k", "code"], "left_semi").distinct()
 
 
 def identify(
@@ -110,44 +184,42 @@ def identify(
 
     A signature is looked up by the rarest of the four-byte grams that any match of it holds, as counted
     in these bodies: first bytes are often a magic number that every file has. Where one of its grams
-    occurs nowhere it is not looked up at all. Shorter ones are grams themselves. The candidates of a
+    occurs nowhere it is not looked up at all. Shorter ones are grams themselves. One scan counts the
+    grams, a second one names the bodies that hold the chosen ones, so common grams yield counts, never
+    a row a body. The candidates of a
     target come together before they meet its body, so a body travels once. Only regular expressions
     without any sure byte are tried on all bodies; they travel to the executors in passes of at most
     ``pass_bytes``, measured first.
     """
     want = targets_.select("target").distinct()
     bodies = want.join(contents.selectExpr("target", "CAST(body AS BINARY) AS body"), "target", "left")
+    bodies = materialize(bodies, "bodies")
     sigs = _signatures(signatures).withColumn("sig", F.monotonically_increasing_id())
     sigs = materialize(sigs, "signatures")
     size = f"least({GRAM}, octet_length(sure))"
     own = sigs.filter("octet_length(sure) > 0").selectExpr(
-        "sig",
+        "sig", f"{size} AS k",
         f"explode(array_distinct(transform(sequence(1, octet_length(sure) - {size} + 1),"
-        f" i -> substring(sure, i, {size})))) AS gram",
+        f" i -> CAST(conv(hex(substring(sure, i, {size})), 16, 10) AS LONG)))) AS code",
     )
-    lengths = [r.k for r in own.selectExpr("octet_length(gram) AS k").distinct().collect()]  # at most GRAM
-    grams = "flatten(array({}))".format(", ".join(_grams("block", k) for k in sorted(lengths)))
+    own = materialize(own, "signature-grams")
     blocks = bodies.filter("octet_length(body) > 0").selectExpr(
         "target",
         f"explode(transform(sequence(0, (octet_length(body) - 1) DIV {BLOCK}),"
         f" k -> substring(body, k * {BLOCK} + 1, {BLOCK + GRAM - 1}))) AS block",
     )
-    hits = None
-    if lengths:
-        found = blocks.selectExpr("target", f"explode({grams}) AS gram")
-        found = found.join(own.select("gram").distinct(), "gram", "left_semi").distinct()
-        found = materialize(found, "body-grams")
-        often = found.groupBy("gram").agg(F.count("*").alias("n"))
-        rarest = (
-            own.join(often, "gram", "left").groupBy("sig")
-            .agg(F.expr("min_by(gram, struct(n, gram)) AS gram"), F.expr("count(n) = count(1) AS whole"))
-            .filter("whole").select("sig", "gram")
-        )
-        per = found.join(rarest, "gram").join(sigs, "sig").groupBy("target").agg(
-            F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs")  # at most all signatures
-        )
-        tried = bodies.join(per, "target")
-        hits = tried.selectExpr("target", f"explode(filter(sigs, s -> {HIT})) AS s")
+    often = materialize(_gram_counts(blocks, own), "gram-counts")
+    rarest = (
+        own.join(often, ["k", "code"], "left").groupBy("sig")
+        .agg(F.expr("min_by(struct(k, code), struct(n, k, code)) AS gram"), F.expr("count(n) = count(1) AS whole"))
+        .filter("whole").select("sig", "gram.k", "gram.code")
+    )
+    rarest = materialize(rarest, "rarest-grams")
+    found = materialize(_holders(blocks, rarest), "body-grams")
+    per = found.join(rarest, ["k", "code"]).join(sigs, "sig").groupBy("target").agg(
+        F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs")  # at most all signatures
+    )
+    hits = bodies.join(per, "target").selectExpr("target", f"explode(filter(sigs, s -> {HIT})) AS s")
     rest = sigs.filter("coalesce(octet_length(sure), 0) = 0")
     total = rest.agg(F.expr("sum(coalesce(octet_length(pattern), 0) + octet_length(rule) + 32)")).first()[0] or 0
     passes = -(-total // pass_bytes)
@@ -156,9 +228,7 @@ def identify(
         row = part.groupBy().agg(F.expr("collect_list(struct(rule, bytes, pattern)) AS sigs"))
         tried = bodies.filter("octet_length(body) > 0").crossJoin(F.broadcast(row))
         tried = tried.selectExpr("target", f"explode(filter(sigs, s -> {HIT})) AS s")
-        hits = tried if hits is None else hits.unionByName(tried)
-    if hits is None:
-        hits = bodies.limit(0).selectExpr("target", "named_struct('rule', '') AS s")
+        hits = hits.unionByName(tried)
     hits = hits.groupBy("target").agg(F.expr("array_sort(collect_set(s.rule)) AS rules"))
     gone = bodies.groupBy("target").agg(
         F.expr("bool_and(coalesce(octet_length(body), 0) = 0) AS gone")

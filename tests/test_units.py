@@ -346,6 +346,26 @@ def test_signatures_of_one_magic_number(spark):
     assert {r.target: r.rules for r in out} == {str(k): [f"s{k}"] for k in range(40)}
 
 
+def test_common_grams_of_signatures_yield_no_row_a_body(spark, monkeypatch):
+    """What is written about bodies grows with those that hold a rare gram, not with common ones."""
+    common = bytes(range(65, 91))
+    bodies = [(f"t{k}", bytearray(common * 3 + b"-%d-" % k)) for k in range(300)]
+    bodies += [("hit", bytearray(b"xx" + common + b"#rare#yy")), ("cut", bytearray(b"#ra")), ("rest", bytearray(b"re#"))]
+    c = spark.createDataFrame(bodies, "target string, body binary")
+    s = spark.createDataFrame([("r", "hex", (common + b"#rare#").hex())], "rule string, kind string, pattern string")
+    written, real = {}, content.materialize
+
+    def counting(df, label):
+        out = real(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(content, "materialize", counting)
+    out = {r.target: r.rules for r in content.identify(c.select("target"), c, s).collect()}
+    assert {t for t, rules in out.items() if rules} == {"hit"} and len(out) == 303
+    assert written["body-grams"] == 1
+
+
 def test_lockout_of_one_busy_address_in_small_chunks(spark):
     rng = random.Random(12)
     rows, ts = [], 0
