@@ -20,7 +20,7 @@ from procscope.functions import events as X
 from procscope.operators import baseline as B
 from procscope.operators import graph
 from procscope.operators.scan import BEFORE, END, collapse_runs, next_at_or_after, over
-from procscope.session import materialize_counted
+from procscope.session import materialize, materialize_counted
 
 CHAIN_WINDOW_NS = 600 * 1_000_000_000
 
@@ -108,10 +108,11 @@ def candidates(
     )
     own = imp.selectExpr("host", "bpid AS pid", "bstart AS start", "vf AS seq")
     if incremental:
-        own = own.join(span, S.KEY, "left_semi")
-        own = own.unionByName(span.selectExpr(*S.KEY, "first_eval AS seq"))
-        lo = span.selectExpr(*S.KEY, "first_eval AS lo")
-        own = own.join(lo, S.KEY).filter("seq >= lo").drop("lo")
+        after = own.join(span, S.KEY).filter("seq > first_eval").select(*S.KEY, "seq")
+        own = after.unionByName(span.selectExpr(*S.KEY, "first_eval AS seq"))
+        # Written out: both parts are dealt by process, and Spark plans a join on top of their union
+        # without dealing it again, but then cuts the parts into different numbers of partitions.
+        own = materialize(own.distinct(), "own-evaluations")
     # A process evaluated once cannot be affected by anything later.
     again = span.filter("last_eval > first_eval")
     path = reach.join(again, S.KEY)

@@ -154,6 +154,28 @@ def test_stream_equals_replay(spark, tmp_path):
     assert got(job.incidents()) == expected(events)
 
 
+def test_stream_of_tables_too_large_to_broadcast(spark, tmp_path):
+    """Every join is dealt by key, and every exchange is cut into partitions by its own sizes."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    events = random_capture(32, n=400, procs=60, hot=0.1)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        job = LiveDetection(spark, str(tmp_path), detect.Settings(), "info")
+        for n, (lo, hi) in enumerate([(0, 200), (200, 400)]):
+            job.batch(frame(spark, events[lo:hi]), n)
+        assert got(job.incidents()) == expected(events)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_floor_is_a_filter(spark):
     """A pass per floor and one pass with a filter agree."""
     events = random_capture(41, n=250)
