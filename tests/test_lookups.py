@@ -80,3 +80,24 @@ def test_rules_as_rows_are_refused_as_files_are(spark):
             with pytest.raises(RuleError, match=got[k].replace("(", ".").replace(")", ".")):
                 rules.parse_rule(r)
     assert sum(v is None for v in got.values()) == 5 and got[len(raw)] == "not a rule"
+
+
+def test_lists_come_from_slices_of_texts(spark, monkeypatch):
+    """Grams are listed a slice at a time, for texts of any length, and no plan has a row per gram of a text."""
+    monkeypatch.setattr(text_index, "SEGMENT", 8)
+    monkeypatch.setattr(text_index, "SLICE", 64)
+    rng = random.Random(4)
+    texts = {k: "".join(rng.choice("abé ") for _ in range(rng.choice([0, 2, 3, 5, 30, 200]))) for k in range(50)}
+    d = spark.createDataFrame(list(texts.items()), "id long, hay string").repartition(3)
+    lists = text_index._lists(d, 8)
+    plan = lists._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    got = {}
+    for r in lists.collect():
+        assert r.n == len(r.places) <= 8 and sorted(set(r.places)) == r.places
+        for p in r.places:
+            pair = (r.segment * 8 + p + text_index.ZERO, bytes(r.gram))
+            assert pair not in got
+            got[pair] = r.segment
+    raw = {k: t.encode() for k, t in texts.items()}
+    assert set(got) == {(k, t[j : j + 3]) for k, t in raw.items() for j in range(len(t) - 2)}
