@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from functools import cached_property
 
@@ -92,20 +93,21 @@ class Inputs:
 
     @cached_property
     def records(self) -> DataFrame:
-        return materialize(records.records(self.run), "records")
+        return self.stored.select("host", "seq", "severity", "score", "record")
 
     @cached_property
     def stored(self) -> DataFrame:
-        """Incidents as a fleet store holds them: numbered by arrival."""
-        d = self.records.selectExpr(
-            "host", "seq", "record.ts_ns AS ts_ns", "record.ts_ns DIV 1000000000 AS received",
-            "severity", "score", "record", "1 AS one",
-        )
-        d = numbered(d, ["one"], ["ts_ns", "host", "seq"], "received", "id")
+        """Incidents as a fleet store holds them: numbered by arrival. They are numbered before they have
+        a record, so that no record is sorted or written twice."""
+        inc = self.run.incidents.selectExpr("*", "1 AS one")
+        order = ["ts_ns", "host", "seq"]
+        inc = numbered(inc, ["one"], order, "ts_ns DIV 1000000000", "id").drop("one")
+        inc = materialize(inc, "numbered-incidents")
+        d = records.records(dataclasses.replace(self.run, incidents=inc), carry=("id",))
         return materialize(
             d.selectExpr(
-                "id", "host", "seq", "received", "severity", "score", "record",
-                "concat('6.', id % 4) AS kernel", "'' AS ip",
+                "id", "host", "seq", "record.ts_ns DIV 1000000000 AS received", "severity", "score",
+                "record", "concat('6.', id % 4) AS kernel", "'' AS ip",
             ),
             "stored",
         )

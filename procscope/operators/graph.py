@@ -94,26 +94,34 @@ def state_asof(
     right = changes.selectExpr(
         *S.KEY, "seq * 4 + sub AS o", "true AS touch", *[f"{e} AS {n}" for n, e in parts.items()]
     )
-    u = left.unionByName(right, allowMissingColumns=True)
     ck = S.KEY + ["_chunk"]
-    u = u.selectExpr("*", f"{chunk_of('floor(o / 4)', size)} AS _chunk").repartition(*ck)
+    chunk = f"{chunk_of('floor(o / 4)', size)} AS _chunk"
     run = over(ck, "o", UPTO)
     filled = [n for n in ("img", "cred", "cont") if n in parts]
-    step = [*ck, "o", "row", f"max(touch) {run} AS touch"]
-    step += [f"last({n}, true) {run} AS {n}" for n in filled]
-    if named:
-        # The name that counts is the earliest one of the latest exec period.
-        step += ["name", f"coalesce(max(exec_o) {run}, -1L) AS era"]
-    d = u.selectExpr(*step)
-    if named:
-        d = d.selectExpr(
-            *ck, "o", "row", "touch", *filled, "era",
-            f"max(CASE WHEN name IS NOT NULL THEN named_struct('era', era, 'neg', -o, 'name', name)"
-            f" END) {run} AS best",
-        )
 
+    def running(d: DataFrame, *rest: str) -> DataFrame:
+        """The state after each row of its chunk."""
+        d = d.selectExpr("*", chunk).repartition(*ck)
+        step = [*ck, "o", *rest, f"max(touch) {run} AS touch"]
+        step += [f"last({n}, true) {run} AS {n}" for n in filled]
+        if named:
+            # The name that counts is the earliest one of the latest exec period.
+            step += ["name", f"coalesce(max(exec_o) {run}, -1L) AS era"]
+        d = d.selectExpr(*step)
+        if named:
+            d = d.selectExpr(
+                *ck, "o", *rest, "touch", *filled, "era",
+                f"max(CASE WHEN name IS NOT NULL THEN named_struct('era', era, 'neg', -o, 'name', name)"
+                f" END) {run} AS best",
+            )
+        return d
+
+    d = running(left.unionByName(right, allowMissingColumns=True), "row")
     kept = ["touch", *filled] + (["era", "best"] if named else [])
-    tails = d.groupBy(*ck).agg(F.expr(f"max_by(struct({', '.join(kept)}), o) AS t"))
+    # A chunk ends as its last change left it; of the lookups only the chunks they lie in are needed.
+    ends = running(right).groupBy(*ck).agg(F.expr(f"max_by(struct({', '.join(kept)}), o) AS t"))
+    asked = left.selectExpr(*S.KEY, chunk).distinct()
+    tails = asked.join(ends, ck, "full")
     before, upto = over(S.KEY, "_chunk", BEFORE), over(S.KEY, "_chunk", UPTO)
     carried = [f"max(t.touch) {before} AS c_touch"]
     carried += [f"last(t.{n}, true) {before} AS c_{n}" for n in filled]

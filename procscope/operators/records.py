@@ -20,11 +20,16 @@ def evidence(r, scored: DataFrame | None = None) -> DataFrame:
     ``ord`` sorts them oldest first; ties keep lineage order, then the order they were first filed.
     """
     inc = (r.incidents if scored is None else scored).select(*S.KEY, "seq")
-    keep = r.on_file.filter("id IS NOT NULL").join(
-        inc.selectExpr("host", "pid AS s_pid", "start AS s_start", "seq"),
-        ["seq", "s_pid", "s_start", "host"],
-        "left_semi",
-    )
+    if r.baseline is None:
+        # What is on file needs no state of the nodes, and only the incidents' lineages are expanded.
+        nodes = graph.lineage_rows(inc, r.reach).withColumnsRenamed({"pid": "s_pid", "start": "s_start"})
+        keep = score.stored_signals(nodes, r.improving).filter("id IS NOT NULL")
+    else:
+        keep = r.on_file.filter("id IS NOT NULL").join(
+            inc.selectExpr("host", "pid AS s_pid", "start AS s_start", "seq"),
+            ["seq", "s_pid", "s_start", "host"],
+            "left_semi",
+        )
     text = r.signals.selectExpr(
         "host", "named_struct('seq', seq, 'ord', ord) AS so", "detail", "attack", "target"
     )
@@ -45,8 +50,11 @@ def techniques(rows: DataFrame) -> DataFrame:
     )
 
 
-def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDENT_TAG) -> DataFrame:
-    """``(host, seq, record)`` with the lineage resolved to names, root first.
+def records(
+    r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDENT_TAG, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(host, seq, record)`` with the lineage resolved to names, root first, and the ``carry`` columns
+    of the incidents.
 
     Wall-clock fields are null unless ``boot_epoch_ms`` (an expression over ``host``) is known.
     Everything collected per incident is bounded by the 64 nodes of a lineage.
@@ -123,9 +131,9 @@ def records(r, boot_epoch_ms: str = "CAST(NULL AS BIGINT)", tag: str = S.INCIDEN
     )
     d = d.selectExpr(
         *ids, "total", "severity", "base", "chain_bonus", "mult", "note", "ts_ns", "chain", "me",
-        "coalesce(nearest, -1) AS nearest", "sigs",
+        "coalesce(nearest, -1) AS nearest", "sigs", *carry,
     )
-    return d.selectExpr("host", "seq", "severity", "total AS score", f"{record} AS record")
+    return d.selectExpr("host", "seq", "severity", "total AS score", f"{record} AS record", *carry)
 
 
 
