@@ -302,7 +302,9 @@ def f02b(i: Inputs):
     """All evaluations, not only those that can change the outcome."""
     r = i.run
     ev = r.signals.selectExpr("host", "bpid AS pid", "bstart AS start", "seq").distinct()
-    scored, _ = score.score_candidates(ev, r.improving, r.reach, r.states, None, r.settings.lookup)
+    scored, _ = score.score_candidates(
+        ev, r.improving, r.reach, r.states, None, r.settings.lookup, flags=r.flags
+    )
     return scored.selectExpr(
         "host", "seq", "pid", "start", "base", "chain", "total", "round(mult, 6) AS mult"
     )

@@ -316,8 +316,9 @@ def assess(r, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Sequence numbers past the capture belong to one chunk of their own.
     scored, on_file = score.score_candidates(
-        at_end, r.improving, reach, r.states, r.baseline, r.settings.lookup, one_per_event=False
-    )
+        at_end, r.improving, reach, r.states, r.baseline, r.settings.lookup, one_per_event=False,
+        flags=r.flags,
+    )
     return scored, on_file.filter("id IS NOT NULL")
 
 

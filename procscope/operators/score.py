@@ -19,7 +19,7 @@ from procscope import schema as S
 from procscope.functions import events as X
 from procscope.operators import baseline as B
 from procscope.operators import graph
-from procscope.operators.scan import BEFORE, END, collapse_runs, next_at_or_after, over
+from procscope.operators.scan import BEFORE, END, chunk_of, collapse_runs, next_at_or_after, over
 from procscope.session import materialize, materialize_counted
 
 CHAIN_WINDOW_NS = 600 * 1_000_000_000
@@ -77,14 +77,18 @@ def improving(bucketed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     )
 
 
-def context_changes(states: DataFrame, how: dict) -> DataFrame:
-    """Moments at which a process starts or stops being a root daemon or enters a container."""
+def context_flags(states: DataFrame, how: dict) -> DataFrame:
+    """Periods ``[vf, vt)`` of a process with ``flags``: is it a root daemon (d), in a container (c).
+    Processes that never have such a name or a container are left out: nothing holds for them."""
     daemon = X.is_root_daemon()
+    # A name or container that a process has at some moment stands in one of its rows.
+    ever = states.filter(f"{daemon} OR container <> ''").select(*S.KEY).distinct()
+    states = states.join(ever, S.KEY, "left_semi")
     own = graph.state_asof(
         states.select(*S.KEY, "seq"), states, ("comm", "container"), **how
     ).selectExpr(*S.KEY, "seq", f"named_struct('d', {daemon}, 'c', container <> '') AS flags")
     return collapse_runs(own, S.KEY, "flags", size=how.get("size")).selectExpr(
-        *S.KEY, "valid_from AS seq"
+        *S.KEY, "flags", "valid_from AS vf", "valid_to AS vt"
     )
 
 
@@ -92,7 +96,7 @@ def candidates(
     bucketed: DataFrame,
     imp: DataFrame,
     reach: DataFrame,
-    states: DataFrame,
+    flags: DataFrame,
     how: dict,
     incremental: bool = False,
 ) -> DataFrame:
@@ -122,13 +126,9 @@ def candidates(
         .selectExpr(*S.KEY, "first_eval", "last_eval", "c")
     )
     stored = imp.selectExpr("host", "bpid AS apid", "bstart AS astart", "vf AS at")
-    # Only lineages that are evaluated again matter.
-    nodes = path.selectExpr("host", "apid AS pid", "astart AS start").distinct()
-    flags = context_changes(states.join(nodes, S.KEY, "left_semi"), how).selectExpr(
-        "host", "pid AS apid", "start AS astart", "seq AS at"
-    )
+    turned = flags.selectExpr("host", "pid AS apid", "start AS astart", "vf AS at")
     moved = (
-        path.join(stored.unionByName(flags), ["apid", "astart", "host"])
+        path.join(stored.unionByName(turned), ["apid", "astart", "host"])
         .filter("at < vt")
         .selectExpr(*S.KEY, "first_eval", "last_eval", "greatest(at, vf) AS c")
     )
@@ -184,22 +184,65 @@ def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
     )
 
 
-def score_evals(on_file: DataFrame, one_per_event: bool = True) -> DataFrame:
-    """Score every evaluation from its lineage rows.
-
-    Input: (host, seq, s_pid, s_start, depth, comm, container, known, id, score, ts_ns). An event
-    evaluates one process, so (host, seq) names the evaluation; without ``one_per_event`` the process
-    is part of its name. The window and both aggregates group by it and share one shuffle. All aggregation buffers are fixed-size, which keeps them in
-    hash aggregates.
-    """
-    who = [] if one_per_event else ["s_pid", "s_start"]
-    ev = ["seq", "host", *who]
-    carried = [F.expr(f"max({c}) AS {c}") for c in ("s_pid", "s_start") if c not in who]
-    d = on_file.selectExpr(
+def scoring_rows(on_file: DataFrame) -> DataFrame:
+    """Input of ``score_evals`` from lineage rows: (host, seq, s_pid, s_start, depth, comm, container,
+    known, id, score, ts_ns)."""
+    return on_file.selectExpr(
         "seq", "host", "s_pid", "s_start", f"depth * 2 + CAST(known AND {X.is_root_daemon()} AS INT) AS root",
         "known AND container <> '' AS boxed", f"{family()} AS family", "score", "ts_ns",
-        f"max(ts_ns) OVER (PARTITION BY {', '.join(ev)}) AS newest",
     )
+
+
+def scoring_periods(
+    cand: DataFrame, imp: DataFrame, reach: DataFrame, flags: DataFrame, size: int | None = None
+) -> DataFrame:
+    """The rows of ``scoring_rows`` without a look-up per evaluation and node.
+
+    Between changes a node is the same for every evaluation, so what is known of a node (its signals
+    and flags, each for a period) meets the lineages once, and evaluations meet only what their own
+    process has. That is dealt by (process, chunk of arrivals), and the rows stay so.
+    """
+    who = ["pid", "start", "host"]  # numbers first: joins sort by them
+    c = cand.selectExpr(*who, "seq", f"{chunk_of('seq', size)} AS _chunk")
+    asked = c.groupBy(*who, "_chunk").agg(F.expr("min(seq) AS lo"), F.expr("max(seq) AS hi"))
+    path = reach.join(asked, who).filter("vf <= hi AND lo < vt")
+    # Depth says only which ancestor is the last, so a node with one behind it all the time may go.
+    path = path.selectExpr("*", f"lead(struct(vf, vt)) {over([*who, '_chunk'], 'depth')} AS up")
+    path = path.selectExpr("*", "coalesce(up.vf <= vf AND vt <= up.vt, false) AS passed").drop("up")
+    at = ["apid", "astart", "host"]
+    filed = imp.selectExpr(
+        "bpid AS apid", "bstart AS astart", "host", "0 AS d", "false AS c", f"{family()} AS family",
+        "score", "ts_ns", "vf AS f", "vt AS t",
+    )
+    marks = flags.filter("flags.d OR flags.c").selectExpr(
+        "pid AS apid", "start AS astart", "host", "CAST(flags.d AS INT) AS d", "flags.c AS c", "vf AS f", "vt AS t"
+    )
+    info = filed.unionByName(marks, allowMissingColumns=True)
+    # A node counts with its depth for as long as it is an ancestor, whatever else is known of it.
+    plain = info.select(*at).distinct().selectExpr("*", "-1L AS f", f"{END}L AS t")
+    info = info.unionByName(plain, allowMissingColumns=True)
+    rows = path.join(info, at, "left").filter("d IS NOT NULL OR NOT passed").selectExpr(
+        *who, "_chunk", "lo", "hi", "depth * 2 + coalesce(d, 0) AS root", "coalesce(c, false) AS boxed",
+        "family", "score", "ts_ns", "greatest(vf, f) AS f", "least(vt, t) AS t",
+    )
+    rows = rows.filter("f < t AND f <= hi AND lo < t").drop("lo", "hi")
+    return c.join(rows, [*who, "_chunk"]).filter("f <= seq AND seq < t").selectExpr(
+        "seq", "host", "pid AS s_pid", "start AS s_start", "_chunk", "root", "boxed", "family", "score", "ts_ns"
+    )
+
+
+def score_evals(on_file: DataFrame, one_per_event: bool = True) -> DataFrame:
+    """Score every evaluation from its lineage rows. An event evaluates one process, so (host, seq) names
+    the evaluation; without ``one_per_event`` the process is part of its name."""
+    return score_rows(scoring_rows(on_file), ["seq", "host", *([] if one_per_event else ["s_pid", "s_start"])])
+
+
+def score_rows(rows: DataFrame, ev: list[str]) -> DataFrame:
+    """Score every evaluation, named by the columns ``ev``, from its ``scoring_rows``. The window and both
+    aggregates group by it and share one shuffle. All aggregation buffers are fixed-size, which keeps
+    them in hash aggregates."""
+    carried = [F.expr(f"max({c}) AS {c}") for c in ("s_pid", "s_start") if c not in ev]
+    d = rows.selectExpr("*", f"max(ts_ns) OVER (PARTITION BY {', '.join(ev)}) AS newest")
     # Saturating difference: a signal newer than the newest one cannot exist, only equal.
     live = f"CASE WHEN newest - ts_ns <= {CHAIN_WINDOW_NS}L THEN score END"
     fam = d.groupBy(*ev, "family").agg(
@@ -262,13 +305,19 @@ def score_candidates(
     base: B.Baseline | None,
     how: dict,
     one_per_event: bool = True,
+    flags: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored evaluations, the stored signals behind them)."""
+    """(scored evaluations, the stored signals behind them). ``flags``: ``context_flags`` of ``states``,
+    if they are at hand."""
     fields = ("comm", "container") if base is None else ("comm", "container", "exe")
     on_file = stored_signals(lineage_state(cand, reach, states, fields, how), imp)
     if base is not None:
         on_file = B.adjust(with_signal_exe(on_file, states, how), base)
-    return score_evals(on_file, one_per_event), on_file
+        return score_evals(on_file, one_per_event), on_file
+    if flags is None:
+        flags = context_flags(states, how)
+    rows = scoring_periods(cand, imp, reach, flags, how.get("size"))
+    return score_rows(rows, ["seq", "s_pid", "s_start", "host", "_chunk"]), on_file
 
 
 def with_signal_exe(on_file: DataFrame, states: DataFrame, how: dict) -> DataFrame:

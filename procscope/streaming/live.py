@@ -187,7 +187,7 @@ class LiveDetection:
         # Batch n may run again and reads n - 1; what lies before is read by none.
         for t in STATE_TABLES:
             self.state.drop(t, n - 2)
-        release(arrived, events, r.reach, r.signals, r.improving)
+        release(arrived, events, r.reach, r.signals, r.improving, r.flags)
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
         """Run on a streaming DataFrame of capture rows."""

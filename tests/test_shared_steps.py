@@ -6,7 +6,7 @@ import dataclasses
 
 from test_random_captures import frame, random_capture
 
-from procscope.operators import detect, graph, records
+from procscope.operators import detect, graph, records, score
 from procscope.plans.replay import replay
 from procscope.session import materialize
 
@@ -54,3 +54,19 @@ def test_lookups_are_dealt_once_and_chunks_of_lookups_alone_carry_on(spark):
         comm = "a" if s < 41 else "" if s < 43 else "n"
         want = (True, comm, "/a" if s < 41 else "/z", "" if s < 9 else "c1", 5 if s < 9 else 6 if s < 41 else 7)
         assert got[1, s] == (*want, f"x{s}"), s
+
+
+def test_scores_come_from_periods_not_from_a_look_up_per_evaluation_and_node(spark):
+    """As scored from lineage rows, with chunks that cut processes and flags that come and go."""
+    for seed, size in ((7, None), (8, 3)):
+        settings = detect.Settings(host_mnt_ns=1, chunk=size)
+        r = replay(frame(spark, random_capture(seed, n=400)), settings, "info")
+        every = r.signals.selectExpr("host", "bpid AS pid", "bstart AS start", "seq").distinct()
+        scored, on_file = score.score_candidates(
+            every, r.improving, r.reach, r.states, None, settings.lookup, flags=r.flags
+        )
+        assert "RepartitionByExpression" not in _plan(scored)  # no state of a node is looked up
+        want = score.score_evals(on_file)
+        assert want.count() > 50 and want.filter("mult > 1").count() > 0
+        got = scored.select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
