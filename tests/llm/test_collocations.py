@@ -1,9 +1,11 @@
 """Phrase counts and scores against brute force."""
 
+import pickle
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from procscope.llm import collocations
@@ -106,3 +108,24 @@ def test_empty_tables(spark):
     df = table(spark, [])
     assert collocations.collocations(df).count() == 0
     assert got(table(spark, [(None, None), ("en", "")]), threshold=1) == []
+
+
+def test_maps_of_few_entries_are_small_on_their_way(spark):
+    """Every step sends three maps to every executor; full ones of a small corpus took its disk."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1000, 1 << 19):
+        at = np.unique(rng.integers(0, (1 << collocations.MAP_BITS) // 64, n))
+        bits = collocations._Bits(collocations.MAP_BITS, at, rng.integers(1, 1 << 63, len(at), np.uint64))
+        sent = pickle.dumps(bits)
+        assert len(sent) < min(1000 + 16 * len(at), len(bits.words) * 8 + 1000)
+        assert np.array_equal(pickle.loads(sent).words, bits.words) and pickle.loads(sent).mask == bits.mask
+
+
+def test_maps_and_counts_go_when_their_step_is_done(spark, monkeypatch):
+    made, gone = [], []
+    first, last = collocations.materialize, collocations.release
+    monkeypatch.setattr(collocations, "materialize", lambda *a: made.append(first(*a)) or made[-1])
+    monkeypatch.setattr(collocations, "release", lambda *t: (gone.extend(t), last(*t)))
+    rows = corpus(4, 80)
+    assert got(table(spark, rows), threshold=6, top=50) == brute(rows, 6, 50)
+    assert len(made) > 3 and gone == made[:-1]
