@@ -32,8 +32,8 @@ from procscope.session import materialize
 GRAM = 24  # bytes of an anchor
 GROUP = 1024  # unlike contexts of an anchor that are compared in one place
 WIDTHS = (16, 1)  # strings of a narrower context
-CHUNK = 1 << 20  # string starts of one text that are looked at at once
-TEXT = 1 << 21  # bytes of contexts that are sorted at once
+CHUNK = 1 << 18  # string starts that are looked at at once, with some 80 bytes of memory each
+TEXT = 1 << 20  # bytes of contexts that are sorted at once, with some 130 bytes of memory each
 KNOWN = -1  # anchor of rows that are known to repeat; ``content`` is then their number
 ROW = "id long, h long, at long, anchor long, content long, weight long"
 NAMES = [c.split()[0] for c in ROW.split(", ")]

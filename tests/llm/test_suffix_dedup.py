@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,3 +139,24 @@ def test_kept_bytes_of_the_query_are_hashed(spark, docs):
     df = suffix_dedup.remove_repeats(docs(rows), 200).selectExpr("doc_id", "sha2(kept, 256) AS s")
     want = {i: hashlib.sha256(kept).hexdigest() for i, _, _, _, kept in brute(rows, 200)}
     assert {r.doc_id: r.s for r in df.collect()} == want
+
+
+def test_memory_of_a_slice_of_texts():
+    """Executors hold several tasks: 56 MB for contexts of a slice and 259 MB for a sort were too much."""
+    data = np.random.default_rng(2).integers(97, 123, 1 << 20).astype(np.uint8)
+    offsets = np.array([0, 1 << 19, 1 << 20])
+    suffix_dedup.contexts(data[:1000], np.array([0, 1000]), 200)  # tables of powers
+    tracemalloc.start()
+    text, start, n, _, _ = suffix_dedup.contexts(data, offsets, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    tracemalloc.start()
+    suffix_arrays.repeats(data[: suffix_dedup.TEXT], np.arange(suffix_dedup.TEXT - 200), 200)
+    assert suffix_dedup.TEXT <= len(data) and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    for t in (0, 1):  # every string start once
+        at = start[text == t]
+        order = np.argsort(at)
+        assert at.min() == 0 and (at + n[text == t]).max() == (1 << 19) - 199
+        assert np.array_equal(at[order][1:], (at + n[text == t])[order][:-1])
