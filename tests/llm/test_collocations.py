@@ -129,3 +129,29 @@ def test_maps_and_counts_go_when_their_step_is_done(spark, monkeypatch):
     rows = corpus(4, 80)
     assert got(table(spark, rows), threshold=6, top=50) == brute(rows, 6, 50)
     assert len(made) > 3 and gone == made[:-1]
+
+
+def test_phrases_are_counted_by_plain_sorts_whatever_the_vocabulary(monkeypatch):
+    """Ranks stand in only where a code would pass 64 bits, and no order of spots is asked for."""
+    rng = random.Random(4)
+    few = [f"w{rng.randrange(40)}" for _ in range(3000)]
+    many = [f"v{rng.randrange(70_000)}" for _ in range(120_000)] + ["v1 v2 v3 v4"] * 3
+    asked = []
+    unique = np.unique
+
+    def watched(*args, **kw):
+        asked.append(sorted(kw))
+        return unique(*args, **kw)
+
+    for words, ranks in ((few, [0, 0, 0]), (many, [0, 0, 1])):
+        text = " ".join(words).encode()
+        w = collocations._Words("en", np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        words = text.decode().split()
+        for size, ranked in zip((2, 3, 4), ranks):
+            asked.clear()
+            monkeypatch.setattr(np, "unique", watched)
+            phrases, n = w.counted(np.arange(len(words) - size + 1), size)
+            monkeypatch.undo()
+            assert asked == [["return_inverse"]] * ranked + [["return_counts"]]
+            want = Counter(" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
+            assert dict(zip(phrases.to_pylist(), n.tolist())) == want
