@@ -12,29 +12,30 @@ from procscope.catalog.fleet import WALK, WALK_SQL
 from procscope.catalog.oracle_base import sql
 from procscope.catalog.rows import OPENS, raw_open
 from procscope.operators import records
-from procscope.session import scratch_path
+from procscope.session import materialize, scratch_path
 from procscope.streaming import live
 
 
-def _files(i: Inputs, df, part: str, n: int, label: str) -> str:
-    """Write ``df`` as ``n`` files whose modification order follows ``part``."""
-    path = scratch_path(i.spark, label)
-    for k in range(n):
-        df.filter(f"({part}) = {k}").coalesce(1).write.mode("append").parquet(path)
-    return path
+def _arrived(i: Inputs, df, path: str):
+    """A stream of what is new in ``path`` once all tasks have added ``df`` to it. It stops when that is
+    done, so the files of ``df`` are one micro-batch, however many they are."""
+    df.write.mode("append").parquet(path)
+    return i.spark.readStream.schema(df.schema).parquet(path)
 
 
-def _stream(i: Inputs, path: str, schema):
-    return i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _feed(i: Inputs, df, part: str, n: int, label: str, start) -> None:
+    """``df`` as ``n`` micro-batches, in the order of ``part``, of the stream that ``start`` runs."""
+    path = scratch_path(i.spark, label)
+    for k in range(n):
+        start(_arrived(i, df.filter(f"({part}) = {k}"), path)).awaitTermination()
 
 
 def _live(i: Inputs, floor: str = "low", **kw) -> live.LiveDetection:
     top = i.cap.agg(F.max("ts_ns")).first()[0] + 1
-    path = _files(i, i.cap, f"ts_ns * 3 DIV {top}", 3, "live-in")
     job = live.LiveDetection(
         i.spark, scratch_path(i.spark, "live"), i.settings, floor, **kw
     )
-    job.start(_stream(i, path, i.cap.schema)).awaitTermination()
+    _feed(i, i.cap, f"ts_ns * 3 DIV {top}", 3, "live-in", job.start)
     return job
 
 
@@ -61,9 +62,8 @@ def k2(i: Inputs):
     """Every fiftieth row of the first half arrives after the rest of it."""
     half = (i.cap.agg(F.max("ts_ns")).first()[0] + 1) // 2
     part = f"CASE WHEN ts_ns >= {half} THEN 2 WHEN seq % 50 = 0 THEN 1 ELSE 0 END"
-    path = _files(i, i.cap, part, 3, "late-in")
     job = live.LiveDetection(i.spark, scratch_path(i.spark, "late"), i.settings, "low")
-    job.start(_stream(i, path, i.cap.schema)).awaitTermination()
+    _feed(i, i.cap, part, 3, "late-in", job.start)
     return job.late().select("host", "seq")
 
 
@@ -143,9 +143,8 @@ def g02b(i: Inputs):
 def k5(i: Inputs):
     rows = i.stored.select("id", "host", "received", "record")
     top = rows.agg(F.max("received")).first()[0] + 1
-    path = _files(i, rows, f"received * 3 DIV {top}", 3, "alerts-in")
     job = live.AlertStream(i.spark, scratch_path(i.spark, "alerts"), "medium", 1, 0)
-    job.start(_stream(i, path, rows.schema)).awaitTermination()
+    _feed(i, rows, f"received * 3 DIV {top}", 3, "alerts-in", job.start)
     return job.delivered().select("id")
 
 
@@ -165,13 +164,13 @@ def k6(i: Inputs):
     i.spark.createDataFrame([("/etc/cron", 1)], "prefix string, flags int").write.parquet(watches)
     out, state = scratch_path(i.spark, "opens"), scratch_path(i.spark, "opens-state")
     src = scratch_path(i.spark, "opens-in")
-    o.filter(f"seq < {half}").coalesce(1).write.parquet(src)
-    live.watched_opens(_stream(i, src, o.schema), watches, out, state).awaitTermination()
+    first = _arrived(i, o.filter(f"seq < {half}"), src)
+    live.watched_opens(first, watches, out, state).awaitTermination()
     i.spark.createDataFrame([("/home/u3/.ssh/", 1)], "prefix string, flags int").write.mode(
         "append"
     ).parquet(watches)
-    o.filter(f"seq >= {half}").coalesce(1).write.mode("append").parquet(src)
-    live.watched_opens(_stream(i, src, o.schema), watches, out, state).awaitTermination()
+    second = _arrived(i, o.filter(f"seq >= {half}"), src)
+    live.watched_opens(second, watches, out, state).awaitTermination()
     return i.spark.read.parquet(out).select("host", "seq", "path")
 
 
@@ -187,7 +186,8 @@ def k6(i: Inputs):
     ),
 )
 def k7(i: Inputs):
-    beats = i.beats.selectExpr(
+    # Heartbeats come from the whole capture; each part would count them again.
+    beats = materialize(i.beats, "beats").selectExpr(
         "host", "kernel", "ip", "received",
         "to_json(struct(schema, ts, uptime_secs, agent_version, events, drops, decode_panics,"
         " sensors_verified, attestation_misses, sensors_active, sensors_total)) AS value",
@@ -195,9 +195,8 @@ def k7(i: Inputs):
     inc = i.stored.selectExpr("host", "kernel", "ip", "received", f"{records.slim()} AS value")
     lines = beats.unionByName(inc)
     top = lines.agg(F.max("received")).first()[0] + 1
-    path = _files(i, lines, f"received * 3 DIV {top}", 3, "feed")
     job = live.FleetIngest(i.spark, scratch_path(i.spark, "fleet"))
-    job.start(_stream(i, path, lines.schema)).awaitTermination()
+    _feed(i, lines, f"received * 3 DIV {top}", 3, "feed", job.start)
     n = job.incidents().groupBy("host").agg(
         F.expr("count(1) AS incidents"), F.expr("sum(id) AS ids")
     )

@@ -6,9 +6,10 @@ import dataclasses
 
 from test_random_captures import frame, random_capture
 
+from procscope.catalog import base, streams
 from procscope.operators import detect, graph, records, score
 from procscope.plans.replay import replay
-from procscope.session import materialize
+from procscope.session import materialize, scratch_path
 
 
 def _plan(df) -> str:
@@ -70,3 +71,22 @@ def test_scores_come_from_periods_not_from_a_look_up_per_evaluation_and_node(spa
         assert want.count() > 50 and want.filter("mult > 1").count() > 0
         got = scored.select(want.columns)
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_parts_of_a_feed_are_written_by_all_tasks_and_are_one_micro_batch_each(spark):
+    seen = {}
+
+    def step(df, n):
+        files = df.selectExpr("input_file_name() AS f").distinct().count()
+        seen[n] = (sorted(r.id for r in df.collect()), files)
+
+    folder = scratch_path(spark, "feed-checkpoint")
+
+    def start(rows):
+        out = rows.writeStream.foreachBatch(step).option("checkpointLocation", folder)
+        return out.trigger(availableNow=True).start()
+
+    part = "CASE WHEN id < 40 THEN 0 WHEN id < 80 THEN 2 ELSE 3 END"  # nothing in the second
+    streams._feed(base.Inputs(spark, ""), spark.range(0, 100, 1, 10), part, 4, "feed", start)
+    assert [seen[n][0] for n in range(4)] == [[*range(40)], [], [*range(40, 80)], [*range(80, 100)]]
+    assert [seen[n][1] for n in (0, 2, 3)] == [4, 4, 2]
