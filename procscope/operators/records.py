@@ -20,21 +20,23 @@ def evidence(r, scored: DataFrame | None = None) -> DataFrame:
     ``ord`` sorts them oldest first; ties keep lineage order, then the order they were first filed.
     """
     inc = (r.incidents if scored is None else scored).select(*S.KEY, "seq")
+    text = r.signals.selectExpr(
+        "host", "named_struct('seq', seq, 'ord', ord) AS so", "detail", "attack", "target"
+    )
     if r.baseline is None:
-        # What is on file needs no state of the nodes, and only the incidents' lineages are expanded.
+        # What is on file needs no state of the nodes, and only the incidents' lineages are expanded. It
+        # meets its texts first: a signal is on file once, but evidence of many incidents.
         nodes = graph.lineage_rows(inc, r.reach).withColumnsRenamed({"pid": "s_pid", "start": "s_start"})
-        keep = score.stored_signals(nodes, r.improving).filter("id IS NOT NULL")
+        filed = r.improving.join(text, ["so", "host"])
+        keep = score.stored_signals(nodes, filed, ("detail", "attack", "target")).filter("id IS NOT NULL")
     else:
         keep = r.on_file.filter("id IS NOT NULL").join(
             inc.selectExpr("host", "pid AS s_pid", "start AS s_start", "seq"),
             ["seq", "s_pid", "s_start", "host"],
             "left_semi",
-        )
-    text = r.signals.selectExpr(
-        "host", "named_struct('seq', seq, 'ord', ord) AS so", "detail", "attack", "target"
-    )
+        ).join(text, ["so", "host"])
     note = "evidence_note" if "evidence_note" in keep.columns else "CAST(NULL AS STRING)"
-    return keep.join(text, ["so", "host"]).selectExpr(
+    return keep.selectExpr(
         "host", "seq", "s_pid AS pid", "s_start AS start", "depth", "first_so", "id", "score",
         f"concat(detail, coalesce({note}, '')) AS detail", "attack", "target", "ts_ns", "spid",
         "sstart",
@@ -63,15 +65,20 @@ def records(
     inc = r.incidents
     ev = evidence(r)
     ids = ["seq", *S.KEY]
-    nodes = graph.lineage_rows(inc.select(*ids), r.reach).selectExpr(
+    lineage = graph.lineage_rows(inc.select(*ids), r.reach)
+    nodes = lineage.selectExpr(
         "host", "apid AS npid", "astart AS nstart", "seq", "pid", "start", "depth"
     )
-    # Lineage nodes and the processes signals fired on are looked up together.
-    ask = (
-        nodes.selectExpr("host", "npid AS pid", "nstart AS start", "seq")
-        .unionByName(ev.selectExpr("host", "spid AS pid", "sstart AS start", "seq"))
-        .distinct()
-    )
+    # A signal fired on the lineage node it is filed under, except for some signals of rules. Lineage nodes
+    # and those other processes are looked up together.
+    away = r.improving.filter("spid <> bpid OR sstart <> bstart")
+    other = score.stored_signals(lineage.withColumnsRenamed({"pid": "s_pid", "start": "s_start"}), away)
+    other = other.filter("id IS NOT NULL").selectExpr(
+        "host", "spid AS npid", "sstart AS nstart", "seq", "s_pid AS pid", "s_start AS start"
+    ).distinct()
+    ask = nodes.drop("depth").unionByName(other).selectExpr(
+        "host", "npid AS pid", "nstart AS start", "seq"
+    ).distinct()
     known = graph.state_asof(ask, r.states, FULL, **st.lookup).selectExpr(
         "host", "pid AS npid", "start AS nstart", "seq", "known", "comm", "exe",
         f"{T.cmdline()} AS cmdline", "uid",
@@ -82,33 +89,35 @@ def records(
         .groupBy(*ids)
         .agg(
             F.expr(
-                "sort_array(collect_list(struct(-depth AS d, npid AS pid, comm, exe, cmdline)))"
-                " AS chain"
+                "sort_array(collect_list(struct(-depth AS d, npid AS pid, comm, exe, cmdline,"
+                " nstart AS start))) AS chain"
             ),
             F.expr("max_by(struct(comm, exe, uid, cmdline), -depth) AS me"),
             F.expr("min(depth) AS nearest"),
         )
     )
     wall = f"({boot_epoch_ms})"
-    sigs = (
-        ev.join(
-            known.selectExpr(
-                "host", "npid AS spid", "nstart AS sstart", "seq", "cmdline AS s_cmd"
-            ),
-            ["seq", "spid", "sstart", "host"],
-            "left",
-        )
-        .groupBy(*ids)
-        .agg(
-            F.expr(
-                "sort_array(collect_list(named_struct('t', ts_ns, 'd', depth, 'f', first_so,"
-                " 's', named_struct('id', id, 'score', score, 'detail', detail, 'attack', attack,"
-                f" 'ts_ns', ts_ns, 'ts', {X.wall_ms('ts_ns', wall)}, 'pid', spid,"
-                " 'cmdline', coalesce(s_cmd, ''))))) AS sigs"
-            )
+    others = other.join(known, ["seq", "npid", "nstart", "host"]).groupBy(*ids).agg(
+        F.expr("collect_list(struct(npid AS pid, nstart AS start, cmdline)) AS others")
+    )
+    sigs = ev.groupBy(*ids).agg(
+        F.expr(
+            "sort_array(collect_list(named_struct('t', ts_ns, 'd', depth, 'f', first_so,"
+            " 's', named_struct('id', id, 'score', score, 'detail', detail, 'attack', attack,"
+            f" 'ts_ns', ts_ns, 'ts', {X.wall_ms('ts_ns', wall)}, 'pid', spid, 'start', sstart))))"
+            " AS sigs"
         )
     )
     d = inc.withColumnRenamed("chain", "chain_bonus").join(chain, ids, "left").join(sigs, ids)
+    d = d.join(others, ids, "left")
+    cmdline = (
+        "coalesce(get(filter(cmdlines, n -> n.pid = x.s.pid AND n.start = x.s.start), 0).cmdline, '')"
+    )
+    signals = (
+        "transform(sigs, x -> named_struct('id', x.s.id, 'score', x.s.score, 'detail', x.s.detail,"
+        " 'attack', x.s.attack, 'ts_ns', x.s.ts_ns, 'ts', x.s.ts, 'pid', x.s.pid,"
+        f" 'cmdline', {cmdline}))"
+    )
     own = "nearest = 0"
     subject = (
         "named_struct('pid', pid, 'start_boottime', start,"
@@ -125,13 +134,15 @@ def records(
         " 'lineage_detail', coalesce(transform(chain, n -> named_struct('pid', n.pid,"
         " 'comm', n.comm, 'exe', n.exe, 'cmdline', n.cmdline)), array()),"
         " 'attack', array_sort(array_distinct(flatten(transform(sigs, x -> x.s.attack)))),"
-        " 'signals', transform(sigs, x -> x.s),"
+        f" 'signals', {signals},"
         " 'yara', CAST(array() AS ARRAY<STRUCT<signal: STRING, target: STRING, outcome: STRING,"
         " rules: ARRAY<STRING>, reason: STRING>>))"
     )
     d = d.selectExpr(
         *ids, "total", "severity", "base", "chain_bonus", "mult", "note", "ts_ns", "chain", "me",
-        "coalesce(nearest, -1) AS nearest", "sigs", *carry,
+        "coalesce(nearest, -1) AS nearest", "sigs",
+        "concat(coalesce(transform(chain, n -> struct(n.pid, n.start, n.cmdline)), array()),"
+        " coalesce(others, array())) AS cmdlines", *carry,
     )
     return d.selectExpr("host", "seq", "severity", "total AS score", f"{record} AS record", *carry)
 

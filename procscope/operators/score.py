@@ -164,12 +164,12 @@ def lineage_state(
     )
 
 
-def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
-    """Signals on file for every lineage node at the evaluation; nodes without one stay, with nulls,
-    because they still contribute context."""
+def stored_signals(nodes: DataFrame, imp: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Signals on file for every lineage node at the evaluation, with the ``carry`` columns of ``imp``;
+    nodes without one stay, with nulls, because they still contribute context."""
     i = imp.selectExpr(
         "host", "bpid AS apid", "bstart AS astart", "id", "score", "so", "ts_ns", "spid",
-        "sstart", "first_so", "vf AS ivf", "vt AS ivt",
+        "sstart", "first_so", "vf AS ivf", "vt AS ivt", *carry,
     )
     n, i = nodes.alias("n"), i.alias("i")
     return n.join(
@@ -180,8 +180,9 @@ def stored_signals(nodes: DataFrame, imp: DataFrame) -> DataFrame:
         ),
         "left",
     ).selectExpr(
-        "n.*", "i.id", "i.score", "i.so", "i.ts_ns", "i.spid", "i.sstart", "i.first_so"
-    )
+        "n.*", "i.id", "i.score", "i.so", "i.ts_ns", "i.spid", "i.sstart", "i.first_so",
+        *[f"i.{c}" for c in carry],
+    )
 
 
 def scoring_rows(on_file: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 
-from test_random_captures import frame, random_capture
+from pyspark.sql import functions as F
+from test_random_captures import SPARK_RULES, frame, random_capture
 
 from procscope.catalog import base, streams
+from procscope.functions import text
 from procscope.operators import detect, graph, records, score
 from procscope.plans.replay import replay
 from procscope.session import materialize, scratch_path
@@ -90,3 +92,26 @@ def test_parts_of_a_feed_are_written_by_all_tasks_and_are_one_micro_batch_each(s
     streams._feed(base.Inputs(spark, ""), spark.range(0, 100, 1, 10), part, 4, "feed", start)
     assert [seen[n][0] for n in range(4)] == [[*range(40)], [], [*range(40, 80)], [*range(80, 100)]]
     assert [seen[n][1] for n in (0, 2, 3)] == [4, 4, 2]
+
+
+def test_commands_of_signals_come_from_the_lineage_or_the_process_a_rule_names(spark):
+    """No row of evidence is dealt by the process it fired on, and texts meet what is on file only."""
+    capture = frame(spark, random_capture(3, n=400)).withColumn("argv", F.expr("array('run', 'p' || tgid)"))
+    r = replay(capture, detect.Settings(host_mnt_ns=1), "info", ruleset=SPARK_RULES)
+    r.incidents = materialize(r.incidents, "incidents")
+    assert not r.improving.filter("spid <> bpid OR sstart <> bstart").isEmpty()
+    recs, ev = records.records(r), records.evidence(r)
+    outer = [line for line in _plan(recs).splitlines() if "Join LeftOuter" in line]
+    assert outer and not any("spid" in line for line in outer)
+    fired = ["host", "spid", "sstart", "seq"]
+    asked = ev.selectExpr("host", "spid AS pid", "sstart AS start", "seq").distinct()
+    known = graph.state_asof(asked, r.states, records.FULL).selectExpr(
+        "host", "pid AS spid", "start AS sstart", "seq", f"{text.cmdline()} AS cmd"
+    )
+    cols = ["host", "seq", "id", "spid", "detail", "score", "cmd"]
+    want = ev.join(known, fired).select(*cols)
+    got = recs.selectExpr("host", "seq", "explode(record.signals) AS s").selectExpr(
+        "host", "seq", "s.id", "s.pid AS spid", "s.detail", "s.score", "s.cmdline AS cmd"
+    )
+    want, got = sorted(map(tuple, want.collect())), sorted(map(tuple, got.collect()))
+    assert got == want and any(w[-1] for w in want)
