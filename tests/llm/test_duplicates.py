@@ -310,3 +310,65 @@ def test_dedup_lines_of_few_words(spark, docs):
     rows += [(5, "x y\n\nz v\nw u"), (6, "other\nx y\n\nz v\nw u\nlast")]
     got = {r.doc_id: r.text for r in line_align.dedup_lines(docs(rows)).collect()}
     assert got == dict(rows) | {2: "a title", 6: "other\nlast"}
+
+
+def families(rng, kinds=6, least=6, most=40):
+    """Families of edited copies of several sizes, and texts with the stretch that one of them begins with."""
+    rows = []
+    for kind in range(kinds):
+        base = [f"f{kind}w{k}" for k in range(rng.randrange(30, 60))]
+        for _ in range(rng.randrange(least, most)):
+            copy = base[: len(base) - rng.choice([0, 0, 0, 3])]
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+        for _ in range(5):
+            own = [f"o{rng.randrange(10**6)}" for _ in range(30)]
+            rows.append((len(rows), " ".join(base[:10] + own)))
+    return rows
+
+
+def test_families_take_few_steps(spark, docs, monkeypatch):
+    """Families are compared at once: what is written does not grow with how they meet."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", 4)
+    monkeypatch.setattr(prefix_join, "BLOCK", 16)
+    written, write = [], prefix_join.materialize
+    monkeypatch.setattr(prefix_join, "materialize", lambda d, label: written.append(label) or write(d, label))
+    rows = families(random.Random(3))
+    got = prefix_join.groups(docs(rows), 3, 90).collect()
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert out == brute_groups(rows, 3, 90)
+    degrees = brute_degrees(rows, 3, 90)
+    assert {r.doc_id: r.n_links for r in got} == {i: degrees[shingle_set(t, 3)] for i, t in rows}
+    assert len(written) <= 26, Counter(written)
+
+
+@pytest.mark.parametrize("bits", [1, 5])
+def test_groups_where_bits_hold_too_much(spark, docs, monkeypatch, bits):
+    """Tokens taken for frequent or shared by mistake change the order, not the result."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", 4)
+    monkeypatch.setattr(prefix_join, "FEW_BITS", bits)
+    monkeypatch.setattr(prefix_join, "MANY_BITS", bits)
+    rows = families(random.Random(4), 3, 4, 16) + [(1000 + i, t) for i, t in corpus(6, n=20)[:40] if i is not None]
+    got = prefix_join.groups(docs(rows), 3, 90).collect()
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert out == brute_groups(rows, 3, 90)
+
+
+def test_frequent_tokens_come_last():
+    """The prefix of every set in one order, and which sketches hold too little of it."""
+    frequent = prefix_join._Bits(8, np.array([0]), np.array([0b1110], np.uint64))  # tokens 1, 2 and 3
+    sets = [[1, 2, 3, 70, 80, 90, 100, 110, 120, 130], [1, 2, 3, 70], [1, 2, 3, 71]]
+    b = prefix_join.pa.RecordBatch.from_arrays(
+        [prefix_join.pa.array([7, 8, 9]), prefix_join.pa.array([10, 4, 40], prefix_join.pa.int32()),
+         prefix_join.pa.array([np.array(s, np.uint64).tobytes() for s in sets])],
+        names=["set", "n", "sketch"],
+    )
+    o = prefix_join._Order(b, 50, frequent)
+    prefixes = [sorted(o.tokens[o.inside & (o.at == k)].tolist()) for k in range(3)]
+    assert o.long.tolist() == [6, 3, 21] and o.short.tolist() == [False, False, True]
+    assert prefixes[:2] == [[70, 80, 90, 100, 110, 120], [1, 2, 70]]
+    everything = prefix_join._Bits(1, np.array([0]), np.array([3], np.uint64))
+    out = prefix_join._prefix_rows(b, o, everything).to_pylist()
+    assert [(r["set"], r["tokens"], r["rest"]) for r in out] == [(7, [70, 80, 90, 100, 110, 120], 4), (8, [1, 2, 70], 1)]
+    assert out[0]["stop"] == 120 - (1 << 63) and out[1]["stop"] == prefix_join.LAST
