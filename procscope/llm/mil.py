@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procscope.llm.words import Words, slices
+from procscope.llm.words import Words, give_back, slices
 
 PASSAGE = 48
 HIDDEN, ATTENTION = 24, 12
@@ -68,9 +68,8 @@ def _word_features(w: Words) -> np.ndarray:
     return out
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, passages of each text). An empty text has one empty passage."""
-    rows, counts = [], []
+def _passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``passages`` of one slice of texts after the other."""
     for _, _, data, offsets in slices(texts):
         w = Words(data, offsets)
         n_words = np.diff(w.first)
@@ -87,11 +86,15 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             )
             x[of_word[starts], _PER_WORD] = sizes / PASSAGE
         x[:, _PER_WORD + 1] = np.repeat(np.log1p(n_words), n_pass) / 10
-        rows.append(x)
-        counts.append(n_pass)
-    if not rows:
+        yield x, n_pass
+
+
+def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features of every passage, passages of each text). An empty text has one empty passage."""
+    found = list(_passages(texts))
+    if not found:
         return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(counts)
+    return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -148,8 +151,7 @@ class GatedAttention:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """One score for each text, computed in blocks of whole bags."""
-        x, counts = passages(texts)
-        return self.forward(x, counts)["y"] if len(counts) else np.zeros(0)
+        return np.concatenate([np.zeros(0), *(self.forward(x, n)["y"] for x, n in _passages(texts))])
 
 
 def fit(
@@ -242,5 +244,6 @@ def score(docs: DataFrame, model: GatedAttention, name: str = "score") -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name]
             )
+            give_back()
 
     return kept.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))

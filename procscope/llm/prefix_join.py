@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from procscope.llm.collocations import _Bits
 from procscope.llm.components import components
-from procscope.llm.words import Words, lower_ascii, mix, ngrams, slices
+from procscope.llm.words import SLICE, Words, give_back, lower_ascii, mix, ngrams, slices
 from procscope.session import materialize, release
 
 FREQUENT = 48  # lists beyond this are frequent
@@ -93,6 +93,7 @@ def _sketches(docs: DataFrame, size: int, percent: int, whole: bool = False) ->
                               pa.binary())],
                     names=["doc_id", "key", "set", "n", "sketch"],
                 )
+            give_back()
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text"), "text")
     return keyed.mapInArrow(run, SKETCH)
@@ -139,12 +140,17 @@ class _Order:
 
 
 def _in_order(sketches: DataFrame, percent: int, box: Broadcast, run, schema: str) -> DataFrame:
-    """``run`` on every batch of ``sketches`` (set, n, sketch) and its ``_Order``."""
+    """``run`` on runs of ``sketches`` (set, n, sketch) of about ``SLICE`` bytes and their ``_Order``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield run(b, _Order(b, percent, box.value[0]), *box.value[1:])
+            first, lo = _tokens(b.column("sketch"))[1], 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + SLICE // 8, "right")) - 1)
+                part = b.slice(lo, hi - lo)
+                yield run(part, _Order(part, percent, box.value[0]), *box.value[1:])
+                lo = hi
+            give_back()
 
     return sketches.select("set", "n", "sketch").mapInArrow(each, schema)
 
@@ -281,6 +287,7 @@ def _packed(docs: DataFrame, box: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"]
             )
+            give_back()
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id"))
     return keyed.mapInArrow(run, "doc_id long, z binary")

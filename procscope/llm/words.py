@@ -7,6 +7,7 @@ of about ``SLICE`` bytes; a single longer text is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +120,14 @@ def runs(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((total[stop] - total[first]) * inverse[first] ^ length * np.uint64(0xD6E8FEB86659FD93))
 
 
+def give_back() -> None:
+    """Return to the system what is free here: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     texts: pa.Array, size: int = SLICE
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
