@@ -276,51 +276,35 @@ def _round(plain: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     return pairs, frequent, sizes
 
 
-def _packed(docs: DataFrame, box: Broadcast) -> DataFrame:
-    """(doc_id, z): the compressed texts of the documents whose hashed ids are in ``box``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            b = b.filter(pa.array(box.value.has(b.column(2).to_numpy().view(np.uint64))))
-            z = [pack((x.as_py() or "").encode()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"]
-            )
-            give_back()
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id"))
-    return keyed.mapInArrow(run, "doc_id long, z binary")
-
-
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, whole: bool = False) -> DataFrame:
     """(set, z), written: the compressed text of each wanted set (set); with ``whole`` (set, n, sketch) of all
-    its shingles instead. Texts of other documents stay where they are."""
+    its shingles instead. Texts of other documents stay where they are. One Python step: two in one
+    stage would hold twice as many workers from then on."""
     of = classes.join(wanted, "set", "left_semi").select("set", F.col("first").alias("doc_id"))
     of = materialize(of, "wanted")
     box = docs.sparkSession.sparkContext.broadcast(_bits_of(of.select(F.xxhash64("doc_id")), FEW_BITS))
-    got = _packed(docs, box).join(of, "doc_id").select("set", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:  # a repeated doc_id may have other texts
-            keep, sets = [], []
-            for i, (k, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                s = shingles(unpack(x.as_py()), size)
-                if len(s) and set_key(s) == k:
-                    keep.append(i)
-                    if whole:
-                        sets.append(s.tobytes())
-            b = b.take(pa.array(keep, pa.int32()))
-            if not whole:
-                yield b
-                continue
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            b = b.filter(pa.array(box.value.has(b.column(2).to_numpy().view(np.uint64))))
+            keys, n, out = [], [], []
+            for x in b.column(1):
+                raw = (x.as_py() or "").encode()
+                s = shingles(raw, size)
+                keys.append(set_key(s) if len(s) else None)
+                n.append(len(s))
+                out.append(s.tobytes() if whole else pack(raw))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())],
-                names=["set", "n", "sketch"],
+                [b.column(0), pa.array(keys, pa.int64()), pa.array(n, pa.int32()), pa.array(out, pa.binary())],
+                names=["doc_id", "set", "n", "z"],
             )
+            give_back()
 
-    got = got.mapInArrow(run, "set long, n int, sketch binary" if whole else "set long, z binary")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id"))
+    got = keyed.mapInArrow(run, "doc_id long, set long, n int, z binary")
+    got = got.join(of, ["doc_id", "set"])  # a repeated doc_id may have other texts
+    got = got.select("set", "n", F.col("z").alias("sketch")) if whole else got.select("set", "z")
     got = materialize(got.dropDuplicates(["set"]), "whole-sets" if whole else "texts")
     box.destroy()
     release(of)
