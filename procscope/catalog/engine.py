@@ -245,9 +245,9 @@ def d15(i: Inputs):
     links = graph.edges(i.cap).selectExpr(
         *S.KEY, "parent.pid AS parent_pid", "parent.start AS parent_start"
     )
-    f = graph.forest(nodes, links).join(i.acting, S.KEY, "left_semi")
+    f = graph.forest(nodes, links, paths=True).join(i.acting, S.KEY, "left_semi")
     return f.selectExpr(
-        *S.KEY, "CAST(depth AS BIGINT) AS depth", "path[0].pid AS root",
+        *S.KEY, "CAST(depth AS BIGINT) AS depth", "root.pid AS root",
         "array_join(transform(path, p -> CAST(p.pid AS STRING)), '/') AS path",
     )
 

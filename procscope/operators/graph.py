@@ -361,17 +361,32 @@ def snapshot_as_state(snapshot: DataFrame, capture: DataFrame) -> tuple[DataFram
 # --- forest display -----------------------------------------------------------------------------
 
 
-def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Every node with its ``depth``, ``root`` and ``path``; ordering by ``(host, path)`` prints the
-    trees in order, children by key. A root is a node whose parent is not in the node set.
-
-    ``nodes``: (host, pid, start, …). ``links``: (host, pid, start, parent_pid, parent_start).
+def forest(nodes: DataFrame, links: DataFrame, paths: bool = False) -> DataFrame:
+    """Every node with its ``depth`` and ``root`` (pid, start); with ``paths`` also its ``path``: ordering by
+    ``(host, path)`` prints the trees in order, children by key. A root is a node whose parent is not in the
+    node set; a lineage that returns to one of its nodes ends there, and its last node counts as the root.
+
+    ``nodes``: (host, pid, start, …). ``links``: (host, pid, start, parent_pid, parent_start). Paths hold a
+    row for each ancestor of a node. Without them a node is one row throughout, unless one has several parents:
+    then lineages are walked as for paths, and each ancestor counts where it is nearest.
     """
     present = links.join(
         nodes.select("host", F.col("pid").alias("parent_pid"), F.col("start").alias("parent_start")),
         ["host", "parent_pid", "parent_start"],
         "left_semi",
     )
+    if not paths:
+        up = materialize(
+            nodes.select(*S.KEY).distinct().join(present, S.KEY, "left").selectExpr(
+                *S.KEY, "parent_pid AS apid", "parent_start AS astart"
+            ).distinct(),
+            "parents",
+        )
+        if up.groupBy(*S.KEY).count().where("count > 1").isEmpty():
+            found = _tops(up)
+            release(up)
+            return nodes.join(found, S.KEY).select(*nodes.columns, "depth", "root")
+        release(up)
     iv = present.select(
         *S.KEY,
         F.col("parent_pid").alias("apid"),
@@ -381,16 +396,79 @@ def forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     reach = closure(iv, nodes.select(*S.KEY))
     # A path is as long as its tree is deep.
-    paths = reach.groupBy(*S.KEY).agg(
+    walked = reach.groupBy(*S.KEY).agg(
         F.max("depth").alias("depth"),
+        F.min(F.struct((-F.col("depth")).alias("d"), "apid", "astart")).alias("top"),
         F.sort_array(
             F.collect_list(F.struct((-F.col("depth")).alias("d"), "apid", "astart"))
         ).alias("p"),
     )
-    return nodes.join(paths, S.KEY).select(
-        *nodes.columns,
-        "depth",
-        F.transform("p", lambda x: F.struct(x.apid.alias("pid"), x.astart.alias("start"))).alias(
-            "path"
-        ),
+    path = F.transform("p", lambda x: F.struct(x.apid.alias("pid"), x.astart.alias("start")))
+    root = F.struct(F.col("top.apid").alias("pid"), F.col("top.astart").alias("start"))
+    return nodes.join(walked, S.KEY).select(
+        *nodes.columns, "depth", root.alias("root"), *([path.alias("path")] if paths else [])
     )
+
+
+def _tops(up: DataFrame) -> DataFrame:
+    """(host, pid, start, depth, root) for ``up``: (host, pid, start, apid, astart), one row a node with its
+    parent or null. Every node looks at an ancestor, and each round at that one's ancestor, so there are as
+    many rounds as the logarithm of the depth, of one row a node."""
+    self_ = "struct(pid, start)"
+    first = up.selectExpr(
+        *S.KEY, "coalesce(apid, pid) AS apid", "coalesce(astart, start) AS astart",
+        "if(apid IS NULL, 0, 1) AS depth", f"if(apid IS NULL, {self_}, NULL) AS root",
+    )
+    found, left, n = _jumped(first)
+    if left:
+        # Lineages without a root: each now looks at a node of its cycle, and every such node is looked at.
+        cycle = found.where("root IS NULL").selectExpr("host", "apid AS pid", "astart AS start").distinct()
+        cycle = materialize(up.join(cycle, S.KEY), "cycles")
+        release(found)
+        ring = materialize(cycle.selectExpr("*", f"{self_} AS low"), "rings")
+        step = 1
+        while step < n:
+            far = ring.selectExpr("host", "pid AS apid", "start AS astart", "apid AS bpid", "astart AS bstart", "low AS low2")
+            ring, old = materialize(
+                ring.join(far, ["host", "apid", "astart"]).selectExpr(
+                    *S.KEY, "bpid AS apid", "bstart AS astart", "least(low, low2) AS low"
+                ),
+                "rings",
+            ), ring
+            release(old)
+            step *= 2
+        sizes = ring.groupBy("host", "low").agg(F.count("*").alias("size"))
+        # A lineage from a node of a cycle ends at the one below it.
+        below = cycle.selectExpr("host", "apid AS pid", "astart AS start", f"{self_} AS child")
+        ends = ring.join(sizes, ["host", "low"]).join(below, S.KEY).selectExpr(*S.KEY, "CAST(size - 1 AS INT) AS size", "child")
+        ends = materialize(ends, "cycle-ends")
+        first = first.join(ends, S.KEY, "left").selectExpr(
+            *S.KEY, "if(child IS NULL, apid, pid) AS apid", "if(child IS NULL, astart, start) AS astart",
+            "if(child IS NULL, depth, size) AS depth", "coalesce(child, root) AS root",
+        )
+        found, _, _ = _jumped(first)
+        release(cycle, ring, ends)
+    return found.select(*S.KEY, "depth", "root")
+
+
+def _jumped(first: DataFrame) -> tuple[DataFrame, bool, int]:
+    """``first`` (host, pid, start, apid, astart, depth, root) with the roots that nodes without one find at
+    the ends of their lineages, whether some have none, and the number of nodes."""
+    table, n = materialize_counted(first, "tops")
+    step = 1
+    while True:
+        if table.where("root IS NULL").isEmpty():
+            return table, False, n
+        if step > n:
+            return table, True, n
+        far = table.selectExpr(
+            "host", "pid AS apid", "start AS astart", "apid AS bpid", "astart AS bstart", "depth AS more",
+            "root AS top",
+        )
+        # One row a node on the right: an ancestor that very many nodes look at splits.
+        further = table.where("root IS NULL").join(far, ["host", "apid", "astart"]).selectExpr(
+            *S.KEY, "bpid AS apid", "bstart AS astart", "depth + more AS depth", "top AS root"
+        )
+        old, table = table, materialize(table.where("root IS NOT NULL").unionByName(further), "tops")
+        release(old)
+        step *= 2
